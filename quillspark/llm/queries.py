@@ -2,10 +2,24 @@
 gives the same rows where SQL can."""
 from __future__ import annotations
 
-from . import exact_dedup, ngram_join
+import os
+
+from pyspark.sql import functions as F
+
+from . import exact_dedup, ngram_join, packing, sstable
 from .common import Workspace, table
 
 
+def tokenizer_file(name: str) -> str:
+    """A public tokenizer file; ``QUILLSPARK_TOKENIZERS`` names another folder."""
+    folder = os.environ.get("QUILLSPARK_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"), Workspace(spark, "op1"))
 
@@ -14,9 +28,22 @@ def op2_ngram_jaccard(spark, sf_dir):
     return ngram_join.similar(table(spark, sf_dir, "documents", "doc_id", "text"), Workspace(spark, "op2"))
 
 
+def op3_token_shards(spark, sf_dir):
+    path = Workspace(spark, "op3").path("shards")
+    sstable.write(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return sstable.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pack(docs, Workspace(spark, "op4"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_token_shards": op3_token_shards,
+    "op4_packing": op4_packing,
 }
 
 _WORDS = (
