@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, ngram_join, packing, sstable
+from . import codec, exact_dedup, ngram_join, packing, sstable, toxicity
 from .common import Workspace, table
 
 
@@ -39,11 +39,32 @@ def op4_packing(spark, sf_dir):
     return packing.pack(docs, Workspace(spark, "op4"), tokenizer_file("word_bpe_49k.json"), end_id=2)
 
 
+def op5_bpe_roundtrip(spark, sf_dir):
+    path = tokenizer_file("byte_bpe_50k.json")
+    rows = codec.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path)
+    rows = rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return codec.decode(rows, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op6_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(Workspace(spark, "op6"), docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_token_shards": op3_token_shards,
     "op4_packing": op4_packing,
+    "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op6_toxicity": op6_toxicity,
 }
 
 _WORDS = (

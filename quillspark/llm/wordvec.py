@@ -13,9 +13,11 @@ BLOCK = 1 << 20
 
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII letters, digits and every byte of other characters make words here.
+PLAIN = np.ones(256, bool)
+PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOW = np.arange(256, dtype=np.uint64) + np.uint64(1)
 _LOW[65:91] = _LOW[97:123]
-_LOW[_SEP] = 0
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _POW = np.cumprod(np.full(4096, _P, np.uint64))
 _MUL = np.cumprod(np.full(8, np.uint64(0xD6E8FEB86659FD93), np.uint64))
@@ -47,12 +49,13 @@ def blocks(column: pa.Array, size: int = BLOCK):
         at = to
 
 
-def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(buf: np.ndarray, offs: np.ndarray, seps: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a block, and the first word of each row
-    (one more entry closes the last row)."""
+    (one more entry closes the last row).  ``seps`` marks the bytes between
+    words."""
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    sep = _SEP[buf]
+    sep = seps[buf]
     start = ~sep
     start[1:] &= sep[:-1]
     heads = offs[:-1][offs[:-1] < len(buf)]
@@ -67,7 +70,7 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     power = _POW[np.minimum(pos, len(_POW) - 1)]
     if long.any():
         power[long] = mix(pos[long].astype(np.uint64)) | np.uint64(1)
-    return mix(np.add.reduceat(_LOW[buf] * power, ws)), first
+    return mix(np.add.reduceat(_LOW[buf] * power * ~sep, ws)), first
 
 
 def shingle_sets(column: pa.Array, width: int = 5):
