@@ -176,13 +176,13 @@ def _shards(tokenizer: str, end_id: int):
     def run(batches):
         enc = encoder(tokenizer)
         width = 2 if enc.vocab_size <= 1 << 16 else 4
-        tail = np.array([end_id], "<u4").tobytes()
         shard = None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.frombuffer(enc.encode(text) + tail, "<u4")
+            doc_ids = batch.column(0).to_pylist()
+            for row, ids in enc.encode(batch.column(1)):
+                ids = np.append(ids, end_id).astype("<u2" if width == 2 else "<u4")
                 shard = shard or ShardWriter(width)
-                shard.add(key_of(doc_id), (ids.astype("<u2") if width == 2 else ids).tobytes(), len(ids))
+                shard.add(key_of(doc_ids[row]), ids.tobytes(), len(ids))
                 if shard.size >= SHARD_BYTES:
                     yield pa.record_batch([pa.array([shard.finish()], pa.binary())], ["shard"])
                     shard = None
