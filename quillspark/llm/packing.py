@@ -121,18 +121,22 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int,
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches):
-        enc, tail = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        flush = lambda: pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "start", "length", "doc_tokens", "ids"])
         for batch in batches:
-            out = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = enc.encode(text) + tail
-                n = len(ids) // 4
-                for at in range(0, n, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    for col, v in zip(out, (doc_id, at, len(part) // 4, n, part)):
+            doc_ids, out, held = batch.column(0).to_pylist(), ([], [], [], [], []), 0
+            for row, ids in enc.encode(batch.column(1)):
+                ids = np.append(ids, end_id).astype("<u4")
+                for at in range(0, len(ids), capacity):
+                    part = ids[at : at + capacity]
+                    for col, v in zip(out, (doc_ids[row], at, len(part), len(ids), part.tobytes())):
                         col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "start", "length", "doc_tokens", "ids"])
+                held += len(ids)
+                if held > 1 << 21:
+                    yield flush()
+                    out, held = ([], [], [], [], []), 0
+            yield flush()
 
     return run
 
