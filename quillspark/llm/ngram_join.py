@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from .common import Workspace, components, join_counted
 from .wordvec import mix, shingle_sets
 
-#: Slots of the shingle frequency table: a fixed 2**18 counters.
-SLOTS = 1 << 18
+#: Slots of the shingle frequency table: a fixed 2**21 counters.
+SLOTS = 1 << 21
 #: A tile of at most so many sets tests all of its pairs at once.
 SHORT = 12
+#: Rows of a long tile that are at home in one chunk of it.
+CHUNK = 4096
 #: Members of one band leader that one task checks.
 SALT = 512
 
@@ -90,27 +92,43 @@ def _describe(width: int):
         if seen:
             yield pa.record_batch(
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
-                 pa.array([slots.tobytes()], pa.binary())],
+                 pa.array([_squeeze(slots)], pa.binary())],
                 ["id", "n", "skey", "sig", "slots"],
             )
 
     return run
 
 
+def _squeeze(slots: np.ndarray) -> bytes:
+    return pa.Codec("zstd").compress(slots.tobytes(), asbytes=True)
+
+
+def _unsqueeze(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data, 4 * SLOTS, asbytes=True), np.uint32)
+
+
 def _add_slots(batches):
-    total = np.zeros(SLOTS, np.uint64)
+    total = np.zeros(SLOTS, np.uint32)
     for batch in batches:
         for x in batch.column(0):
-            part = np.frombuffer(x.as_py(), np.uint32 if len(x.as_py()) == 4 * SLOTS else np.uint64)
-            total += part
-    yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], ["slots"])
+            total += _unsqueeze(x.as_py())
+    yield pa.record_batch([pa.array([_squeeze(total)], pa.binary())], ["slots"])
+
+
+def _slot_counts(ws: Workspace, parts: DataFrame) -> np.ndarray:
+    """Sum of the tasks' slot counts, eight at a time in a task."""
+    turn, n = 0, parts.count()
+    while n > 8:
+        turn, n = turn + 1, -(-n // 8)
+        parts = ws.keep(parts.repartition(n).mapInArrow(_add_slots, "slots binary"), f"slots-{turn}")
+        n = min(n, parts.count())
+    return sum((_unsqueeze(r[0]) for r in parts.collect()), np.zeros(SLOTS, np.uint32))
 
 
 def slot_levels(counts: np.ndarray) -> np.ndarray:
-    """Frequency level of each slot: 0 up to twice the mean, then one more for
-    each doubling."""
+    """Frequency level of each slot, four to a doubling of the count (0..255)."""
     mean = max(1.0, float(counts.mean()))
-    return np.clip(np.floor(np.log2(np.maximum(counts / mean, 1.0))), 0, 200).astype(np.uint64)
+    return np.clip(np.floor(4 * np.log2(1.0 + counts / mean)), 0, 255).astype(np.uint8)
 
 
 def _prefixes(width: int, percent: int, levels):
@@ -123,7 +141,7 @@ def _prefixes(width: int, percent: int, levels):
                 if not n or (k := _set_key(grams)) in done:
                     continue
                 done.add(k)
-                ranked = (order[(grams & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(56)) | (grams >> np.uint64(8))
+                ranked = (order[(grams & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
                 p = n - least_share(n, percent) + 1
                 tok.append(np.partition(ranked, p - 1)[:p] if p < n else ranked)
                 key.append(np.full(len(tok[-1]), k, np.int64))
@@ -224,52 +242,76 @@ def _tiles(percent: int):
     return run
 
 
+def _fold(sigs: list[bytes], width: int) -> np.ndarray:
+    """Signatures as rows of 64-bit words; those of twice ``width`` bytes are
+    folded to it (a bit position is the hash modulo the width)."""
+    out = np.zeros((len(sigs), width // 8), np.uint64)
+    for i, x in enumerate(sigs):
+        v = np.frombuffer(x, np.uint64)
+        out[i] = v if len(x) == width else v[: width // 8] | v[width // 8 :]
+    return out
+
+
 def _open_pairs(percent: int):
-    """Rows of long tiles sorted by (token, n) with the component so far -> pairs
-    of unconnected members whose sizes allow a link."""
-
-    def of_tile(k, n, c):
-        end = np.searchsorted(n, n * 100 // percent, "right")
-        for i in range(len(k) - 1):
-            j = slice(i + 1, int(end[i]))
-            ok = c[j] != c[i]
-            if ok.any():
-                other = k[j][ok]
-                yield np.minimum(other, k[i]), np.maximum(other, k[i])
+    """Rows (token, chunk, n, skey, comp, loose, home, sig) of one chunk of a long
+    tile, sorted by (token, chunk) -> unconnected pairs that sizes and bit counts
+    allow.  A chunk holds its home rows and every loose row of the tile; a pair
+    is met where its dense (or, of two loose ones, either) row is at home."""
+
+    def of_chunk(rows):
+        n, key, comp, loose, home = (np.array(rows[c]) for c in ("n", "skey", "comp", "loose", "home"))
+        sig = rows["sig"]
+        width = np.array([len(x) for x in sig])
+        for w in np.unique(width[loose]):
+            for wide in (w, 2 * w, w // 2):
+                probe = np.flatnonzero(loose & (width == w))
+                there = np.flatnonzero(home & (width == wide))
+                if not len(probe) or not len(there):
+                    continue
+                low = int(min(w, wide))
+                left, right = _fold([sig[i] for i in probe], low), _fold([sig[j] for j in there], low)
+                for x, i in enumerate(probe):
+                    ok = (comp[there] != comp[i]) & (100 * np.minimum(n[there], n[i]) >= percent * np.maximum(n[there], n[i]))
+                    j = np.flatnonzero(ok)
+                    if not len(j):
+                        continue
+                    only = n[i] - np.bitwise_count(left[x] & ~right[j]).sum(axis=1, dtype=np.int64)
+                    other = n[there[j]] - np.bitwise_count(right[j] & ~left[x]).sum(axis=1, dtype=np.int64)
+                    keep = np.minimum(only, other) >= least_overlap(n[i], n[there[j]], percent)
+                    k = key[there[j[keep]]]
+                    if len(k):
+                        yield np.minimum(k, key[i]), np.maximum(k, key[i])
 
     def run(batches):
-        held, a, b, many = None, [], [], 0
+        a, b, many, held = [], [], 0, None
 
         def flush():
             both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
-        def whole(cols):
-            nonlocal many
-            cut = np.flatnonzero(np.append(True, cols[0][1:] != cols[0][:-1]))
-            for s, e in zip(cut, np.append(cut[1:], len(cols[0]))):
-                for x, y in of_tile(*[c[s:e] for c in cols[1:]]):
-                    a.append(x)
-                    b.append(y)
-                    many += len(x)
-                    if many > 500_000:
-                        yield flush()
-                        a.clear()
-                        b.clear()
-                        many = 0
-
-        for batch in batches:
-            cols = [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]
-            if held is not None:
-                cols = [np.concatenate(x) for x in zip(held, cols)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-            held = [c[last:] for c in cols]
-            if last:
-                yield from whole([c[:last] for c in cols])
-        if held is not None and len(held[0]):
-            yield from whole(held)
+        def chunks():
+            nonlocal held
+            for batch in batches:
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+                tok, chunk = held.column("token").to_numpy(), held.column("chunk").to_numpy()
+                if not len(tok):
+                    continue
+                cut = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (chunk[1:] != chunk[:-1])))
+                for s, e in zip(cut[:-1], cut[1:]):
+                    yield held.slice(s, e - s).to_pydict()
+                held = held.slice(cut[-1])
+            if held is not None and len(held):
+                yield held.to_pydict()
+
+        for rows in chunks():
+            for x, y in of_chunk(rows):
+                a.append(x)
+                b.append(y)
+                many += len(x)
+            if many > 200_000:
+                yield flush()
+                a, b, many = [], [], 0
         if a:
             yield flush()
 
@@ -357,8 +399,7 @@ def similar(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = ws.keep(docs.mapInArrow(_describe(width), "id long, n long, skey long, sig binary, slots binary"), "sets")
-    counted = told.where("slots is not null").select("slots").repartition(8).mapInArrow(_add_slots, "slots binary").collect()
-    total = sum((np.frombuffer(r[0], np.uint64) for r in counted), np.zeros(SLOTS, np.uint64))
+    total = _slot_counts(ws, told.where("slots is not null").select("slots"))
     levels = spark.sparkContext.broadcast(slot_levels(total.astype(np.float64)))
 
     sets = told.where("slots is null").select("id", "n", "skey", "sig")
@@ -375,12 +416,17 @@ def similar(
 
     # long tiles: members that are still in different components
     posts = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("skey"), "n").distinct()
-    posts = posts.join(reps.select("skey", "rep"), "skey").join(joined, F.col("rep") == F.col("node"), "left")
-    posts = ws.keep(posts.select("token", "skey", "n", F.coalesce("component", "rep").alias("comp")), "posts")
-    mixed = posts.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    tiles = posts.join(mixed, "token", "left_semi").select("token", "skey", "n", "comp")
-    tiles = tiles.repartition(parts, "token").sortWithinPartitions("token", "n", "skey")
-    more = tiles.mapInArrow(_open_pairs(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    posts = posts.join(reps.select("skey", "rep", "sig"), "skey").join(joined, F.col("rep") == F.col("node"), "left")
+    posts = ws.keep(posts.select("token", "skey", F.col("n").cast("long").alias("n"), "sig", F.coalesce("component", "rep").alias("comp")), "posts")
+    shares = posts.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("token").agg(F.sum("c").alias("all"), F.max_by("comp", F.struct("c", "comp")).alias("dense"), F.count("*").alias("comps"))
+    mixed = ws.keep(mixed.where("comps > 1").select("token", "dense", F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "mixed")
+    rows = posts.join(mixed, "token").withColumn("loose", F.col("comp") != F.col("dense"))
+    own = F.pmod(F.hash("skey"), F.col("chunks"))
+    rows = rows.withColumn("chunk", F.explode(F.when(F.col("loose"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))))
+    rows = rows.select("token", "chunk", "n", "skey", "comp", "loose", (F.col("chunk") == own).alias("home"), "sig")
+    rows = rows.repartition(parts, "token", "chunk").sortWithinPartitions("token", "chunk")
+    more = rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = ws.keep(more, "open")
     late = _check(ws, docs, reps, more, "open", width, percent)
     final = ws.keep(components(ws, links.unionByName(late), "cc2"), "components")
