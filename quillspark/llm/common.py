@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: A joined side is broadcast only after it was written and counted, and only
 #: up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -36,6 +38,7 @@ class Workspace:
     """A uniquely named folder below :func:`shared_root` holding written tables."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -55,6 +58,7 @@ class Workspace:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 

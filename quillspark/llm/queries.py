@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import codec, exact_dedup, ngram_join, packing, sstable, toxicity
+from . import codec, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, sstable, substring_dedup, toxicity, warc
 from .common import Workspace, table
 
 
@@ -58,6 +58,31 @@ def op6_toxicity(spark, sf_dir):
     )
 
 
+def op7_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), Workspace(spark, "op7"))
+
+
+def op8_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_warc(spark, sf_dir):
+    ws = Workspace(spark, "op9")
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), ws.path("archives"), ws)
+    captures = warc.assemble(warc.read(spark, ws.path("archives")))
+    return captures.select(
+        F.expr("try_cast(nullif(regexp_extract(main.record_id, '^urn:capture:(-?[0-9]+):main$', 1), '') as bigint)").alias("page_id"),
+        F.col("main.payload_bytes").alias("payload_bytes"),
+        F.col("main.digest").alias("payload_digest"),
+        F.col("main.type").alias("record_type"),
+        F.expr("try_cast(nullif(regexp_extract(main.refers_to, '^urn:capture:(-?[0-9]+):main$', 1), '') as bigint)").alias("refers_to"),
+    )
+
+
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup.repeats(table(spark, sf_dir, "documents", "doc_id", "text"), Workspace(spark, "op10"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -65,6 +90,10 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_toxicity": op6_toxicity,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_license_scan": op8_license_scan,
+    "op9_warc": op9_warc,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 _WORDS = (
@@ -104,4 +133,50 @@ ORACLE_SQL = {
             UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
         SELECT n.doc_id, n.n AS n_shingles, min(reach.v) AS component_id
         FROM n JOIN reach ON reach.u = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op7_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b
+            ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        reach AS (
+            SELECT vec_id AS u, vec_id AS v FROM embeddings
+            UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+        c AS (SELECT u, min(v) AS component_id FROM reach GROUP BY u),
+        n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+        SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+        FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+        d AS (
+            SELECT *, min(page_id) OVER (PARTITION BY hex) AS first,
+                list_transform(range(0, 32), lambda i:
+                    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+                        (CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)) AS letters
+            FROM p)
+        SELECT page_id, payload_bytes, array_to_string(letters, '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d""",
+    "op10_substring_dedup": r"""
+        WITH u AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS unit
+            FROM documents),
+        o AS (
+            SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM u),
+        n AS (
+            SELECT *, translate(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM o),
+        k AS (SELECT *, md5(norm) AS digest FROM n WHERE len(string_split(norm, ' ')) >= 20),
+        g AS (
+            SELECT *, count(*) OVER (PARTITION BY digest) AS n_copies,
+                   first_value(doc_id) OVER w AS kept_id, first_value(unit) OVER w AS kept_unit
+            FROM k WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit))
+        SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS stop, digest, n_copies, kept_id, kept_unit
+        FROM g WHERE n_copies > 1 AND NOT (doc_id = kept_id AND unit = kept_unit)""",
 }
