@@ -122,6 +122,10 @@ OTHER = [
     "A license plate was found near the commons.",
     "It is the domain of the related species, and the terms are met.",
     "You may obtain a seat at the door.",
+    "Er kam mit dem Bus und mit ihr nach Hause, mit allen und mit mir.",
+    "Die Frau mit der Tasche ist mit dem Mann auf der Reise.",
+    "Le public est libre et la source de la loi est dans le domaine.",
+    "La obra de su autor es libre para el lector en general.",
 ]
 # Words that alone say nothing about a licence.
 STOP = "a an and any are as at be by can de der die du el en for from has he http https in is it its la le not of on or that the their this to was were who with without you your work use file files copy may part person terms form forms all more".split()

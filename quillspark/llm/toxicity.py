@@ -21,10 +21,12 @@ from .wordvec import PLAIN, blocks, mix, word_hashes
 SLOTS = 1 << 20
 #: Labelled rows of one class and one role (models, calibration) used at most,
 #: chosen by the hash of their id; the only bounded sample here.
-MAX_ROWS = 8_000
+MAX_ROWS = 12_000
 #: Absolute discount of the models, and the least count of a kept bigram.
 DISCOUNT = 0.75
 LEAST = 2
+#: Standard deviations beyond which a difference between classes counts.
+CHANCE = 3.0
 THRESHOLD = 0.7
 
 
@@ -90,18 +92,21 @@ def shared_counts(ws: Workspace, texts: DataFrame) -> np.ndarray:
 
 
 def _class_counts(batches):
-    """Bigram counts by class of a task's rows."""
+    """Documents by class that hold each bigram, and (u = -1) each word."""
     for batch in batches:
         label = batch.column(1).to_numpy()
         for base, buf, offs in blocks(batch.column(0)):
             slot, prev, key, first = _bigrams(buf, offs)
             if not len(slot):
                 continue
-            toxic = np.repeat(label[base : base + len(offs) - 1], np.diff(first)).astype(np.int64)
-            _, at, inv = np.unique(key, return_index=True, return_inverse=True)
-            t = np.bincount(inv, weights=toxic, minlength=len(at)).astype(np.int64)
-            both = np.bincount(inv, minlength=len(at))
-            yield pa.record_batch([pa.array(prev[at]), pa.array(slot[at]), pa.array(both - t), pa.array(t)], ["u", "w", "c0", "c1"])
+            row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
+            toxic = label[base : base + len(offs) - 1].astype(np.int64)
+            for u, k in ((prev, key), (np.full_like(slot, -1), slot.astype(np.uint64))):
+                _, once = np.unique(mix(k + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                _, at, inv = np.unique(k[once], return_index=True, return_inverse=True)
+                t = np.bincount(inv, weights=toxic[row[once].astype(np.int64)], minlength=len(at)).astype(np.int64)
+                both = np.bincount(inv, minlength=len(at))
+                yield pa.record_batch([pa.array(u[once][at]), pa.array(slot[once][at]), pa.array(both - t), pa.array(t)], ["u", "w", "c0", "c1"])
 
 
 @dataclass
@@ -141,31 +146,41 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _model(counts: pa.Table, shared: np.ndarray) -> Model:
-    """Kneser-Ney by class: bigrams seen LEAST times keep their discounted
-    counts, what they leave goes to the class's continuation counts, and theirs
-    to the shared ones, smoothed by one."""
-    u, w = counts.column("u").to_numpy(), counts.column("w").to_numpy()
-    c = [counts.column("c0").to_numpy(), counts.column("c1").to_numpy()]
+def _telling(c0, c1, share: float, root):
+    """Whether the counts of an expression differ between the classes by more
+    than chance would have them (arrays or columns); the others are left to the
+    shared counts."""
+    expected = (c0 + c1) * share
+    gap = c1 - expected
+    return (gap > CHANCE * root(expected + 1)) | (-gap > CHANCE * root(expected + 1))
+
+
+def _model(words: pa.Table, contexts: pa.Table, bigrams: pa.Table, shared: np.ndarray) -> Model:
+    """Kneser-Ney by class over document counts: telling bigrams keep their
+    discounted counts and pass the rest of their context's mass to the class's
+    words; telling words pass theirs to the shared counts, smoothed by one; for
+    all others both classes use the shared counts."""
+    get = lambda t, *names: [t.column(x).to_numpy() for x in names]
+    w, *c = get(words, "w", "c0", "c1")
+    df = [np.bincount(w, weights=x, minlength=SLOTS) for x in c]
+    size = [max(1.0, float(x.sum())) for x in c]
     base = (shared + 1.0) / (float(shared.sum()) + SLOTS)
-    total, back, lower, kept = [], [], [], []
-    keep = (c[0] >= LEAST) | (c[1] >= LEAST)
+    told = _telling(df[0], df[1], size[1] / (size[0] + size[1]), np.sqrt)
+    u, *n = get(contexts, "u", "c0", "c1")
+    total = [np.bincount(u, weights=x, minlength=SLOTS) for x in n]
+    bu, bw, *c = get(bigrams, "u", "w", "c0", "c1")
+    back, lower, kept = [], [], []
     for k in (0, 1):
-        n = np.bincount(u, weights=c[k], minlength=SLOTS)
-        cont = np.bincount(w[c[k] > 0], minlength=SLOTS).astype(float)
-        pairs = cont.sum()
-        types = float((cont > 0).sum())
-        low = np.maximum(cont - DISCOUNT, 0) / max(pairs, 1) + (DISCOUNT * types / pairs if pairs else 1.0) * base
-        own = np.where(keep & (c[k] >= LEAST), c[k] - DISCOUNT, 0.0)
-        mass = np.bincount(u, weights=own, minlength=SLOTS)
-        total.append(n)
-        back.append(np.where(n > 0, 1 - mass / np.maximum(n, 1), 1.0))
-        lower.append(low)
-        kept.append(own[keep])
-    key = mix((u[keep].astype(np.uint64) << np.uint64(32)) | w[keep].astype(np.uint64))
+        rest = DISCOUNT * (df[k] > 0).sum() / size[k] if size[k] > 1 else 1.0
+        lower.append(np.where(told, np.maximum(df[k] - DISCOUNT, 0) / size[k] + rest * base, base))
+        own = np.maximum(c[k] - DISCOUNT, 0)
+        mass = np.bincount(bu, weights=own, minlength=SLOTS)
+        back.append(np.where(total[k] > 0, 1 - mass / np.maximum(total[k], 1), 1.0))
+        kept.append(own)
+    key = mix((bu.astype(np.uint64) << np.uint64(32)) | bw.astype(np.uint64))
     order = np.argsort(key)
-    half = lambda x: [a.astype(np.float32) for a in x]
-    return Model(key[order], np.array(half([a[order] for a in kept])), np.array(half(total)), np.array(half(back)), np.array(half(lower)))
+    half = lambda x: np.array([a.astype(np.float32) for a in x])
+    return Model(key[order], half([a[order] for a in kept]), half(total), half(back), half(lower))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -196,15 +211,15 @@ def held_out(id_col):
 def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
-    Rows whose id hashes to 0 make the models, to 2 the calibration, to 1
-    neither.  Null labels and ids, and ids that carry both labels, are not learnt from.
+    Of the rows that are not held out three quarters make the models, the others
+    the calibration.  Null labels and ids, and ids that carry both labels, are not learnt from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shared = shared_counts(ws, rows.select("text"))
-    role = F.crc32(F.col("id").cast("string").cast("binary")) % 3
+    role = F.when(F.pmod(F.xxhash64(F.col("id").cast("long"), F.lit(7)), F.lit(4)) == 0, F.lit(2)).otherwise(F.lit(0))
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("id", "toxic")
-    known = known.withColumn("role", role).where("role <> 1")
+    known = known.where(~held_out("id")).withColumn("role", role)
     have = {(r[0], r[1]): r[2] for r in known.groupBy("toxic", "role").count().collect()}
     share = F.lit(1.0)
     for (toxic, part), n in have.items():
@@ -214,8 +229,14 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_
     texts = ws.keep(join_counted(rows, chosen, "id").select("text", "toxic", "role"), "training")
     counts = texts.where("role = 0").select("text", "toxic").mapInArrow(_class_counts, "u long, w long, c0 long, c1 long")
     counts = ws.keep(counts.groupBy("u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "bigrams")
-    # single bigrams count as continuations of their word only
-    model = _model(counts.toArrow(), shared)
+    words = counts.where("u < 0")
+    n0, n1 = words.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("c1"), F.lit(0))).first()
+    share = max(1, n1) / (max(1, n0) + max(1, n1))
+    pairs = counts.where("u >= 0")
+    # all three are bounded: SLOTS words, SLOTS contexts, telling bigrams of MAX_ROWS texts
+    kept = pairs.where((F.col("c0") + F.col("c1") >= LEAST) & _telling(F.col("c0"), F.col("c1"), share, F.sqrt))
+    contexts = pairs.groupBy("u").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    model = _model(words.toArrow(), contexts.toArrow(), kept.toArrow(), shared)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def ratios(batches):
