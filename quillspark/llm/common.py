@@ -1,116 +1,15 @@
-"""Shared pieces of the training-data operators.
-
-Intermediate tables live in the folder the cluster names in
-``spark.checkpoint.dir`` so that a lost executor costs a re-read, never a
-recomputation of the whole lineage.
-"""
+"""Shared pieces of the training-data operators."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..workspace import BROADCAST_ROWS, Workspace, components, join_counted, shared_root
 
-#: A joined side is broadcast only after it was written and counted, and only
-#: up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder for tables that cut lineage.
-
-    ``spark.checkpoint.dir`` wins.  Where it is unset a local master falls back
-    to a folder of its own and a cluster to its warehouse, which is shared.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = "file://" + tempfile.gettempdir() + "/quillspark-shared"
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_quillspark"
-    return root.rstrip("/")
-
-
-class Workspace:
-    """A uniquely named folder below :func:`shared_root` holding written tables."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        ship(spark)
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back with its own schema."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing lazy refers to any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["BROADCAST_ROWS", "Workspace", "components", "join_counted", "shared_root", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
-
-
-def join_counted(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a narrow written table: broadcast when its counted size allows
-    it, else let Spark shuffle both sides (AQE splits skewed partitions)."""
-    if small.count() <= limit:
-        return big.join(F.broadcast(small), on, how)
-    return big.hint("merge").join(small.hint("merge"), on, how)
-
-
-def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
-    """Connected components of ``edges(u, v)`` -> ``(node, component)``.
-
-    Alternating large-star and small-star rewrites: every rewrite is a minimum
-    per node (combined before the shuffle) joined back to the edge table, so a
-    hub with very many neighbours is never gathered into one task.  Each round
-    is written to the shared folder.  Nodes without an edge do not appear;
-    ``component`` is the smallest node reachable.  Self-loops are ignored.
-    """
-    cur = ws.keep(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(),
-        f"{name}-0",
-    )
-    mark, turn = _mark(cur), 0
-    while mark[0]:
-        turn += 1
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(low, "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
-        )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        nxt = ws.keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{turn}")
-        now = _mark(nxt)
-        ws.drop(f"{name}-{turn - 1}")
-        cur = nxt
-        if now == mark:
-            break
-        mark = now
-    nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    ).first()
-    return (row[0], row[1])
