@@ -30,6 +30,8 @@ from .wordvec import mix, shingle_sets
 SLOTS = 1 << 21
 #: A tile of at most so many sets tests all of its pairs at once.
 SHORT = 12
+#: Times that loose sets are tested against one member before all of them are.
+ROUNDS = 2
 #: Rows of a long tile that are at home in one chunk of it.
 CHUNK = 4096
 #: Members of one band leader that one task checks.
@@ -42,9 +44,10 @@ def least_overlap(na, nb, percent: int):
 
 
 def signature(grams: np.ndarray) -> bytes:
-    """Bitmap of the hashed shingles, the power of two bits above the set size."""
+    """Bitmap of the hashed shingles: eight times the set size in bits, rounded
+    up to a power of two, so that few shingles share a bit."""
     bits = 64
-    while bits < len(grams):
+    while bits < 8 * len(grams):
         bits *= 2
     out = np.zeros(bits, np.uint8)
     out[(grams >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
@@ -252,35 +255,41 @@ def _fold(sigs: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def _close(i, others, n, comp, sig_i, sigs, percent):
+    """Which of ``others`` set ``i`` can link with by component, size and bits."""
+    ok = (comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+    j = np.flatnonzero(ok)
+    if not len(j):
+        return others[:0]
+    only = n[i] - np.bitwise_count(sig_i & ~sigs[j]).sum(axis=1, dtype=np.int64)
+    other = n[others[j]] - np.bitwise_count(sigs[j] & ~sig_i).sum(axis=1, dtype=np.int64)
+    return others[j[np.minimum(only, other) >= least_overlap(n[i], n[others[j]], percent)]]
+
+
 def _open_pairs(percent: int):
-    """Rows (token, chunk, n, skey, comp, loose, home, sig) of one chunk of a long
-    tile, sorted by (token, chunk) -> unconnected pairs that sizes and bit counts
-    allow.  A chunk holds its home rows and every loose row of the tile; a pair
-    is met where its dense (or, of two loose ones, either) row is at home."""
+    """Rows (tile, chunk, n, skey, comp, probe, home, sig), sorted by (tile,
+    chunk) -> pairs of unconnected sets that sizes and bit counts allow.  In a
+    chunk every probe meets every home row once."""
 
     def of_chunk(rows):
-        n, key, comp, loose, home = (np.array(rows[c]) for c in ("n", "skey", "comp", "loose", "home"))
+        n, key, comp, probe, home = (np.array(rows[c]) for c in ("n", "skey", "comp", "probe", "home"))
         sig = rows["sig"]
         width = np.array([len(x) for x in sig])
-        for w in np.unique(width[loose]):
+        for w in np.unique(width[probe]):
+            mine = np.flatnonzero(probe & (width == w))
             for wide in (w, 2 * w, w // 2):
-                probe = np.flatnonzero(loose & (width == w))
                 there = np.flatnonzero(home & (width == wide))
-                if not len(probe) or not len(there):
+                if not len(there):
                     continue
                 low = int(min(w, wide))
-                left, right = _fold([sig[i] for i in probe], low), _fold([sig[j] for j in there], low)
-                for x, i in enumerate(probe):
-                    ok = (comp[there] != comp[i]) & (100 * np.minimum(n[there], n[i]) >= percent * np.maximum(n[there], n[i]))
-                    j = np.flatnonzero(ok)
-                    if not len(j):
-                        continue
-                    only = n[i] - np.bitwise_count(left[x] & ~right[j]).sum(axis=1, dtype=np.int64)
-                    other = n[there[j]] - np.bitwise_count(right[j] & ~left[x]).sum(axis=1, dtype=np.int64)
-                    keep = np.minimum(only, other) >= least_overlap(n[i], n[there[j]], percent)
-                    k = key[there[j[keep]]]
-                    if len(k):
-                        yield np.minimum(k, key[i]), np.maximum(k, key[i])
+                left = _fold([sig[i] for i in mine], low)
+                for at in range(0, len(there), 4096):
+                    some = there[at : at + 4096]
+                    right = _fold([sig[j] for j in some], low)
+                    for x, i in enumerate(mine):
+                        k = key[_close(i, some, n, comp, left[x], right, percent)]
+                        if len(k):
+                            yield np.minimum(k, key[i]), np.maximum(k, key[i])
 
     def run(batches):
         a, b, many, held = [], [], 0, None
@@ -294,10 +303,10 @@ def _open_pairs(percent: int):
             for batch in batches:
                 new = pa.Table.from_batches([batch])
                 held = new if held is None else pa.concat_tables([held, new])
-                tok, chunk = held.column("token").to_numpy(), held.column("chunk").to_numpy()
-                if not len(tok):
+                tile, chunk = held.column("tile").to_numpy(), held.column("chunk").to_numpy()
+                if not len(tile):
                     continue
-                cut = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (chunk[1:] != chunk[:-1])))
+                cut = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (chunk[1:] != chunk[:-1])))
                 for s, e in zip(cut[:-1], cut[1:]):
                     yield held.slice(s, e - s).to_pydict()
                 held = held.slice(cut[-1])
@@ -309,7 +318,7 @@ def _open_pairs(percent: int):
                 a.append(x)
                 b.append(y)
                 many += len(x)
-            if many > 200_000:
+            if many > 1_000_000:
                 yield flush()
                 a, b, many = [], [], 0
         if a:
@@ -352,6 +361,8 @@ def _verify(width: int, percent: int):
 
 def _check(ws: Workspace, docs: DataFrame, reps: DataFrame, pairs: DataFrame, name: str, width: int, percent: int) -> DataFrame:
     """Candidate pairs of set keys -> links between representatives' ids."""
+    need = pairs.select(F.col("a").alias("skey")).unionAll(pairs.select(F.col("b").alias("skey"))).distinct()
+    reps = ws.keep(join_counted(reps, ws.keep(need, f"{name}-need"), "skey"), f"{name}-sigs")
     side = lambda s: reps.select(F.col("skey").alias(s), F.col("rep").alias(f"r{s}"), F.col("n").alias(f"n{s}"), F.col("sig").alias(f"s{s}"))
     wide = pairs.join(side("a"), "a").join(side("b"), "b").select("ra", "rb", "na", "nb", "sa", "sb")
     left = ws.keep(wide.mapInArrow(_bounded(percent), "ra long, rb long"), f"{name}-bounded")
@@ -379,6 +390,16 @@ def _check(ws: Workspace, docs: DataFrame, reps: DataFrame, pairs: DataFrame, na
     return links
 
 
+def _loose(ws: Workspace, posts: DataFrame, joined: DataFrame, name: str) -> DataFrame:
+    """Rows of the long tiles that hold several components: ``dense`` is the
+    component with most rows of the tile, ``loose`` marks the others' rows."""
+    rows = posts.join(joined, F.col("rep") == F.col("node"), "left").select("token", "skey", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+    rows = ws.keep(rows, f"{name}-state")
+    shares = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("dense"), F.count("*").alias("comps")).where("comps > 1")
+    return rows.join(ws.keep(mixed.select("token", "dense"), f"{name}-mixed"), "token").withColumn("loose", F.col("comp") != F.col("dense"))
+
+
 def similar(
     docs: DataFrame,
     ws: Workspace,
@@ -416,20 +437,47 @@ def similar(
 
     # long tiles: members that are still in different components
     posts = found.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("skey"), "n").distinct()
-    posts = posts.join(reps.select("skey", "rep", "sig"), "skey").join(joined, F.col("rep") == F.col("node"), "left")
-    posts = ws.keep(posts.select("token", "skey", F.col("n").cast("long").alias("n"), "sig", F.coalesce("component", "rep").alias("comp")), "posts")
-    shares = posts.groupBy("token", "comp").agg(F.count("*").alias("c"))
-    mixed = shares.groupBy("token").agg(F.sum("c").alias("all"), F.max_by("comp", F.struct("c", "comp")).alias("dense"), F.count("*").alias("comps"))
-    mixed = ws.keep(mixed.where("comps > 1").select("token", "dense", F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "mixed")
-    rows = posts.join(mixed, "token").withColumn("loose", F.col("comp") != F.col("dense"))
+    posts = posts.join(reps.select("skey", "rep"), "skey").select("token", "skey", "rep", F.col("n").cast("long").alias("n"))
+    posts = ws.keep(posts, "posts")
+    tested, all_links = pairs, links
+    for turn in range(ROUNDS):
+        state = _loose(ws, posts, joined, f"round{turn}")
+        # each loose set is tested against one member of the component it meets:
+        # first the one with the most links, later ones by chance
+        deg = all_links.select(F.col("u").alias("rep")).unionAll(all_links.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("deg"))
+        order = F.struct(F.coalesce("deg", F.lit(0)).alias("o"), "skey") if turn == 0 else F.struct(F.xxhash64("skey", F.lit(turn)).alias("o"), "skey")
+        heads = state.where("not loose").select("dense", "skey", "rep", "n").distinct().join(deg, "rep", "left")
+        heads = heads.groupBy("dense").agg(F.max_by(F.struct("skey", "n"), order).alias("head"))
+        near = state.where("loose").select("dense", "skey", "n").distinct().join(heads, "dense")
+        near = near.where(f"100 * least(n, head.n) >= {percent} * greatest(n, head.n)")
+        near = near.select(F.least("skey", "head.skey").alias("a"), F.greatest("skey", "head.skey").alias("b")).distinct()
+        near = ws.keep(near.join(tested, ["a", "b"], "left_anti"), f"round{turn}-pairs")
+        all_links = all_links.unionByName(_check(ws, docs, reps, near, f"round{turn}", width, percent))
+        tested = tested.unionByName(near)
+        joined = ws.keep(components(ws, all_links, f"round{turn}-cc"), f"round{turn}-joined")
+
+    # what is still apart: loose sets against the dense component of their tile,
+    # once per component, and against each other, tile by tile
+    state = _loose(ws, posts, joined, "open")
+    sized = reps.select("skey", "sig")
+    dense = state.where("not loose").select("dense", "skey", "n", F.col("dense").alias("comp")).distinct()
+    chunks = ws.keep(dense.groupBy("dense").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "open-chunks")
+    dense = dense.join(chunks, "dense").select(F.col("dense").alias("tile"), F.pmod(F.hash("skey"), F.col("chunks")).alias("chunk"), "n", "skey", "comp", F.lit(False).alias("probe"), F.lit(True).alias("home"))
+    probes = state.where("loose").select("dense", "skey", "n", "comp").distinct().join(chunks, "dense")
+    probes = probes.select(F.col("dense").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "n", "skey", "comp", F.lit(True).alias("probe"), F.lit(False).alias("home"))
+    apart = state.where("loose").select("token", "skey", "n", "comp")
+    mixed = apart.groupBy("token").agg(F.count("*").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    mixed = ws.keep(mixed.select("token", F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "open-tiles")
     own = F.pmod(F.hash("skey"), F.col("chunks"))
-    rows = rows.withColumn("chunk", F.explode(F.when(F.col("loose"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))))
-    rows = rows.select("token", "chunk", "n", "skey", "comp", "loose", (F.col("chunk") == own).alias("home"), "sig")
-    rows = rows.repartition(parts, "token", "chunk").sortWithinPartitions("token", "chunk")
-    more = rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = ws.keep(more, "open")
-    late = _check(ws, docs, reps, more, "open", width, percent)
-    final = ws.keep(components(ws, links.unionByName(late), "cc2"), "components")
+    apart = apart.join(mixed, "token").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # the tile of a token is told from that of a component by its sign bit
+    apart = apart.select(F.col("token").bitwiseOR(F.lit(-(1 << 63))).alias("tile"), "chunk", "n", "skey", "comp", F.lit(True).alias("probe"), (F.col("chunk") == own).alias("home"))
+    rows = dense.unionByName(probes).unionByName(apart).join(sized, "skey").select("tile", "chunk", "n", "skey", "comp", "probe", "home", "sig")
+    rows = rows.repartition(parts, "tile", "chunk").sortWithinPartitions("tile", "chunk")
+    more = rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    more = ws.keep(more, "open-pairs")
+    late = _check(ws, docs, reps, more, "late", width, percent)
+    final = ws.keep(components(ws, all_links.unionByName(late), "cc2"), "components")
 
     named = reps.join(final, F.col("rep") == F.col("node"), "left").select(
         "skey", F.coalesce("component", "rep").alias("component_id")
