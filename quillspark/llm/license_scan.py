@@ -130,6 +130,9 @@ OTHER = [
 # Words that alone say nothing about a licence.
 STOP = "a an and any are as at be by can de der die du el en for from has he http https in is it its la le not of on or that the their this to was were who with without you your work use file files copy may part person terms form forms all more".split()
 
+# Words of which a paragraph that states a licence has one at least.
+ANCHORS = "license licensed licenses licence licenced sublicense apache gnu gpl gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 affero bsd mozilla mpl cc cc0 creative sharealike noncommercial attribution copyright copyrights spdx redistribution redistributions granted waived reserved reproduced distributed domain foundation obtain".split()
+
 _SPACE = r"[^a-z0-9.]+"
 _DOT = r"\.(?![0-9])|(?<![0-9])\."
 OTHER_CLASS = "none"
@@ -173,7 +176,7 @@ def _fit(x: np.ndarray, y: np.ndarray, classes: int, l1: float = 0.0015, rounds:
 @lru_cache(maxsize=1)
 def train():
     """The fitted model: classes, rows ``(gram, class, weight)``, intercepts,
-    temperature, and the words that a gram with a weight must hold one of."""
+    temperature."""
     classes = [*sorted(TEMPLATES), OTHER_CLASS]
     texts = [(t, classes.index(f)) for f in sorted(TEMPLATES) for t in TEMPLATES[f]] + [(t, len(classes) - 1) for t in OTHER]
     stop = set(STOP)
@@ -198,8 +201,7 @@ def train():
 
     heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
     rows = [(vocabulary[i], classes[c], float(w[i, c])) for i, c in zip(*np.nonzero(w))]
-    anchors = sorted({v for g, _, _ in rows for v in g.split() if v not in stop})
-    return classes, rows, [float(v) for v in b], float(heat), anchors
+    return classes, rows, [float(v) for v in b], float(heat)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,40 +210,39 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     the likeliest family, ``template_match`` (largest share of one of its
     templates) and ``n_grams``.
 
-    Paragraphs without a word that a weight depends on are prose by the model's
-    own numbers and are not scored further.  Null and empty texts have no
+    A paragraph without any of ANCHORS is prose.  Null and empty texts have no
     paragraph; rows that repeat an id give repeated rows; an empty table gives
-    none; other columns are not read.  Only paragraphs with such words, a few
-    words each, leave their task.
+    none; other columns are not read.  Only paragraphs with such words leave
+    their task, as the few grams that the model knows; the model and the
+    templates are one small table of fixed size.
     """
     spark = docs.sparkSession
-    classes, weights, intercepts, heat, anchors = train()
+    classes, weights, intercepts, heat = train()
     lines = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    words = lines.select("id", "row", "paragraph", words_column(F.col("line")).alias("words"))
-    words = words.where(F.exists("words", lambda w: w.isin(anchors)))
-    grams = words.select("id", "row", "paragraph", gram_column(F.col("words")).alias("grams"))
-    marks = F.broadcast(spark.createDataFrame([(g, c, w) for g, c, w in weights], "gram string, class string, weight double"))
-    parts = [(g, f, f"{f}/{i}", 1.0 / len(grams_of(t))) for f in sorted(TEMPLATES) for i, t in enumerate(TEMPLATES[f]) for g in grams_of(t)]
-    shapes = F.broadcast(spark.createDataFrame(parts, "gram string, class string, template string, share double"))
+    lines = lines.where(F.exists(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w.isin(ANCHORS)))
+    grams = lines.select("id", "row", "paragraph", gram_column(words_column(F.col("line"))).alias("grams"))
+    known = [(g, c, None, w, 0.0) for g, c, w in weights]
+    known += [(g, f, f"{f}/{i}", 0.0, 1.0 / len(grams_of(t))) for f in sorted(TEMPLATES) for i, t in enumerate(TEMPLATES[f]) for g in grams_of(t)]
+    known = F.broadcast(spark.createDataFrame(known, "gram string, class string, template string, weight double, share double"))
     key = ["id", "row", "paragraph"]
     each = grams.select(*key, F.size("grams").cast("long").alias("n_grams"), F.explode("grams").alias("gram"))
-    sums = [F.sum(F.when(F.col("class") == c, F.col("weight")).otherwise(0.0)).alias(f"z{i}") for i, c in enumerate(classes)]
-    scored = each.join(marks, "gram").groupBy(*key, "n_grams").agg(*sums)
-    logits = F.array(*[F.struct(((F.col(f"z{i}") + intercepts[i]) / heat).alias("z"), F.lit(c).alias("class")) for i, c in enumerate(classes)])
-    scored = scored.select(*key, "n_grams", logits.alias("z")).withColumn("top", F.array_max("z"))
+    sums = each.join(known, "gram").groupBy(*key, "n_grams", "class", "template").agg(F.sum("weight").alias("weight"), F.sum("share").alias("share"))
+    sums = sums.groupBy(*key, "n_grams", "class").agg(F.sum("weight").alias("weight"), F.max("share").alias("match"))
+    z = lambda i, c: (F.coalesce(F.max(F.when(F.col("class") == c, F.col("weight"))), F.lit(0.0)) + intercepts[i]) / heat
+    seen = lambda c: F.coalesce(F.max(F.when(F.col("class") == c, F.col("match"))), F.lit(0.0))
+    scored = sums.groupBy(*key, "n_grams").agg(F.array(*[F.struct(z(i, c).alias("z"), seen(c).alias("match"), F.lit(c).alias("class")) for i, c in enumerate(classes)]).alias("z"))
+    scored = scored.withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v["z"] - F.col("top.z")))
-    scored = scored.withColumn("total", total).select(
+    scored = scored.select(
         *key,
         "n_grams",
         F.array_max(F.filter("z", lambda v: v["class"] != OTHER_CLASS)).alias("best"),
-        (F.exp(F.filter("z", lambda v: v["class"] == OTHER_CLASS)[0]["z"] - F.col("top.z")) / F.col("total")).alias("p_other"),
-        "top",
-        "total",
+        F.filter("z", lambda v: v["class"] == OTHER_CLASS)[0]["z"].alias("other"),
+        F.col("top.z").alias("ztop"),
+        total.alias("total"),
     )
-    scored = scored.where("p_other < 0.5").select(*key, "n_grams", F.col("best.class").alias("class"), (F.exp(F.col("best.z") - F.col("top.z")) / F.col("total")).alias("probability"))
-    match = each.join(shapes, "gram").groupBy(*key, "class", "template").agg(F.sum("share").alias("match"))
-    match = match.groupBy(*key, "class").agg(F.max("match").alias("template_match"))
-    found = scored.join(match, [*key, "class"], "left").withColumn("template_match", F.round(F.coalesce("template_match", F.lit(0.0)), 6))
+    chance = lambda v: F.exp(v - F.col("ztop")) / F.col("total")
+    found = scored.where(chance(F.col("other")) < 0.5).select(*key, "n_grams", F.col("best.class").alias("class"), chance(F.col("best.z")).alias("probability"), F.round("best.match", 6).alias("template_match"))
     sure = (F.col("probability") >= CONFIDENT) & (F.col("template_match") >= CONFIRMED)
     return found.select(
         F.col("id").alias(id_col),
