@@ -160,8 +160,8 @@ def hex_to_rgb(x) -> Column:
     return F.concat_ws(",", part(2), part(4), part(6))
 
 
-def link_width(weight, highlighted=F.lit(False)) -> Column:
-    extra = F.when(highlighted, 2.0).otherwise(0.0)
+def link_width(weight, highlighted=None) -> Column:
+    extra = F.lit(0.0) if highlighted is None else F.when(col(highlighted), 2.0).otherwise(0.0)
     return F.least(1.2 + 2.0 * F.least(col(weight) - 1, F.lit(4)) + extra, F.lit(8.0))
 
 
