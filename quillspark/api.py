@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import build, extract, graph, retrieval
 from .sources import sinks
+from .workspace import Workspace
 
 NO_RESULT = "Nothing in the selected documents answers this question."
 
@@ -34,17 +35,18 @@ def build_tables(pages: DataFrame, provider=None, config: Config | None = None)
 
     Rows follow ``batch_id`` and place, whatever the order of the calls."""
     config, provider = config or Config(), provider or extract.WordProvider()
-    split = build.split_empty(build.classify(pages.withColumn("page_number", F.col("page_number").cast("int"))))
+    ws = Workspace(pages.sparkSession, "build")
+    split = ws.keep(build.split_empty(build.classify(pages.withColumn("page_number", F.col("page_number").cast("int")))), "split")
     kept = split.where("kept")
-    batched = build.batches(kept, config.page_batch, config.image_page_batch)
-    batches = build.batch_table(batched)
+    batches = ws.keep(build.batch_table(build.batches(kept, config.page_batch, config.image_page_batch)), "batches")
     extract.check_vision(batches, provider)
-    answers = extract.parse_answers(extract.run_provider(batches, provider, config.workers, config.max_retries))
-    answers = answers.join(batches.select("document_id", "batch_id", F.col("page_numbers").alias("allowed")), ["document_id", "batch_id"]).persist()
-    raw = extract.concepts(answers)
+    # the calls are made once: everything below reads their written answers
+    raw_answers = ws.keep(extract.run_provider(batches, provider, config.workers, config.max_retries), "answers")
+    answers = extract.parse_answers(raw_answers).join(batches.select("document_id", "batch_id", F.col("page_numbers").alias("allowed")), ["document_id", "batch_id"])
+    raw = ws.keep(extract.concepts(answers), "raw")
     known = kept.groupBy("document_id").agg(F.collect_set("page_number").alias("allowed"))
-    checked = build.validate_concepts(raw, known)
-    concepts = build.merge_concepts(checked.where("valid").drop("valid", "reason"))
+    checked = ws.keep(build.validate_concepts(raw, known), "checked")
+    concepts = ws.keep(build.merge_concepts(checked.where("valid").drop("valid", "reason")), "concepts")
     edges = build.graph_edges(build.dedup_edges(extract.relationships(answers, raw)), concepts)
     sizes = split.groupBy("document_id").agg(
         F.max("title").alias("title"), F.count("*").alias("pages"), F.count_if("kept").alias("pages_extracted"),
@@ -60,7 +62,7 @@ def build_tables(pages: DataFrame, provider=None, config: Config | None = None)
         "postings": build.keyword_postings(concepts),
         "local_aliases": build.alias_map(extract.aliases(answers)),
         **{k: build.first_entries(extract.entries(answers, k), "body", "page_numbers") for k in ("glossary", "procedures", "apis")},
-        "usage": answers.select("document_id", "batch_id", "input_tokens", "output_tokens", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens")),
+        "usage": raw_answers.select("document_id", "batch_id", "input_tokens", "output_tokens", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens")),
         "validation": build.validation_summary(checked),
     }
 
@@ -129,12 +131,17 @@ class Answer:
 
 
 def ask_all(intents: DataFrame, store: retrieval.Store, scope: DataFrame, config: Config | None = None) -> Answer:
-    config = config or Config()
-    terms = retrieval.plan_terms(intents).persist()
-    found = retrieval.candidates(terms, store, scope, config.relationship_depth).persist()
-    ranked = retrieval.rank(found, terms, store, config.relationship_depth)
-    top = retrieval.hydrate(ranked.where(F.col("rank") <= config.top_k_concepts), store).persist()
-    pages = retrieval.evidence(top, terms, store, config.top_k_evidence_pages).persist()
+    config, ws = config or Config(), Workspace(intents.sparkSession, "ask")
+    terms = ws.keep(retrieval.plan_terms(intents), "terms")
+    found = ws.keep(retrieval.candidates(terms, store, scope, config.relationship_depth), "found")
+    lists = [
+        ws.keep(retrieval.bm25(found, terms, store), "bm25"),
+        ws.keep(retrieval.alias_list(found, terms, store), "alias"),
+        ws.keep(retrieval.graph_list(found, terms, store, config.relationship_depth), "graph"),
+    ]
+    ranked = retrieval.fuse(found, *lists).where(F.col("rank") <= config.top_k_concepts)
+    top = ws.keep(retrieval.hydrate(ranked, store), "top")
+    pages = ws.keep(retrieval.evidence(top, terms, store, config.top_k_evidence_pages), "evidence")
     return Answer(
         retrieval.build_context(top, pages, config.max_context_tokens),
         retrieval.citations(top, pages),

@@ -91,10 +91,13 @@ def run_provider(batches: DataFrame, provider: Provider, workers: int | None = N
 
 
 def parse_answers(raw: DataFrame) -> DataFrame:
-    """Adds ``v``, the answer as VARIANT; an answer without a JSON object raises."""
-    v = T.extract_json("raw")
+    """Adds ``v``, the answer as VARIANT; an answer without a JSON object raises.
+    ``raw`` should be a written table: every table of a build parses it again,
+    and the calls must not be made again."""
+    raw = raw.withColumn("j", T.extract_json("raw"))
+    v = F.col("j")
     fail = F.raise_error(F.concat(F.lit("no JSON object in the answer of batch "), F.col("batch_id").cast("string")))
-    return raw.withColumn("v", F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), v).otherwise(fail.cast("variant")))
+    return raw.withColumn("v", F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), v).otherwise(fail.cast("variant"))).drop("j")
 
 
 def as_list(v, path: str):

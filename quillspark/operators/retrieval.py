@@ -2,6 +2,9 @@
 
 Every table carries ``query_id``, so one job answers many questions.  Term tables
 are ``(query_id, term, origin, ord)``; ``origin`` is ``concept`` or ``keyword``.
+The steps are lazy; store or persist what one hands to the next (terms,
+candidates, the ranked top), or the plan of the whole chain grows with every
+step that reads it more than once.
 """
 from __future__ import annotations
 
@@ -223,7 +226,7 @@ def build_context(top: DataFrame, pages: DataFrame, max_tokens: int = 6000) -> D
     part = F.regexp_replace(F.substring("text", F.lit(1), F.greatest(F.lit(0), (room * T.CHARS_PER_TOKEN - len(CUT_MARK)).cast("int"))), r"(?U)\s+$", "")
     shown = F.when(fits, F.col("text")).when((room > 0) & (part != ""), F.concat(part, F.lit(CUT_MARK)))
     over = F.sum(F.when(~fits, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("shown", shown).where((over <= 1) & F.col("shown").isNotNull())
+    rows = rows.withColumn("shown", shown).withColumn("over", over).where((F.col("over") <= 1) & F.col("shown").isNotNull())
     parts = F.array_sort(F.collect_list(F.struct("tier", "at", "shown")))
     whole = F.array_join(F.transform(F.col("parts"), lambda p: p["shown"]), "\n")
     out = rows.groupBy("query_id").agg(parts.alias("parts")).select("query_id", whole.alias("context"))

@@ -133,9 +133,9 @@ def line_text(spans: list[tuple[float, float, float, str]]) -> str:
     if not spans:
         return ""
     sizes = [s[1] for s in spans]
-    usual = max(sorted(set(sizes)), key=sizes.count)
+    usual = max(set(sizes), key=lambda v: (sizes.count(v), v))
     base = sum(s[2] for s in spans) / len(spans)
-    raised = lambda s: s[1] < 0.8 * usual and s[2] < base
+    raised = lambda s: s[1] < 0.8 * usual and s[2] < base  # noqa: E731  (a smaller y is higher)
     return "".join(("^" if raised(s) else "") + s[3] for s in sorted(spans))
 
 
@@ -201,14 +201,14 @@ def load_markdown(spark: SparkSession, path: str) -> DataFrame:
     The file starts with ``# name``, may have a ``## Metadata`` block, and has
     ``# Page N`` sections; what stands before the first page is dropped and
     repeated page numbers stay rows of their own."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
     if not files.where(~F.col("text").startswith("#")).isEmpty():
         raise ValueError("a parsed markdown file starts with a # line")
     mark = r"(?mi)^#[^\S\n]*Page[^\S\n]+([0-9]+)[^\S\n]*$"
     head = F.element_at(F.split("text", mark), 1)
     lines = F.split(head, "\n")
     entries = F.filter(lines, lambda s: s.rlike(r"^\s*(-\s*)?[^#_\s-][^:]*:") & ~s.rlike(r"^\s*(#|---|_.*_\s*$)"))
-    pairs = F.transform(entries, lambda s: F.struct(F.trim(F.regexp_extract(s, r"^\s*-?\s*([^:]+):", 1)).alias("key"), F.trim(F.regexp_extract(s, r"^[^:]+:(.*)$", 1)).alias("value")))
+    pairs = F.transform(entries, lambda s: F.named_struct(F.lit("key"), F.trim(F.regexp_extract(s, r"^\s*-?\s*([^:]+):", 1)), F.lit("value"), F.trim(F.regexp_extract(s, r"^[^:]+:(.*)$", 1))))
     latest = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     has = F.exists(lines, lambda s: s.rlike(r"(?i)^\s*##\s*metadata"))
     metadata = F.when(has, F.map_from_entries(latest)).otherwise(F.create_map().cast("map<string,string>"))
@@ -222,7 +222,7 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
     """Parsed JSON, in either spelling of its keys, as :func:`load_markdown`'s rows."""
     page = "array<struct<page_number:string,page_no:string,content:string>>"
     schema = f"file_name string, FileName string, metadata map<string,string>, pages {page}, FileContent {page}"
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d"))
     rows = files.select("path", F.coalesce("d.file_name", "d.FileName").alias("name"), F.coalesce("d.metadata", F.create_map().cast("map<string,string>")).alias("metadata"), F.explode(F.coalesce("d.pages", "d.FileContent")).alias("p"))
     number = F.coalesce("p.page_number", "p.page_no")
     known = F.when(number.isNull(), F.raise_error(F.lit("a page has no number"))).otherwise(number)
@@ -231,7 +231,7 @@ def load_json(spark: SparkSession, path: str) -> DataFrame:
 
 def load_text(spark: SparkSession, path: str) -> DataFrame:
     """The plain-text layout of :func:`quillspark.operators.build.format_text`."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     mark = r"(?m)^PAGE_NO : ([0-9]+)$"
     bodies = F.slice(F.split("text", mark), 2, F.size(F.split("text", mark)))
     rows = files.select("path", F.regexp_extract("text", r"^FILE_NAME : (.*)", 1).alias("name"), F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(mark), 1).alias("n"), bodies.alias("b"))).alias("p"))

@@ -70,7 +70,7 @@ def test_bm25(spark, store, both):
 
 def test_fusion(spark, store, both):
     t = terms(spark, ["sample magic"], ["sample magic"])
-    found = retrieval.candidates(t, store, both, 1)
+    found = retrieval.candidates(t, store, both, 1).persist()
     got = [(r["concept_id"], r["score"]) for r in retrieval.rank(found, t, store, 1).orderBy("rank").collect()]
     assert [c for c, _ in got] == ["sample-magic", "sample-energy", "sample-potion"]
     assert [s for _, s in got] == [pytest.approx(x, abs=1e-8) for x in (3 / 61, 1 / 62, 1 / 63)]
@@ -86,7 +86,8 @@ def test_search_depth(spark, store):
 
 def test_evidence(spark, store, both):
     t = terms(spark, ["sample magic"], ["magic", "sample"])
-    top = retrieval.hydrate(retrieval.rank(retrieval.candidates(t, store, both, 1), t, store, 1), store)
+    found = retrieval.candidates(t, store, both, 1).persist()
+    top = retrieval.hydrate(retrieval.rank(found, t, store, 1).persist(), store).persist()
     kept = retrieval.evidence(top, t, store, 5).collect()
     assert [(r["document_id"], r["page_number"]) for r in kept] == [("doc-a", 3)] and kept[0]["score"] == 1.0
     multi = retrieval.evidence(top, terms(spark, [], ["sample magic"]), store, 5)
