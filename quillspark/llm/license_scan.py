@@ -252,3 +252,43 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "template_match",
         "n_grams",
     )
+
+
+def scan_sql() -> str:
+    """SQL (DuckDB dialect) for the rows of :func:`scan` over ``documents``, with
+    the fitted weights and the templates as literal rows."""
+    classes, weights, intercepts, heat = train()
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    known = [f"({text(g)}, {text(c)}, NULL, {w!r}, 0.0)" for g, c, w in weights]
+    known += [f"({text(g)}, {text(f)}, {text(f'{f}/{i}')}, 0.0, {1.0 / len(grams_of(t))!r})" for f in sorted(TEMPLATES) for i, t in enumerate(TEMPLATES[f]) for g in grams_of(t)]
+    base = ", ".join(f"({text(c)}, {b!r})" for c, b in zip(classes, intercepts))
+    number = "regexp_replace({0}, '([0-9])\\.([0-9])', '\\1~\\2', 'g')"
+    plain = f"regexp_replace(lower(line), '{_SPACE}', ' ', 'g')"
+    plain = f"replace(replace({number.format(number.format(plain))}, '.', ' '), '~', '.')"
+    return f"""
+        WITH model(gram, class, template, weight, share) AS (VALUES {", ".join(known)}),
+        base(class, b) AS (VALUES {base}),
+        l AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph,
+                   row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
+        c AS (SELECT * FROM l WHERE len(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w IN ({", ".join(map(text, ANCHORS))}))) > 0),
+        w AS (SELECT doc_id, paragraph, r, list_filter(string_split({plain}, ' '), lambda w: w <> '') AS words FROM c),
+        g AS (
+            SELECT doc_id, paragraph, r, list_distinct(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS grams FROM w),
+        e AS (SELECT doc_id, paragraph, r, len(grams) AS n_grams, unnest(grams) AS gram FROM g),
+        s AS (
+            SELECT doc_id, paragraph, r, n_grams, class, template, sum(weight::DOUBLE) AS weight, sum(share::DOUBLE) AS share
+            FROM e JOIN model USING (gram) GROUP BY ALL),
+        t AS (SELECT doc_id, paragraph, r, n_grams, class, sum(weight) AS weight, max(share) AS match FROM s GROUP BY ALL),
+        z AS (
+            SELECT k.doc_id, k.paragraph, k.r, k.n_grams, base.class, (coalesce(t.weight, 0) + base.b::DOUBLE) / {heat!r} AS z, coalesce(t.match, 0) AS match
+            FROM (SELECT DISTINCT doc_id, paragraph, r, n_grams FROM t) k CROSS JOIN base LEFT JOIN t ON t.r = k.r AND t.paragraph = k.paragraph AND t.class = base.class),
+        p AS (SELECT *, exp(z) / sum(exp(z)) OVER (PARTITION BY r, paragraph) AS p FROM z),
+        f AS (
+            SELECT doc_id, paragraph, n_grams, max(p) FILTER (class = '{OTHER_CLASS}') AS other,
+                   arg_max(class, z) FILTER (class <> '{OTHER_CLASS}') AS class, max(p) FILTER (class <> '{OTHER_CLASS}') AS probability,
+                   arg_max(match, z) FILTER (class <> '{OTHER_CLASS}') AS match
+            FROM p GROUP BY doc_id, paragraph, r, n_grams)
+        SELECT doc_id, paragraph, CASE WHEN probability >= {CONFIDENT} AND round(match, 6) >= {CONFIRMED} THEN class ELSE 'unknown' END AS family,
+               round(probability, 6) AS probability, round(match, 6) AS template_match, n_grams
+        FROM f WHERE other < 0.5"""

@@ -149,6 +149,7 @@ ORACLE_SQL = {
         n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
         SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
         FROM embeddings e JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id""",
+    "op8_license_scan": license_scan.scan_sql(),
     "op9_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
