@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 from bisect import bisect_left
 
 import numpy as np
@@ -23,11 +24,19 @@ import numpy as np
 WINDOW = 2048
 #: Characters fed to the transducer at once.
 CHUNK = 1 << 16
-CACHE = 300_000
+_NEVER = 1 << 60
+#: Entries of a generation of the caches of pieces and of words.
+CACHE = 120_000
 LONGEST = 128
 
 _AWKWARD = re.compile(r"\s | \s")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces of plain letters, digits and marks, and their pre-tokens: what the
+#: state machine would give, found by a pattern.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_MARKS = r"!-&(-/:-@\[-`{-~"
+_SIMPLE = re.compile(rf" ?[{_LETTERS}0-9{_MARKS}]+(?:\n[{_LETTERS}0-9{_MARKS}]+)*")
+_PARTS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
 _LOADED: dict[str, "Bpe"] = {}
 
 
@@ -72,6 +81,25 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], size: list[int]) ->
     return most
 
 
+class Generations(dict):
+    """A bounded cache of ``make(key)``: a full generation becomes the old one,
+    what is used again moves to the new one."""
+
+    def __init__(self, size: int, make):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class Bpe:
     def __init__(self, path: str):
         from tokenizers.pre_tokenizers import ByteLevel
@@ -91,13 +119,17 @@ class Bpe:
         for c, b in alphabet.items():
             self.byte_id[b] = vocab[c]
         self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.rank_of = {pair: r for pair, (r, _) in self.rank.items()}
+        self.made = [vocab[a + b] for a, b in pairs]
         self.lookahead = sufficient_lookahead([(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs], [len(x) for x in self.bytes])
         self.window = max(WINDOW, 4 * self.lookahead)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.longest_special = max([1, *map(len, self.special)])
         self._classes: dict[str, str] = {}
         self._probe = ByteLevel(add_prefix_space=False)
-        self._cache: tuple[dict, dict] = ({}, {})
+        self.words = Generations(CACHE, self._word)
+        self.pieces = Generations(CACHE, self._piece)
+        self.spaced = Generations(CACHE, lambda piece: self._piece(" " + piece))
 
     # -- merges ---------------------------------------------------------
     def merge(self, data: bytes) -> list[int]:
@@ -105,16 +137,19 @@ class Bpe:
         ids = [self.byte_id[b] for b in data]
         if len(ids) > 48:
             return self._merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                r = rank.get((ids[i], ids[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        get, made = self.rank_of.get, self.made
+        ranks = [get(pair, _NEVER) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == _NEVER:
                 break
-            ids[at : at + 2] = [best[1]]
+            at, new = ranks.index(best), made[best]
+            ids[at : at + 2] = [new]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get((ids[at - 1], new), _NEVER)
+            if at < len(ranks):
+                ranks[at] = get((new, ids[at + 1]), _NEVER)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -199,19 +234,15 @@ class Bpe:
             yield text[i:], None
 
     # -- encoder --------------------------------------------------------
-    def piece(self, piece: str, spaced: bool) -> bytes:
-        """Ids of a whole piece through the cache."""
-        cache = self._cache[spaced]
-        ids = cache.get(piece)
-        if ids is None:
-            out: list[int] = []
-            for part, _ in self.fragments(" " + piece if spaced else piece, True):
-                out += self.merge(part.encode())
-            ids = np.array(out, "<u4").tobytes()
-            if len(cache) >= CACHE:
-                cache.clear()
-            cache[piece] = ids
-        return ids
+    def _word(self, text: str) -> bytes:
+        ids = self.merge(text.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _piece(self, text: str) -> bytes:
+        """Ids of a whole piece (LONGEST characters at most)."""
+        if _SIMPLE.fullmatch(text):
+            return b"".join(map(self.words.__getitem__, _PARTS.findall(text)))
+        return b"".join([self.words[p] for p, _ in self.fragments(text, True)])
 
 
 class Encoder:
@@ -267,20 +298,17 @@ class Encoder:
             pieces = _LONE.split(text)
         else:
             pieces = text.split(" ")
-        spaced = False
-        out = []
-        for k, p in enumerate(pieces):
-            end = k == len(pieces) - 1
-            if (not end or last) and len(p) <= LONGEST:
-                out.append(bpe.piece(p, spaced))
-            else:
-                if out:
-                    yield b"".join(out)
-                    out = []
-                yield from self._stream((" " + p) if spaced else p, not end or last)
-            spaced = True
-        if out:
-            yield b"".join(out)
+        tail = None if last else pieces.pop()  # what follows may belong to it
+        if pieces and max(map(len, pieces)) <= LONGEST:
+            yield bpe.pieces[pieces[0]] + b"".join(map(bpe.spaced.__getitem__, pieces[1:]))
+        else:
+            for k, p in enumerate(pieces):
+                if len(p) > LONGEST:
+                    yield from self._stream((" " + p) if k else p, True)
+                else:
+                    yield bpe.spaced[p] if k else bpe.pieces[p]
+        if tail is not None:
+            yield from self._stream((" " + tail) if pieces else tail, False)
 
     def _stream(self, text: str, last: bool):
         for part, ended in self.bpe.fragments(text, last):
