@@ -245,7 +245,8 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_
 
     fit = texts.where("role = 2").select("text", "toxic").mapInArrow(ratios, "x double, toxic int").toArrow()
     model.slope, model.offset = _calibrate(fit.column("x").to_numpy(), fit.column("toxic").to_numpy())
-    sent.unpersist()
+    sent.destroy()
+    pa.default_memory_pool().release_unused()  # the driver keeps the model only
     return model
 
 
