@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..workspace import Workspace
+from ..workspace import Workspace, numbered
 from ..workspace import components as star_components
 
 PALETTE_SIZE = 30
@@ -50,13 +50,8 @@ def nodes(concepts: DataFrame, documents_first: bool = True) -> DataFrame:
 
 
 def with_idx(rows: DataFrame) -> DataFrame:
-    """0-based node position in (document, order, id) order; two passes (counts
-    per document, then ranks within one) so that no task sorts all nodes."""
-    sizes = rows.groupBy("doc").agg(F.count("*").alias("n"))
-    before = Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)  # a row per document
-    firsts = sizes.select("doc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = F.row_number().over(Window.partitionBy("doc").orderBy("ord", "id")) - 1
-    return rows.withColumn("_r", within).join(firsts, "doc").withColumn("idx", (F.col("_r") + F.col("first")).cast("long")).drop("_r", "first")
+    """0-based node position in (document, order, id) order."""
+    return numbered(Workspace(rows.sparkSession, "nodes"), rows, ["doc", "ord", "id"], "nodes")
 
 
 def links(edges: DataFrame, node_rows: DataFrame) -> DataFrame:
@@ -109,9 +104,8 @@ def components(node_rows: DataFrame, link_rows: DataFrame) -> DataFrame:
     found = star_components(ws, ends.select("u", "v"))
     label = ids.join(found, F.col("idx") == F.col("node"), "left").select("id", F.coalesce("component", "idx").alias("label"))
     label = ws.keep(label, "label")
-    roots = label.select("label").distinct()
-    numbered = roots.withColumn("component", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))  # a row per component
-    return label.join(numbered, "label").select("id", "component")
+    roots = numbered(ws, label.select("label").distinct(), ["label"], "roots", "component")
+    return label.join(roots, "label").select("id", "component")
 
 
 def clusters(component_rows: DataFrame, degree_rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shipping import ship
@@ -65,6 +65,19 @@ def join_counted(big: DataFrame, small: DataFrame, on, how: str = "inner", limit
     return big.hint("merge").join(small.hint("merge"), on, how)
 
 
+def numbered(ws: Workspace, df: DataFrame, order: list[str], name: str, column: str = "idx") -> DataFrame:
+    """Adds the 0-based position of every row in ``order``, without a task that
+    sees all rows: the rows are written by ranges, ranges are counted, and a row's
+    position is its range's first one plus its rank there."""
+    kept = ws.keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    firsts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    out = kept.withColumn("_rank", rank).join(F.broadcast(firsts), "_range")
+    return out.withColumn(column, (F.col("_first") + F.col("_rank")).cast("long")).drop("_range", "_rank", "_first")
+
+
 def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges(u, v)`` -> ``(node, component)``.
 
