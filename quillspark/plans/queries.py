@@ -705,8 +705,8 @@ def u6_no_result(c):
 @query
 def bench_bm25(c):
     """Top concepts per benchmark item: keyword postings scored by BM25."""
-    terms = retrieval.plan_terms(c.benchmark_intents)
-    found = retrieval.candidates(terms, c.store, c.documents.select("document_id"), 0)
+    terms = c.stored("bench_terms", lambda: retrieval.plan_terms(c.benchmark_intents))
+    found = c.stored("bench_found", lambda: retrieval.candidates(terms, c.store, c.documents.select("document_id"), 0))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "concept_id", "document_id"))
     return retrieval.bm25(found, terms, c.store).withColumn("position", at.cast("long")).where(F.col("position") <= TOP_K).select("query_id", "position", "concept_id", "document_id", F.round("score", 6).alias("score"))
 
