@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, components
 
-#: Pivots are this many at most, drawn from a sample of that many vectors.
+#: Pivots are this many at most, drawn from a sample of twice as many vectors.
 MAX_PIVOTS = 2048
 PREFIX = 8
 SHARED = 2
@@ -37,6 +37,21 @@ def pivot_count(n: int) -> int:
     return int(min(MAX_PIVOTS, max(32, 4 * n**0.5)))
 
 
+def apart(units: list[np.ndarray], want: int, least: float) -> np.ndarray:
+    """``want`` of the vectors at most, in their order, none within twice the angle
+    of ``least`` of an earlier one: whatever links with the same vector gets one
+    pivot, so a hot group cannot fill the table with near copies of itself."""
+    limit = max(0.0, 2 * least * least - 1)
+    table, n = np.empty((want, len(units[0]))), 0
+    for u in units:
+        if n == want:
+            break
+        if not n or (table[:n] @ u).max() < limit:
+            table[n] = u
+            n += 1
+    return table[:n].copy()
+
+
 def _posted(pivots, prefix: int):
     """vec rows -> one row per posting, with the sorted prefix and the vector."""
 
@@ -159,27 +174,28 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``.
 
-    The pivots come from a bounded sample (``MAX_PIVOTS`` vectors by the hash of
-    their id), every vector is indexed.  Null, zero and non-finite vectors, and
+    The pivots come from a bounded sample (``2 * MAX_PIVOTS`` vectors by the hash of
+    their id) and lie :func:`apart`, every vector is indexed.  Null, zero and non-finite vectors, and
     ones whose length differs from the pivots', link with nothing; equal vectors
     link with each other; an id that repeats does not link with itself; other
     columns are not read.  A list of many vectors is cut into tiles: a tile has
-    its home vectors and those of the tiles before it, so no task gets a whole
-    hot list.
+    its home vectors and those of the tiles before it.
     """
     spark = vectors.sparkSession
     rows = ws.keep(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")), "vectors")
     n = rows.count()
     want = pivot_count(n)
-    share = min(1.0, 2.0 * want / max(1, n))
+    share = min(1.0, 4.0 * want / max(1, n))
     drawn = rows.where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(want).select("v").collect()
+    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(2 * want).select("v").collect()
     units = [u for r in drawn if (u := _usable(r[0])) is not None]
     size = max((len(u) for u in units), key=[len(u) for u in units].count) if units else 0
     units = [u for u in units if len(u) == size]
     if not units:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    pivots = spark.sparkContext.broadcast(np.array(units))
+    table = apart(units, want, least)
+    shared = min(shared, len(table))
+    pivots = spark.sparkContext.broadcast(table)
     posts = ws.keep(rows.mapInArrow(_posted(pivots, prefix), "pivot int, id long, near binary, unit binary"), "posts")
     long = ws.keep(posts.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "lists")  # a row per pivot
     posts = posts.join(F.broadcast(long), "pivot")

@@ -281,6 +281,22 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_embeddings_hot_group(spark):
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(10_000, 64))
+    rows[::3] = rows[0] + rng.normal(size=rows[::3].shape) * 0.17 * np.linalg.norm(rows[0]) / 8
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(8)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, Workspace(spark, "t")).collect()}
+    want = sum(int(((unit[a : a + 1000] @ unit.T) >= 0.95).sum()) for a in range(0, len(rows), 1000)) - len(rows)
+    assert 0.98 * want <= sum(r["n_links"] for r in got.values()) <= want
+    assert {got[i]["component_id"] for i in range(0, len(rows), 3)} == {0}
+    # a table of one hot group has a single pivot
+    few = embedding_dedup.near_duplicates(df.where("vec_id % 3 = 0 and vec_id < 600"), Workspace(spark, "t")).collect()
+    some = unit[: 600 : 3]
+    assert sum(r["n_links"] for r in few) == ((some @ some.T) >= 0.95).sum() - len(some)
+
+
 # -- 8 ---------------------------------------------------------------------------
 def test_licenses(spark):
     lines = {
