@@ -17,107 +17,128 @@ from pyspark.sql import functions as F
 from .common import Workspace, join_counted
 from .wordvec import PLAIN, blocks, mix, word_hashes
 
-#: Word slots of the shared table (a fixed size, whatever the corpus).
-SLOTS = 1 << 20
 #: Labelled rows of one class and one role (models, calibration) used at most,
 #: chosen by the hash of their id; the only bounded sample here.
 MAX_ROWS = 12_000
 #: Absolute discount of the models, and the least count of a kept bigram.
 DISCOUNT = 0.75
 LEAST = 2
+#: Hashes that a task holds before it passes the distinct ones on.
+HELD = 4_000_000
 #: Standard deviations beyond which a difference between classes counts.
 CHANCE = 3.0
 THRESHOLD = 0.7
 
 
 def _bigrams(buf, offs):
-    """Word slots, their predecessors (slot 0 starts a text), bigram keys and the
+    """Word hashes, their predecessors (0 starts a text), bigram keys and the
     first word of every row."""
     words, first = word_hashes(buf, offs, PLAIN)
-    slot = (words >> np.uint64(12)).astype(np.int64) & (SLOTS - 1)
-    slot = np.maximum(slot, 1)
-    prev = np.zeros_like(slot)
-    prev[1:] = slot[:-1]
+    words = np.maximum(words, np.uint64(1))
+    prev = np.zeros_like(words)
+    prev[1:] = words[:-1]
     heads = first[:-1][first[:-1] < first[1:]]
     prev[heads] = 0
-    key = mix((prev.astype(np.uint64) << np.uint64(32)) | slot.astype(np.uint64))
-    return slot, prev, key, first
+    return words, prev, _key(prev, words), first
 
 
-def _shared_counts(batches):
-    """Per task: in how many contexts each word stands, document by document."""
-    total = np.zeros(SLOTS, np.uint32)
-    for batch in batches:
-        for _, buf, offs in blocks(batch.column(0)):
-            slot, _, key, first = _bigrams(buf, offs)
-            if len(slot):
-                row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
-                _, at = np.unique(mix(key + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-                total += np.bincount(slot[at], minlength=SLOTS).astype(np.uint32)
-    yield _sparse(total)
+def _key(prev: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(prev * np.uint64(0xD6E8FEB86659FD93) + words)
 
 
-def _sparse(total: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(total)
-    data = pa.Codec("zstd").compress(np.concatenate([at.astype(np.uint32), total[at].astype(np.uint32)]).tobytes(), asbytes=True)
-    return pa.record_batch([pa.array([len(at)], pa.int64()), pa.array([data], pa.binary())], ["n", "data"])
+def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``x`` is in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
 
 
-def _add(total: np.ndarray, n: int, data: bytes) -> None:
-    both = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True), np.uint32)
-    total[both[:n]] += both[n:]
+def _shared_counts(needed):
+    """Per task: in how many contexts each needed word stands, document by
+    document (its index as ``i``), that of all words (-1), and every word (-2)."""
 
+    def rows(i, k, n):
+        return pa.record_batch([pa.array(i, pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["i", "k", "n"])
 
-def _merge_counts(batches):
-    total = np.zeros(SLOTS, np.uint32)
-    for batch in batches:
-        for n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            _add(total, n, data)
-    yield _sparse(total)
-
-
-def shared_counts(ws: Workspace, texts: DataFrame) -> np.ndarray:
-    """Continuation counts over all texts: one sparse table per task, added up
-    eight at a time."""
-    parts = ws.keep(texts.mapInArrow(_shared_counts, "n long, data binary"), "shared-0")
-    n, turn = parts.count(), 0
-    while n > 8:
-        turn, n = turn + 1, -(-n // 8)
-        parts = ws.keep(parts.repartition(n).mapInArrow(_merge_counts, "n long, data binary"), f"shared-{turn}")
-        n = min(n, parts.count())
-    total = np.zeros(SLOTS, np.uint32)
-    for n, data in parts.collect():
-        _add(total, n, data)
-    return total
+    def distinct(held):
+        k = np.unique(np.concatenate(held)).view(np.int64)
+        return rows(np.full(len(k), -2), k, np.zeros(len(k), np.int64))
+
+    def run(batches):
+        table = needed.value
+        total, count, held, size = 0, np.zeros(len(table), np.int64), [], 0
+        for batch in batches:
+            for _, buf, offs in blocks(batch.column(0)):
+                words, _, key, first = _bigrams(buf, offs)
+                if not len(words):
+                    continue
+                row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
+                _, once = np.unique(mix(key + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                at, hit = _place(table, words[once])
+                count += np.bincount(at[hit], minlength=len(table))
+                total += len(once)
+                held.append(np.unique(words))
+                size += len(held[-1])
+                if size > HELD:
+                    yield distinct(held)
+                    held, size = [], 0
+        if held:
+            yield distinct(held)
+        some = np.flatnonzero(count)
+        yield rows(np.append(some, -1), np.zeros(len(some) + 1, np.int64), np.append(count[some], total))
+
+    return run
+
+
+def shared_counts(ws: Workspace, texts: DataFrame, needed: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """Over all texts: the counts of the needed words (sorted hashes), that of all
+    words, and the number of distinct words."""
+    sent = texts.sparkSession.sparkContext.broadcast(needed)
+    parts = ws.keep(texts.mapInArrow(_shared_counts(sent), "i int, k long, n long").groupBy("i", "k").agg(F.sum("n").alias("n")), "shared")
+    found = parts.groupBy("i").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
+    i, n, kinds = (found.column(c).to_numpy() for c in ("i", "n", "kinds"))
+    count = np.zeros(len(needed))
+    count[i[i >= 0]] = n[i >= 0]
+    return count, int(n[i == -1].sum()), int(kinds[i == -2].sum())
 
 
 def _class_counts(batches):
-    """Documents by class that hold each bigram, and (u = -1) each word."""
+    """Documents by class that hold each bigram, and (not ``pair``) each word."""
     for batch in batches:
         label = batch.column(1).to_numpy()
         for base, buf, offs in blocks(batch.column(0)):
-            slot, prev, key, first = _bigrams(buf, offs)
-            if not len(slot):
+            words, prev, key, first = _bigrams(buf, offs)
+            if not len(words):
                 continue
             row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
             toxic = label[base : base + len(offs) - 1].astype(np.int64)
-            for u, k in ((prev, key), (np.full_like(slot, -1), slot.astype(np.uint64))):
+            for pair, u, k in ((True, prev, key), (False, np.zeros_like(words), words)):
                 _, once = np.unique(mix(k + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
                 _, at, inv = np.unique(k[once], return_index=True, return_inverse=True)
                 t = np.bincount(inv, weights=toxic[row[once].astype(np.int64)], minlength=len(at)).astype(np.int64)
                 both = np.bincount(inv, minlength=len(at))
-                yield pa.record_batch([pa.array(u[once][at]), pa.array(slot[once][at]), pa.array(both - t), pa.array(t)], ["u", "w", "c0", "c1"])
+                columns = [np.full(len(at), pair), u[once][at].view(np.int64), words[once][at].view(np.int64), both - t, t]
+                yield pa.record_batch([pa.array(c) for c in columns], ["pair", "u", "w", "c0", "c1"])
+
+
+def _take(values: np.ndarray, at: np.ndarray, hit: np.ndarray, default: float) -> np.ndarray:
+    return np.where(hit, values[at], default) if len(values) else np.full(len(at), default)
 
 
 @dataclass
 class Model:
-    """Arrays of the fitted models; sizes are bounded by SLOTS and MAX_ROWS."""
-
-    keys: np.ndarray  # sorted keys of the kept bigrams
-    kept: np.ndarray  # their discounted counts, a column per class
-    total: np.ndarray  # (class, slot): tokens after a context
-    back: np.ndarray  # (class, slot): mass that a context passes to the lower order
-    lower: np.ndarray  # (class, slot): lower-order probability of a word
+    """Sorted hashes of the expressions in which the models differ, and their
+    figures, a row per class.  A context or word that is not listed has the same
+    figures in both classes and cancels out, so sizes depend on MAX_ROWS only."""
+
+    keys: np.ndarray  # kept bigrams
+    kept: np.ndarray  # their discounted counts
+    contexts: np.ndarray  # first words of kept bigrams
+    total: np.ndarray  # tokens after a context
+    back: np.ndarray  # mass that a context passes to the lower order
+    words: np.ndarray  # words that tell or end a kept bigram
+    lower: np.ndarray  # lower-order probability of a word
     slope: float = 0.0
     offset: float = 0.0
 
@@ -126,16 +147,18 @@ class Model:
         words."""
         out = np.zeros(len(column))
         for base, buf, offs in blocks(column):
-            slot, prev, key, first = _bigrams(buf, offs)
-            if not len(slot):
+            words, prev, key, first = _bigrams(buf, offs)
+            if not len(words):
                 continue
-            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-            hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
+            at, hit = _place(self.keys, key)
+            ctx, known = _place(self.contexts, prev)
+            word, listed = _place(self.words, words)
             logs = []
             for k in (0, 1):
-                n = self.total[k][prev]
-                top = np.where(hit, self.kept[k][at], 0.0) if len(self.keys) else 0.0
-                logs.append(np.log(np.where(n > 0, top / np.maximum(n, 1), 0) + self.back[k][prev] * self.lower[k][slot]))
+                n = _take(self.total[k], ctx, known, 0.0)
+                top = _take(self.kept[k], at, hit, 0.0)
+                back, low = _take(self.back[k], ctx, known, 1.0), _take(self.lower[k], word, listed, 1.0)
+                logs.append(np.log(np.where(n > 0, top / np.maximum(n, 1), 0) + back * low))
             gain = np.append(0.0, np.cumsum(logs[1] - logs[0]))
             n = np.diff(first)
             out[base : base + len(n)] = (gain[first[1:]] - gain[first[:-1]]) / np.maximum(n, 1)
@@ -155,32 +178,41 @@ def _telling(c0, c1, share: float, root):
     return (gap > CHANCE * root(expected + 1)) | (-gap > CHANCE * root(expected + 1))
 
 
-def _model(words: pa.Table, contexts: pa.Table, bigrams: pa.Table, shared: np.ndarray) -> Model:
+def _model(words: pa.Table, contexts: pa.Table, bigrams: pa.Table, size: list, types: list, shared) -> Model:
     """Kneser-Ney by class over document counts: telling bigrams keep their
     discounted counts and pass the rest of their context's mass to the class's
     words; telling words pass theirs to the shared counts, smoothed by one; for
-    all others both classes use the shared counts."""
-    get = lambda t, *names: [t.column(x).to_numpy() for x in names]
-    w, *c = get(words, "w", "c0", "c1")
-    df = [np.bincount(w, weights=x, minlength=SLOTS) for x in c]
-    size = [max(1.0, float(x.sum())) for x in c]
-    base = (shared + 1.0) / (float(shared.sum()) + SLOTS)
-    told = _telling(df[0], df[1], size[1] / (size[0] + size[1]), np.sqrt)
-    u, *n = get(contexts, "u", "c0", "c1")
-    total = [np.bincount(u, weights=x, minlength=SLOTS) for x in n]
-    bu, bw, *c = get(bigrams, "u", "w", "c0", "c1")
+    all others both classes use the shared counts.  ``shared`` counts the words
+    that are told or end a kept bigram; size and types are the classes' word
+    counts and distinct words."""
+
+    def columns(t, *names):
+        return [t.column(x).to_numpy().view(np.uint64) if x in "uw" else t.column(x).to_numpy() for x in names]
+
+    w, *df = columns(words, "w", "c0", "c1")
+    bu, bw, *c = columns(bigrams, "u", "w", "c0", "c1")
+    u, *n = columns(contexts, "u", "c0", "c1")
+    by = np.argsort(u)
+    u, total = u[by], np.array([x[by] for x in n], np.float32)
+    needed = np.union1d(w, bw)
+    count, all_counts, kinds = shared(needed)
+    base = (count + 1.0) / (all_counts + max(1, kinds))
+    at, _ = _place(needed, w)
+    key = _key(bu, bw)
+    order = np.argsort(key)
+    ctx, _ = _place(u, bu)
     back, lower, kept = [], [], []
     for k in (0, 1):
-        rest = DISCOUNT * (df[k] > 0).sum() / size[k] if size[k] > 1 else 1.0
-        lower.append(np.where(told, np.maximum(df[k] - DISCOUNT, 0) / size[k] + rest * base, base))
+        rest = DISCOUNT * types[k] / size[k] if size[k] > 1 else 1.0
+        low = base.copy()
+        low[at] = np.maximum(df[k] - DISCOUNT, 0) / size[k] + rest * base[at]
+        lower.append(low)
         own = np.maximum(c[k] - DISCOUNT, 0)
-        mass = np.bincount(bu, weights=own, minlength=SLOTS)
+        mass = np.bincount(ctx, weights=own, minlength=len(u))
         back.append(np.where(total[k] > 0, 1 - mass / np.maximum(total[k], 1), 1.0))
-        kept.append(own)
-    key = mix((bu.astype(np.uint64) << np.uint64(32)) | bw.astype(np.uint64))
-    order = np.argsort(key)
-    half = lambda x: np.array([a.astype(np.float32) for a in x])
-    return Model(key[order], half([a[order] for a in kept]), half(total), half(back), half(lower))
+        kept.append(own[order])
+    half = lambda x: np.array(x, np.float32)
+    return Model(key[order], half(kept), u, total, half(back), needed, half(lower))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -215,7 +247,6 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_
     the calibration.  Null labels and ids, and ids that carry both labels, are not learnt from.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shared = shared_counts(ws, rows.select("text"))
     role = F.when(F.pmod(F.xxhash64(F.col("id").cast("long"), F.lit(7)), F.lit(4)) == 0, F.lit(2)).otherwise(F.lit(0))
     known = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
     known = known.groupBy("id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("id", "toxic")
@@ -227,16 +258,19 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_
             share = F.when((F.col("toxic") == toxic) & (F.col("role") == part), F.lit(MAX_ROWS / n)).otherwise(share)
     chosen = ws.keep(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)), "chosen")
     texts = ws.keep(join_counted(rows, chosen, "id").select("text", "toxic", "role"), "training")
-    counts = texts.where("role = 0").select("text", "toxic").mapInArrow(_class_counts, "u long, w long, c0 long, c1 long")
-    counts = ws.keep(counts.groupBy("u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "bigrams")
-    words = counts.where("u < 0")
-    n0, n1 = words.agg(F.coalesce(F.sum("c0"), F.lit(0)), F.coalesce(F.sum("c1"), F.lit(0))).first()
-    share = max(1, n1) / (max(1, n0) + max(1, n1))
-    pairs = counts.where("u >= 0")
-    # all three are bounded: SLOTS words, SLOTS contexts, telling bigrams of MAX_ROWS texts
-    kept = pairs.where((F.col("c0") + F.col("c1") >= LEAST) & _telling(F.col("c0"), F.col("c1"), share, F.sqrt))
-    contexts = pairs.groupBy("u").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    model = _model(words.toArrow(), contexts.toArrow(), kept.toArrow(), shared)
+    counts = texts.where("role = 0").select("text", "toxic").mapInArrow(_class_counts, "pair boolean, u long, w long, c0 long, c1 long")
+    counts = ws.keep(counts.groupBy("pair", "u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "bigrams")
+    words, pairs = counts.where("not pair"), counts.where("pair")
+    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("c0"), F.col("c1"), (F.col("c0") > 0).cast("long"), (F.col("c1") > 0).cast("long"))]
+    *size, t0, t1 = words.agg(*sums).first()
+    size = [max(1.0, float(x)) for x in size]
+    told = _telling(F.col("c0"), F.col("c1"), size[1] / sum(size), F.sqrt)
+    # what is collected is bounded by the telling expressions of MAX_ROWS texts
+    kept = ws.keep(pairs.where((F.col("c0") + F.col("c1") >= LEAST) & told), "kept")
+    contexts = join_counted(pairs, ws.keep(kept.select("u").distinct(), "contexts"), "u", "left_semi")
+    contexts = contexts.groupBy("u").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    shared = lambda needed: shared_counts(ws, rows.select("text"), needed)
+    model = _model(words.where(told).toArrow(), contexts.toArrow(), kept.toArrow(), size, [t0, t1], shared)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def ratios(batches):

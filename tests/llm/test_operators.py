@@ -260,6 +260,17 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_words_stay_apart(spark):
+    """Words are told apart by 64 bits of their hash, whatever the vocabulary."""
+    words = pa.array([f"w{i}" for i in range(200_000)])
+    seen = [toxicity._bigrams(buf, offs)[0] for _, buf, offs in toxicity.blocks(words)]
+    assert len(np.unique(np.concatenate(seen))) == len(words)
+    rows = [" ".join(f"w{i}" for i in range(a, a + 500)) for a in range(0, 100_000, 500)]
+    needed = np.sort(toxicity._bigrams(*next(toxicity.blocks(pa.array(["w7"])))[1:])[0])
+    count, total, kinds = toxicity.shared_counts(Workspace(spark, "t"), frame(spark, rows).select("text"), needed)
+    assert (count.tolist(), total, kinds) == ([1], 100_000, 100_000)
+
+
 # -- 7 ---------------------------------------------------------------------------
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 64)
