@@ -1,7 +1,8 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
-Both classes share the lowest order: how many contexts each word continues,
-counted document by document over the whole corpus.  A text's feature is the
+Both classes share the lowest order: how many distinct words stand before each
+word in the whole corpus.  The orders above it count documents, and only
+expressions that tell the classes apart have figures of their own.  A text's feature is the
 difference of its two log-likelihoods divided by its length; a logistic curve
 fitted on rows that the models have not seen turns it into a score.
 """
@@ -55,52 +56,47 @@ def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared_counts(needed):
-    """Per task: in how many contexts each needed word stands, document by
-    document (its index as ``i``), that of all words (-1), and every word (-2)."""
-
-    def rows(i, k, n):
-        return pa.record_batch([pa.array(i, pa.int32()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], ["i", "k", "n"])
+    """Per task: the distinct bigrams (``i`` is the index of the last word among
+    the needed ones, or -1) and the distinct words (-2)."""
 
     def distinct(held):
-        k = np.unique(np.concatenate(held)).view(np.int64)
-        return rows(np.full(len(k), -2), k, np.zeros(len(k), np.int64))
+        for i, k in held:
+            _, at = np.unique(k, return_index=True)
+            yield pa.record_batch([pa.array(i[at], pa.int32()), pa.array(k[at].view(np.int64))], ["i", "k"])
 
     def run(batches):
         table = needed.value
-        total, count, held, size = 0, np.zeros(len(table), np.int64), [], 0
+        held, size = [], 0
+        join = lambda: [tuple(np.concatenate(x) for x in zip(*part)) for part in zip(*held)]
         for batch in batches:
             for _, buf, offs in blocks(batch.column(0)):
-                words, _, key, first = _bigrams(buf, offs)
+                words, _, key, _ = _bigrams(buf, offs)
                 if not len(words):
                     continue
-                row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
-                _, once = np.unique(mix(key + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-                at, hit = _place(table, words[once])
-                count += np.bincount(at[hit], minlength=len(table))
-                total += len(once)
-                held.append(np.unique(words))
-                size += len(held[-1])
+                key, at = np.unique(key, return_index=True)
+                i, hit = _place(table, words[at])
+                kinds = np.unique(words)
+                held.append(((np.where(hit, i, -1).astype(np.int32), key), (np.full(len(kinds), -2, np.int32), kinds)))
+                size += len(key) + len(kinds)
                 if size > HELD:
-                    yield distinct(held)
+                    yield from distinct(join())
                     held, size = [], 0
         if held:
-            yield distinct(held)
-        some = np.flatnonzero(count)
-        yield rows(np.append(some, -1), np.zeros(len(some) + 1, np.int64), np.append(count[some], total))
+            yield from distinct(join())
 
     return run
 
 
 def shared_counts(ws: Workspace, texts: DataFrame, needed: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Over all texts: the counts of the needed words (sorted hashes), that of all
-    words, and the number of distinct words."""
+    """Over all texts: the distinct words before each of the needed words (sorted
+    hashes), the number of distinct bigrams, and that of distinct words."""
     sent = texts.sparkSession.sparkContext.broadcast(needed)
-    parts = ws.keep(texts.mapInArrow(_shared_counts(sent), "i int, k long, n long").groupBy("i", "k").agg(F.sum("n").alias("n")), "shared")
-    found = parts.groupBy("i").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()
-    i, n, kinds = (found.column(c).to_numpy() for c in ("i", "n", "kinds"))
+    parts = texts.mapInArrow(_shared_counts(sent), "i int, k long").distinct()
+    found = parts.groupBy("i").agg(F.count("*").alias("n")).toArrow()
+    i, n = (found.column(c).to_numpy() for c in ("i", "n"))
     count = np.zeros(len(needed))
     count[i[i >= 0]] = n[i >= 0]
-    return count, int(n[i == -1].sum()), int(kinds[i == -2].sum())
+    return count, int(n[i != -2].sum()), int(n[i == -2].sum())
 
 
 def _class_counts(batches):

@@ -271,6 +271,14 @@ def test_toxicity_words_stay_apart(spark):
     assert (count.tolist(), total, kinds) == ([1], 100_000, 100_000)
 
 
+def test_toxicity_shared_counts_are_of_distinct_predecessors(spark):
+    docs = frame(spark, ["a b"] * 50 + ["c b c b", None, ""])
+    needed = np.unique(toxicity._bigrams(*next(toxicity.blocks(pa.array(["b"])))[1:])[0])
+    # before b: a, c; all: ^a ab ^c cb bc
+    count, total, kinds = toxicity.shared_counts(Workspace(spark, "t"), docs.select("text"), needed)
+    assert (count.tolist(), total, kinds) == ([2], 5, 3)
+
+
 # -- 7 ---------------------------------------------------------------------------
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 64)
