@@ -2,14 +2,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ..workspace import BROADCAST_ROWS, Workspace, components, join_counted, shared_root
+from ..workspace import BROADCAST_ROWS, Workspace, components, join_counted, numbered, shared_root
 
-__all__ = ["BROADCAST_ROWS", "Workspace", "components", "join_counted", "shared_root", "table"]
+__all__ = ["BROADCAST_ROWS", "ROW", "Workspace", "components", "join_counted", "keyed", "named", "shared_root", "table"]
+
+#: The column that :func:`keyed` adds; names that begin so are the library's own.
+ROW = "_quillspark_row"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def keyed(docs: DataFrame, ws: Workspace, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with ``_row``, a number that no other row has, in id order (null
+    ids last).  It is the id itself where ids are unique and none is null;
+    otherwise the rows are numbered once in a written table, so that rows which
+    repeat or lack an id are told apart."""
+    docs = docs.drop(ROW)
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col).cast("long"))).first()
+    if rows == ids:
+        return docs.withColumn(ROW, F.col(id_col).cast("long"))
+    late = docs.withColumns({f"{ROW}_late": F.col(id_col).isNull(), f"{ROW}_id": F.col(id_col).cast("long")})
+    return numbered(ws, late, [f"{ROW}_late", f"{ROW}_id"], "keyed", ROW).drop(f"{ROW}_late", f"{ROW}_id")
+
+
+def named(found: DataFrame, docs: DataFrame, ws: Workspace, row_col: str = ROW, *others: str, id_col: str = "doc_id") -> DataFrame:
+    """Results with the rows' ids in place of the numbers of :func:`keyed` in
+    ``row_col`` and ``others``."""
+    plain = docs.where(~F.col(ROW).eqNullSafe(F.col(id_col).cast("long"))).isEmpty()
+    if plain:
+        return found.withColumnRenamed(row_col, id_col)
+    ids = ws.keep(docs.select(F.col(ROW).alias("_k"), F.col(id_col).cast("long").alias("_v")), "ids")
+    order = [id_col if c == row_col else c for c in found.columns]
+    for col in (row_col, *others):
+        found = found.join(ids, F.col(col) == F.col("_k"), "left").drop("_k", col)
+        found = found.withColumnRenamed("_v", id_col if col == row_col else col)
+    return found.select(*order)

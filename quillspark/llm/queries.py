@@ -7,7 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from . import codec, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, sstable, substring_dedup, toxicity, warc
-from .common import Workspace, table
+from .common import ROW, Workspace, keyed, named, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -80,7 +80,10 @@ def op9_warc(spark, sf_dir):
 
 
 def op10_substring_dedup(spark, sf_dir):
-    return substring_dedup.repeats(table(spark, sf_dir, "documents", "doc_id", "text"), Workspace(spark, "op10"))
+    ws = Workspace(spark, "op10")
+    docs = keyed(table(spark, sf_dir, "documents", "doc_id", "text"), ws)
+    found = substring_dedup.repeats(docs, ws, id_col=ROW)
+    return named(found, docs, ws, ROW, "kept_id")
 
 
 QUERIES = {
@@ -177,7 +180,28 @@ ORACLE_SQL = {
         g AS (
             SELECT *, count(*) OVER (PARTITION BY digest) AS n_copies,
                    first_value(doc_id) OVER w AS kept_id, first_value(unit) OVER w AS kept_unit
-            FROM k WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit))
-        SELECT doc_id, unit, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS stop, digest, n_copies, kept_id, kept_unit
-        FROM g WHERE n_copies > 1 AND NOT (doc_id = kept_id AND unit = kept_unit)""",
+            FROM k WINDOW w AS (PARTITION BY digest ORDER BY doc_id, unit)),
+        p AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS pieces
+            FROM documents),
+        l AS (SELECT doc_id, list_transform(pieces, lambda y: trim(translate(y, chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' ')) AS words FROM p),
+        w AS (SELECT doc_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS i FROM p),
+        x AS (
+            SELECT doc_id, i, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS stop,
+                   length(regexp_replace(piece, '[\x20\x09-\x0D]', '', 'g')) AS len FROM w),
+        q AS (
+            SELECT doc_id, unnest(range(0, len(words) - 49)) AS i,
+                   unnest(list_transform(range(0, len(words) - 49), lambda j: md5(array_to_string(words[j + 1 : j + 50], ' ')))) AS digest
+            FROM l WHERE len(words) >= 50),
+        f AS (SELECT doc_id, i, first_value(doc_id) OVER v AS d0, first_value(i) OVER v AS i0 FROM q WINDOW v AS (PARTITION BY digest ORDER BY doc_id, i)),
+        r AS (SELECT doc_id, i FROM f WHERE doc_id <> d0 OR i - i0 >= 50),
+        s AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r),
+        t AS (SELECT *, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+        z AS (SELECT doc_id, run, min(i) AS a, max(i) + 49 AS b FROM t GROUP BY doc_id, run)
+        SELECT doc_id, 'line' AS kind, unit, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS stop, digest, n_copies, kept_id, kept_unit
+        FROM g WHERE n_copies > 1 AND NOT (doc_id = kept_id AND unit = kept_unit)
+        UNION ALL
+        SELECT z.doc_id, 'passage', z.a, CAST(xa.stop - xa.len AS BIGINT), CAST(xb.stop AS BIGINT), NULL, NULL, NULL, NULL
+        FROM z JOIN x xa ON xa.doc_id = z.doc_id AND xa.i = z.a JOIN x xb ON xb.doc_id = z.doc_id AND xb.i = z.b""",
 }

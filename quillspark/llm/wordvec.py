@@ -73,6 +73,47 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray, seps: np.ndarray = _SEP) -> t
     return mix(np.add.reduceat(_LOW[buf] * power * ~sep, ws)), first
 
 
+def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of every word of a block, and the byte after its last one."""
+    sep = np.append(_SEP[buf], True)
+    word = ~sep
+    start, stop = word.copy(), word.copy()
+    start[1:] &= sep[:-1]
+    stop[:-1] &= sep[1:]
+    inner = offs[1:-1]
+    start[inner] = word[inner]
+    inner = inner[inner > 0] - 1
+    stop[inner] = word[inner]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+class Rolling:
+    """Hashes of any run of consecutive words of a block, by prefix sums of
+    ``word * mult**index`` that are shifted back to index 0."""
+
+    _powers: dict[int, np.ndarray] = {}
+
+    def __init__(self, words: np.ndarray, mult: int):
+        n = len(words) + 1
+        self.sums = np.append(np.uint64(0), np.cumsum(words * self._power(mult, n)[: n - 1], dtype=np.uint64))
+        self.back = self._power(pow(mult, -1, 1 << 64), n)
+
+    @classmethod
+    def _power(cls, mult: int, n: int) -> np.ndarray:
+        have = cls._powers.get(mult)
+        if have is None or len(have) < n:
+            if n > 1 << 22:  # one very long text: not kept
+                cls._powers.pop(mult, None)
+                return np.cumprod(np.append(np.uint64(1), np.full(n - 1, mult, np.uint64)))
+            have = np.cumprod(np.append(np.uint64(1), np.full(max(n, 1 << 18) - 1, mult, np.uint64)))
+            cls._powers[mult] = have
+        return have[:n]
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of the words ``start`` to ``stop`` (exclusive)."""
+        return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
+
+
 def shingle_sets(column: pa.Array, width: int = 5):
     """Yield ``(row, sorted distinct shingle hashes)`` for every row.
 

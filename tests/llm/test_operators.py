@@ -16,7 +16,7 @@ tokenizers = pytest.importorskip("tokenizers")
 public = pytest.importorskip("public_tokenizers")
 
 from quillspark.llm import bpe, codec, embedding_dedup, exact_dedup, license_scan, ngram_join, packing, sstable, substring_dedup, tokens, toxicity, warc  # noqa: E402
-from quillspark.llm.common import Workspace, components  # noqa: E402
+from quillspark.llm.common import ROW, Workspace, components, keyed, named  # noqa: E402
 
 BYTES, WORDS = public.path("byte_bpe_50k.json"), public.path("word_bpe_49k.json")
 DOCS = "doc_id long, text string, h string, _id int, norm string, n long"
@@ -367,14 +367,27 @@ def test_warc(spark):
 
 
 # -- 10 --------------------------------------------------------------------------
-def test_substrings(spark):
-    rng = random.Random(11)
-    common = [" ".join(f"c{k}w{i}" for i in range(25)) for k in range(4)]
-    texts = list(HOSTILE)
-    for i in range(60):
-        lines = [" ".join(f"d{i}x{j}y{k}" for k in range(rng.randrange(1, 40))) for j in range(rng.randrange(4))]
-        lines.insert(rng.randrange(len(lines) + 1), rng.choice(common).replace("c", rng.choice("cC")).replace(" ", rng.choice([" ", "  "])))
-        texts.append("\n".join(lines))
+def spans_of(texts, size):
+    """Repeated passages by brute force, rank by rank: (row, unit) -> offsets."""
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        words = [(m.start(), m.end(), substring_dedup.normalise(m[0])) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        gone = set()
+        for a in range(len(words) - size + 1):
+            key = tuple(w[2] for w in words[a : a + size])
+            d, at = first.setdefault(key, (i, a))
+            if d != i or a - at >= size:
+                gone.update(range(a, a + size))
+        for a in sorted(gone):
+            if a - 1 not in gone:
+                b = a
+                while b + 1 in gone:
+                    b += 1
+                want[i, a] = (words[a][0], words[b][1])
+    return want
+
+
+def lines_of(texts):
     seen, want = {}, {}
     for i, t in enumerate(texts):
         at = 0
@@ -382,26 +395,82 @@ def test_substrings(spark):
             norm = substring_dedup.normalise(line)
             if len(norm.split(" ")) >= 20 and norm:
                 if norm in seen:
-                    want[(i, u)] = (at, at + len(line), *seen[norm])
+                    want[i, u] = (at, at + len(line), *seen[norm])
                 else:
                     seen[norm] = (i, u)
             at += len(line) + 1
+    return want
+
+
+def test_substrings(spark):
+    rng = random.Random(11)
+    common = [" ".join(f"c{k}w{i}" for i in range(25)) for k in range(4)]
+    texts = list(HOSTILE)
+    for i in range(60):
+        lines = [" ".join(f"d{i}x{j}y{k}" for k in range(rng.randrange(1, 40))) for j in range(rng.randrange(4))]
+        lines.insert(rng.randrange(len(lines) + 1), rng.choice(common).replace("c", rng.choice("cC")).replace(" ", rng.choice([" ", "  "])))
+        texts.append("\n".join(lines))
+    want, parts = lines_of(texts), spans_of(texts, 50)
     ws, docs = Workspace(spark, "t"), frame(spark, texts)
     gone = substring_dedup.repeats(docs, ws)
-    assert {(r["doc_id"], r["unit"]): (r["start"], r["stop"], r["kept_id"], r["kept_unit"]) for r in gone.collect()} == want
+    rows = gone.collect()
+    assert {(r["doc_id"], r["unit"]): (r["start"], r["stop"], r["kept_id"], r["kept_unit"]) for r in rows if r["kind"] == "line"} == want
+    assert {(r["doc_id"], r["unit"]): (r["start"], r["stop"]) for r in rows if r["kind"] == "passage"} == parts
     left = substring_dedup.remove(docs, gone, ws, spans="spans")
     assert left.columns == [*docs.columns, "spans"]
     for r in left.collect():
         text = texts[r["doc_id"]]
-        drop = {u for d, u in want if d == r["doc_id"]}
+        cut = [s[:2] for (d, _), s in [*want.items(), *parts.items()] if d == r["doc_id"]]
         if text is None:
             assert r["text"] is None
             continue
         assert "".join(text[s["start"] : s["stop"]] for s in r["spans"]) == r["text"]
-        kept = [line for u, line in enumerate(text.split("\n")) if u not in drop]
-        assert [x for x in r["text"].split("\n") if x] == [x for x in kept if x]
+        kept = "".join(" " if any(a <= k < b for a, b in cut) else c for k, c in enumerate(text))
+        assert r["text"].split() == kept.split()
     assert substring_dedup.repeats(docs.limit(0), ws).count() == 0
 
 
+def test_passages(spark):
+    """Passages at any place in lines, edited copies, self-repeats, very long and
+    equal texts, ties."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(["e", "é", "Wort", "WORT", "日本", "🙂x", "the", "a,", "b."]) + str(rng.randrange(40))
+    shared = [[word() for _ in range(n)] for n in (50, 51, 60, 90, 200, 700)]
+    texts = [*HOSTILE, "x " * 400, "x " * 400, " ".join(f"p{i % 30}" for i in range(300)), " ".join(f"p{i % 30}" for i in range(70))]
+    for i in range(150):
+        words = [word() for _ in range(rng.randrange(120))]
+        for _ in range(rng.randrange(3)):
+            at, part = rng.randrange(len(words) + 1), list(rng.choice(shared))
+            if rng.random() < 0.4:  # an edited or cut copy
+                part[rng.randrange(len(part))] = word()
+                part = part[rng.randrange(20) :]
+            words[at:at] = [w.upper() if w.isascii() and rng.random() < 0.1 else w for w in part]
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "  ", "\t"]) for w in words))
+    texts += [texts[40], texts[41] + "end", "long " + " ".join(word() for _ in range(30_000)) + " " + " ".join(shared[1])]
+    for size in (50, 7):
+        want = spans_of(texts, size)
+        assert len(want) > 60
+        got = substring_dedup.passages(frame(spark, texts), Workspace(spark, "t"), "doc_id", size=size, gram=(size + 1) // 2).collect()
+        assert {(r["doc_id"], r["unit"]): (r["start"], r["stop"]) for r in got} == want
+        assert all(r["n_words"] >= size for r in got)
+
+
+def test_rows_that_repeat_or_lack_an_id(spark):
+    """Every row is told apart, equal ones of one id too; results carry ids again."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(5, text), (5, text), (None, text), (None, text), (1, "other " * 30)], "doc_id long, text string")
+    ws = Workspace(spark, "t")
+    docs = keyed(rows, ws)
+    assert sorted(r[ROW] for r in docs.collect()) == [0, 1, 2, 3, 4]
+    found = substring_dedup.repeats(docs, ws, id_col=ROW)
+    left = substring_dedup.remove(docs, found, ws, id_col=ROW)
+    assert sorted(r["text"] for r in left.collect()) == sorted(["", "", "", text, "other " * 30])
+    ids = named(found, docs, ws, ROW, "kept_id").where("kind = 'line'").collect()
+    assert sorted(str(r["doc_id"]) for r in ids) == ["5", "None", "None"] and {r["kept_id"] for r in ids} == {5}
+    unique = keyed(rows.where("doc_id = 1"), ws)
+    assert unique.first()[ROW] == 1
+    assert keyed(rows.limit(0), ws).count() == 0
+
+
 def test_paragraphs():
     assert [("a\n\nb\n \nc"[s:e]) for s, e in substring_dedup._cut("a\n\nb\n \nc", "paragraph")] == ["a", "b", "c"]
