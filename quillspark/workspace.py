@@ -57,10 +57,12 @@ class Workspace:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_counted(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROWS, size: str | None = None) -> DataFrame:
     """Join with a narrow written table: broadcast when its counted size allows
-    it, else let Spark shuffle both sides (AQE splits skewed partitions)."""
-    if small.count() <= limit:
+    it, else let Spark shuffle both sides (AQE splits skewed partitions).
+    ``size`` names an array column whose elements count as rows."""
+    each = F.lit(1) + F.coalesce(F.size(size), F.lit(0)) if size else F.lit(1)
+    if (small.agg(F.sum(each)).first()[0] or 0) <= limit:
         return big.join(F.broadcast(small), on, how)
     return big.hint("merge").join(small.hint("merge"), on, how)
 
