@@ -2,7 +2,9 @@
 dedup, packing.
 
 Every stage takes the documents that its predecessor kept, as written Parquet,
-and all but the last return the columns of ``documents``.
+and all but the last return the columns of ``documents`` (further ones, too).
+Rows that repeat or lack a ``doc_id`` are told apart: each is kept or dropped on
+its own, the first of equal ones in id order stays, and an empty table gives one.
 """
 from __future__ import annotations
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import exact_dedup, ngram_join, packing, substring_dedup, toxicity
-from quillspark.llm.common import Workspace, join_counted, table
+from quillspark.llm.common import ROW, Workspace, join_counted, keyed, table
 from quillspark.llm.queries import tokenizer_file
 
 
@@ -22,24 +24,29 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
+    """Keep one document of each group of equal texts (null counts as empty)."""
     ws = Workspace(spark, "stage2")
-    gone = exact_dedup.dedup(docs, ws).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return join_counted(docs, ws.keep(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    docs = keyed(docs, ws)
+    gone = exact_dedup.dedup(docs, ws, id_col=ROW).where("not kept").select(ROW)
+    return join_counted(docs, ws.keep(gone, "gone"), ROW, "left_anti").drop(ROW)
 
 
 def distinct_sets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each component of near duplicates."""
+    """Keep the first document of each component of near duplicates; those without
+    words are alone in theirs."""
     ws = Workspace(spark, "stage3")
-    near = ngram_join.similar(docs, ws)
-    gone = near.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return join_counted(docs, ws.keep(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    docs = keyed(docs, ws)
+    gone = ngram_join.similar(docs, ws, id_col=ROW).where(f"{ROW} <> component_id").select(ROW)
+    return join_counted(docs, ws.keep(gone, "gone"), ROW, "left_anti").drop(ROW)
 
 
-def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated lines; a document of which nothing is left goes."""
+def distinct_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove repeated lines and passages, and set ``n_chars`` of what is left; a
+    document of which nothing is left goes, one that was empty or null stays."""
     ws = Workspace(spark, "stage4")
-    done = substring_dedup.remove(docs, substring_dedup.repeats(docs, ws), ws)
+    docs = keyed(docs, ws)
+    found = ws.keep(substring_dedup.repeats(docs, ws, id_col=ROW), "found")
+    done = substring_dedup.remove(docs, found, ws, id_col=ROW).drop(ROW)
     done = done.where(F.col("text").isNull() | (F.col("text") != "") | (F.col("n_chars") == 0))
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -53,7 +60,7 @@ STAGES = [
     ("toxicity", clean),
     ("exact_dedup", distinct_texts),
     ("ngram_jaccard", distinct_sets),
-    ("substring_dedup", distinct_lines),
+    ("substring_dedup", distinct_passages),
     ("packing", packed),
 ]
 
