@@ -4,7 +4,8 @@ A vector is described by the order of its nearest pivots.  The first ``PREFIX``
 of them post the vector to their inverted lists; two vectors are compared where
 they share ``SHARED`` pivots of their prefixes at least, in the list of the first
 one they share (in pivot order), so every pair is met once.  The cosine is then
-checked in double precision.
+checked in double precision.  Vectors with equal directions are one class, which
+the index holds once.
 """
 from __future__ import annotations
 
@@ -13,23 +14,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components
+from .common import Workspace, components, join_counted
 
-#: Pivots are this many at most, drawn from a sample of twice as many vectors.
+#: Pivots for vectors of one length are this many at most, of a sample twice as large.
 MAX_PIVOTS = 2048
 PREFIX = 8
 SHARED = 2
-#: Vectors of a list that are at home in one tile of it.
-TILE = 1024
-
-
-def _usable(values) -> np.ndarray | None:
-    """A unit vector in double precision, or None for what links with nothing."""
-    if values is None or not len(values) or any(x is None for x in values):
-        return None
-    v = np.array(values, np.float64)
-    n = np.sqrt((v * v).sum())
-    return v / n if np.isfinite(n) and n > 0 else None
+#: Vectors of one part of a list; a task compares the vectors of two parts at a time.
+TILE = 4096
+
+
+def unit_vectors(column: pa.Array):
+    """Yield ``(rows, matrix)`` for each length: the vectors in double precision,
+    scaled to length 1.  Null, empty and zero vectors, and those with null or
+    non-finite components, are left out.  The largest component is scaled to 1
+    first, so that neither squares nor their sum leave the range of doubles."""
+    flat = column.flatten() if not column.null_count else column.drop_null().flatten()
+    values = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        some = values[start[rows][:, None] + np.arange(n)]
+        largest = np.abs(some).max(axis=1)
+        good = np.isfinite(largest) & (largest > 0)
+        rows, some = rows[good], some[good] / largest[good][:, None]
+        if len(rows):
+            yield rows, some / np.sqrt((some * some).sum(axis=1))[:, None]
 
 
 def pivot_count(n: int) -> int:
@@ -37,12 +48,12 @@ def pivot_count(n: int) -> int:
     return int(min(MAX_PIVOTS, max(32, 4 * n**0.5)))
 
 
-def apart(units: list[np.ndarray], want: int, least: float) -> np.ndarray:
+def apart(units: np.ndarray, want: int, least: float) -> np.ndarray:
     """``want`` of the vectors at most, in their order, none within twice the angle
     of ``least`` of an earlier one: whatever links with the same vector gets one
     pivot, so a hot group cannot fill the table with near copies of itself."""
     limit = max(0.0, 2 * least * least - 1)
-    table, n = np.empty((want, len(units[0]))), 0
+    table, n = np.empty((want, units.shape[1])), 0
     for u in units:
         if n == want:
             break
@@ -52,28 +63,43 @@ def apart(units: list[np.ndarray], want: int, least: float) -> np.ndarray:
     return table[:n].copy()
 
 
-def _posted(pivots, prefix: int):
-    """vec rows -> one row per posting, with the sorted prefix and the vector."""
+def _units(batches):
+    """Rows (id, vector) -> usable ones as unit vectors with their length."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        for rows, units in unit_vectors(batch.column(1)):
+            yield pa.record_batch([pa.array(ids[rows]), pa.array(np.full(len(rows), units.shape[1], np.int32)), pa.array([(u + 0.0).tobytes() for u in units], pa.binary())], ["id", "dim", "unit"])
+
+
+def _matrix(column) -> np.ndarray:
+    """Unit vectors of one length, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def _posted(pivots, prefix: int, shared: int):
+    """Classes (id, dim, unit, n) -> one row per posting, with the sorted prefix.  The
+    last of the prefix cannot be the first of several shared pivots and has none."""
 
     def run(batches):
-        table = pivots.value
-        k = min(prefix, len(table))
+        tables, base = pivots.value
         for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 2048):
-                good = [(i, u) for i, v in zip(ids[at : at + 2048], vectors[at : at + 2048]) if (u := _usable(v)) is not None and len(u) == table.shape[1]]
-                if not good:
-                    continue
-                unit = np.array([u for _, u in good])
-                near = np.argpartition(-(unit @ table.T), k - 1, axis=1)[:, :k] if k < len(table) else np.tile(np.arange(k), (len(unit), 1))
-                near = np.sort(near, axis=1).astype(np.int32)
-                who, cols = np.repeat(np.arange(len(good)), k), near.ravel()
-                raw = [u.tobytes() for u in unit]
-                order = [p.tobytes() for p in near]
-                yield pa.record_batch(
-                    [pa.array(cols), pa.array([good[i][0] for i in who], pa.int64()), pa.array([order[i] for i in who], pa.binary()), pa.array([raw[i] for i in who], pa.binary())],
-                    ["pivot", "id", "near", "unit"],
-                )
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                some = batch.filter(pa.array(dims == dim))
+                table = tables[int(dim)]
+                k = min(prefix, len(table))
+                keep = k - min(shared, k) + 1
+                for at in range(0, len(some), 2048):
+                    part = some.slice(at, 2048)
+                    unit = _matrix(part.column("unit"))
+                    near = np.argpartition(-(unit @ table.T), k - 1, axis=1)[:, :k] if k < len(table) else np.tile(np.arange(k), (len(unit), 1))
+                    near = np.sort(near, axis=1).astype(np.int32) + np.int32(base[int(dim)])
+                    who = pa.array(np.repeat(np.arange(len(part)), keep))
+                    order = pa.array([p.tobytes() for p in near], pa.binary())
+                    yield pa.record_batch(
+                        [pa.array(near[:, :keep].ravel()), *(part.column(c).take(who) for c in ("id", "n")), order.take(who), part.column("unit").take(who)],
+                        ["pivot", "id", "n", "near", "unit"],
+                    )
 
     return run
 
@@ -91,36 +117,33 @@ def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _tiles(least: float, shared: int, prefix: int):
-    """Rows (pivot, tile, home, id, near, unit) of one tile, sorted by (pivot,
-    tile) -> (u, v, n): n links found for u in the tile, and the smallest vector
-    of u's component in it.  A tile compares its home vectors with all vectors
-    sent to it; home ones among themselves."""
+def _tiles(least: float, shared: int):
+    """Rows (pivot, here, there, home, id, n, near, unit), sorted by the first three
+    -> (u, v, n): n vectors linked with class u, and the smallest class of u's
+    component in these rows.  Home rows meet guests, or one another where both parts
+    are the same."""
 
-    def of_tile(pivot, home, ids, near, unit):
-        h, g = np.flatnonzero(home), np.flatnonzero(~home)
+    def of_parts(pivot, same, home, ids, size, near, unit):
+        h = np.flatnonzero(home)
+        g = h if same else np.flatnonzero(~home)
         count, left, right = np.zeros(len(ids), np.int64), [], []
+        least_shared = min(shared, near.shape[1])
         for at in range(0, len(h), 256):
             x = h[at : at + 256]
-            for y, own in ((h, True), (g, False)):
-                for lo in range(0, len(y), 4096):
-                    z = y[lo : lo + 4096]
-                    close = unit[x] @ unit[z].T >= least
-                    if own:  # each pair once
-                        close &= x[:, None] < z[None, :]
-                    i, j = np.nonzero(close)
-                    if not len(i):
-                        continue
-                    i, j = x[i], z[j]
-                    same = (near[i][:, :, None] == near[j][:, None, :]) & (near[i][:, :, None] >= 0)
-                    common = same.any(axis=2)
-                    first = np.where(common.any(axis=1), near[i, np.argmax(common, axis=1)], -1)
-                    ok = (common.sum(axis=1) >= shared) & (first == pivot) & (ids[i] != ids[j])
-                    np.add.at(count, i[ok], 1)
-                    np.add.at(count, j[ok], 1)
-                    left.append(i[ok])
-                    right.append(j[ok])
-        if not left:
+            close = unit[x] @ unit[g].T >= least
+            if same:  # each pair once
+                close &= x[:, None] < g[None, :]
+            i, j = np.nonzero(close)
+            for lo in range(0, len(i), 100_000):
+                p, q = x[i[lo : lo + 100_000]], g[j[lo : lo + 100_000]]
+                common = (near[p][:, :, None] == near[q][:, None, :]).any(axis=2)
+                first = near[p, np.argmax(common, axis=1)]
+                ok = (common.sum(axis=1) >= least_shared) & (first == pivot)
+                np.add.at(count, p[ok], size[q[ok]])
+                np.add.at(count, q[ok], size[p[ok]])
+                left.append(p[ok])
+                right.append(q[ok])
+        if not count.any():
             return None
         a, b = np.concatenate(left), np.concatenate(right)
         order = np.argsort(ids, kind="stable")
@@ -133,36 +156,51 @@ def _tiles(least: float, shared: int, prefix: int):
     def run(batches):
         held = None
 
-        def tiles():
+        def groups():
             nonlocal held
             for batch in batches:
                 new = pa.Table.from_batches([batch])
                 held = new if held is None else pa.concat_tables([held, new])
-                p, t = held.column("pivot").to_numpy(), held.column("tile").to_numpy()
-                if not len(p):
+                if not len(held):
                     continue
-                cut = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (t[1:] != t[:-1])))
+                keys = np.stack([held.column(c).to_numpy() for c in ("pivot", "here", "there")])
+                cut = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
                 for s, e in zip(cut[:-1], cut[1:]):
                     yield held.slice(s, e - s)
                 held = held.slice(cut[-1])
             if held is not None and len(held):
                 yield held
 
-        for rows in tiles():
+        for rows in groups():
             if len(rows) < 2:
                 continue
-            pivot = rows.column("pivot")[0].as_py()
-            home = rows.column("home").to_numpy()
-            ids = rows.column("id").to_numpy()
-            near = np.array([np.frombuffer(x, np.int32) for x in rows.column("near").to_pylist()])
-            unit = np.array([np.frombuffer(x, np.float64) for x in rows.column("unit").to_pylist()])
-            found = of_tile(pivot, home, ids, near, unit)
+            pivot, here, there = (rows.column(c)[0].as_py() for c in ("pivot", "here", "there"))
+            home, ids, size = (rows.column(c).to_numpy() for c in ("home", "id", "n"))
+            near = np.frombuffer(b"".join(rows.column("near").to_pylist()), np.int32).reshape(len(rows), -1)
+            found = of_parts(pivot, here == there, home, ids, size, near, _matrix(rows.column("unit")))
             if found:
                 yield pa.record_batch([pa.array(c) for c in found], ["u", "v", "n"])
 
     return run
 
 
+def _pivots(reps: DataFrame, least: float) -> tuple[dict[int, np.ndarray], dict[int, int]]:
+    """For each vector length, the pivots and the number of the first one.  They come
+    from a bounded sample of the classes of that length, by the hash of their id."""
+    counts = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    share = F.element_at(F.create_map(*[F.lit(x) for d, n in counts.items() for x in (d, min(1.0, 2.2 * pivot_count(n) / n))]), F.col("dim"))
+    draw = F.xxhash64("id")
+    drawn = reps.where(F.pmod(draw, F.lit(1 << 30)) < share * (1 << 30)).select(draw.alias("draw"), "id", "dim", "unit").collect()
+    tables, base, at = {}, {}, 0
+    for dim, n in sorted(counts.items()):
+        some = [r["unit"] for r in sorted((r for r in drawn if r["dim"] == dim), key=lambda r: (r["draw"], r["id"]))]
+        if not some:  # few of this length, none drawn
+            some = [reps.where(F.col("dim") == dim).agg(F.min_by("unit", "id")).first()[0]]
+        tables[dim], base[dim] = apart(np.frombuffer(b"".join(some), np.float64).reshape(len(some), dim), pivot_count(n), least), at
+        at += len(tables[dim])
+    return tables, base
+
+
 def near_duplicates(
     vectors: DataFrame,
     ws: Workspace,
@@ -174,40 +212,37 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per vector: id, ``n_links``, ``component_id``, ``kept``.
 
-    The pivots come from a bounded sample (``2 * MAX_PIVOTS`` vectors by the hash of
-    their id) and lie :func:`apart`, every vector is indexed.  Null, zero and non-finite vectors, and
-    ones whose length differs from the pivots', link with nothing; equal vectors
-    link with each other; an id that repeats does not link with itself; other
-    columns are not read.  A list of many vectors is cut into tiles: a tile has
-    its home vectors and those of the tiles before it.
+    Ids are unique and not null (see :func:`common.keyed`).  Null, empty, zero and
+    non-finite vectors link with nothing; others link with vectors of their length
+    only; vectors of one direction link with each other; an empty table gives an
+    empty result; other columns are not read.  Pivots come from a bounded sample of
+    the usable vectors of each length (``2.2 * MAX_PIVOTS``) and lie :func:`apart`;
+    every vector is indexed.  A list is cut into parts of about ``TILE``, and a group
+    of rows holds two of them, so that memory does not grow with a list.
     """
     spark = vectors.sparkSession
-    rows = ws.keep(vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")), "vectors")
-    n = rows.count()
-    want = pivot_count(n)
-    share = min(1.0, 4.0 * want / max(1, n))
-    drawn = rows.where(F.col("v").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))))
-    drawn = drawn.orderBy(F.xxhash64("id"), "id").limit(2 * want).select("v").collect()
-    units = [u for r in drawn if (u := _usable(r[0])) is not None]
-    size = max((len(u) for u in units), key=[len(u) for u in units].count) if units else 0
-    units = [u for u in units if len(u) == size]
-    if not units:
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    units = ws.keep(rows.mapInArrow(_units, "id long, dim int, unit binary"), "units")
+    members = units.select("id", F.md5("unit").alias("key"))
+    classes = ws.keep(members.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
+    reps = join_counted(units, classes.select(F.col("rep").alias("id"), "n"), "id")
+    reps = ws.keep(reps, "reps")
+    if reps.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    table = apart(units, want, least)
-    shared = min(shared, len(table))
-    pivots = spark.sparkContext.broadcast(table)
-    posts = ws.keep(rows.mapInArrow(_posted(pivots, prefix), "pivot int, id long, near binary, unit binary"), "posts")
-    long = ws.keep(posts.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")), "lists")  # a row per pivot
-    posts = posts.join(F.broadcast(long), "pivot")
-    own = F.pmod(F.hash("id"), F.col("tiles"))
-    # a tile meets the tiles after it: the vectors of tile t go to t, t+1, ...
-    posts = posts.withColumn("own", own).withColumn("tile", F.explode(F.sequence(F.col("own"), F.col("tiles") - 1)))
-    tiles = posts.select("pivot", "tile", (F.col("tile") == F.col("own")).alias("home"), "id", "near", "unit")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiles = tiles.repartition(parts, "pivot", "tile").sortWithinPartitions("pivot", "tile")
-    found = ws.keep(tiles.mapInArrow(_tiles(least, shared, prefix), "u long, v long, n long"), "found")
+    sent = spark.sparkContext.broadcast(_pivots(reps, least))
+    posts = ws.keep(reps.mapInArrow(_posted(sent, prefix, shared), "pivot int, id long, n long, near binary, unit binary"), "posts")
+    lists = ws.keep(posts.groupBy("pivot").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "lists")  # a row per pivot
+    posts = posts.join(F.broadcast(lists), "pivot").withColumn("own", F.pmod(F.hash("id"), F.col("parts")))
+    # part t meets itself and every later part, and is met by every earlier one
+    posts = posts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = posts.select("pivot", F.least("own", "other").alias("here"), F.greatest("own", "other").alias("there"), (F.col("own") <= F.col("other")).alias("home"), "id", "n", "near", "unit")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-reps.count() // (8 * TILE)))
+    tiles = tiles.repartition(parts, "pivot", "here", "there").sortWithinPartitions("pivot", "here", "there")
+    found = ws.keep(tiles.mapInArrow(_tiles(least, shared), "u long, v long, n long"), "found")
     joined = components(ws, found.select("u", "v"), "cc")
-    links = found.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n"))
-    out = rows.select("id").join(links, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    comp = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).alias("n_links"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("others"))
+    told = classes.join(links, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    told = ws.keep(told.select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "told")
+    out = rows.select("id").join(join_counted(members, told, "key").drop("key"), "id", "left")
+    comp = F.coalesce("component_id", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), comp.alias("component_id"), (F.col("id") == comp).alias("kept"))
