@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, keyed
 from .tokens import encoder
 
-#: Rows ranked in one window partition, on average.
-RANKED = 50_000
+#: Pieces of a class that are ranked in one window partition, on average.
+RANKED = 2_000
 
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -122,20 +122,20 @@ def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int,
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches):
         enc = encoder(tokenizer)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        flush = lambda: pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "start", "length", "doc_tokens", "ids"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        flush = lambda: pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["row", "id", "start", "length", "doc_tokens", "ids"])
         for batch in batches:
-            doc_ids, out, held = batch.column(0).to_pylist(), ([], [], [], [], []), 0
+            numbers, doc_ids, out, held = batch.column(2).to_pylist(), batch.column(0).to_pylist(), tuple([] for _ in kinds), 0
             for row, ids in enc.encode(batch.column(1)):
                 ids = np.append(ids, end_id).astype("<u4")
                 for at in range(0, len(ids), capacity):
                     part = ids[at : at + capacity]
-                    for col, v in zip(out, (doc_ids[row], at, len(part), len(ids), part.tobytes())):
+                    for col, v in zip(out, (numbers[row], doc_ids[row], at, len(part), len(ids), part.tobytes())):
                         col.append(v)
                 held += len(ids)
                 if held > 1 << 21:
                     yield flush()
-                    out, held = ([], [], [], [], []), 0
+                    out, held = tuple([] for _ in kinds), 0
             yield flush()
 
     return run
@@ -152,28 +152,30 @@ def pack(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: id, ``start``, ``length``, ``ids_crc32`` (of its ids as
-    little-endian u32), ``doc_tokens``, ``sequence_id`` and ``offset``.  The ids
-    themselves are in the written table ``pieces``; see :func:`sequences`.
+    little-endian u32), ``doc_tokens``, ``sequence_id``, ``offset`` and ``row`` (a
+    number of the document that no other has).  The ids themselves are in the
+    written table ``pieces``; see :func:`sequences`.
 
     Every document is its ids followed by ``end_id`` (null text: ``end_id``
     alone), cut every ``capacity`` ids; each piece lies in one sequence, offsets
-    there have no gaps.  Repeated rows are packed as often as they come, an empty
-    table gives no piece, other columns are not read.  The ids are written once
+    there have no gaps.  Rows that repeat or lack an id are documents of their own,
+    an empty table gives no piece, other columns are not read.  The ids are written once
     and never shuffled: only the narrow description of the pieces is.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, start long, length long, doc_tokens long, ids binary"
+    rows = keyed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), ws, "id")
+    schema = "row long, id long, start long, length long, doc_tokens long, ids binary"
     pieces = ws.keep(rows.mapInArrow(_cut(tokenizer, end_id, capacity), schema), "pieces")
 
-    narrow = pieces.select("id", "start", "length", F.crc32("ids").alias("crc"), "doc_tokens")
+    narrow = pieces.select("row", "id", "start", "length", F.crc32("ids").alias("crc"), "doc_tokens")
     narrow = narrow.withColumn("size", F.ceil(F.col("length") / unit) * unit)
-    total = pieces.count()
-    salts = max(1, -(-total // RANKED))
-    narrow = ws.keep(narrow.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(salts))), "narrow")
+    narrow = ws.keep(narrow, "narrow")
+    # a row per class of lengths, capacity / unit at most
+    histogram = {int(r["size"]): int(r["n"]) for r in narrow.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    salts = F.create_map(*[F.lit(int(x)) for size, n in histogram.items() for x in (size, -(-n // RANKED))]) if histogram else F.lit(None).cast("map<int,int>")
+    narrow = narrow.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.element_at(salts, F.col("size").cast("int"))))
     counts = ws.keep(narrow.groupBy("size", "salt").agg(F.count("*").alias("n")), "counts")
 
-    histogram = {int(r["size"]): int(r["n"]) for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     slots, base, filled = [], 0, dict.fromkeys(histogram, 0)
     units = {s // unit: n for s, n in histogram.items()}
     for pattern, times in plan_patterns(units, capacity // unit):
@@ -187,13 +189,13 @@ def pack(
 
     before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("size", "salt").orderBy("id", "start")
+    within = Window.partitionBy("size", "salt").orderBy("row", "start")
     ranked = narrow.withColumn("r", F.row_number().over(within) - 1).join(firsts, ["size", "salt"])
     ranked = ranked.withColumn("r", F.col("r") + F.col("first"))
     # a slot row per class and pattern: bounded by the histogram, not by the data
     placed = ranked.join(F.broadcast(slots), (ranked["size"] == slots["size"]) & (F.col("r") >= F.col("lo")) & (F.col("r") < F.col("hi")))
     placed = placed.withColumn("sequence_id", F.col("base") + F.floor((F.col("r") - F.col("lo")) / F.col("copies")))
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "id", "start", "r").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "row", "start").rowsBetween(Window.unboundedPreceding, -1)
     return placed.select(
         F.col("id").alias(id_col),
         "start",
@@ -202,15 +204,16 @@ def pack(
         "doc_tokens",
         "sequence_id",
         F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"),
+        "row",
     )
 
 
-def sequences(ws: Workspace, packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def sequences(ws: Workspace, packed: DataFrame) -> DataFrame:
     """The packed sequences themselves, from the written pieces: ``sequence_id``,
     ``ids`` (little-endian u32) and ``length``.  A sequence has ``capacity`` ids
     at most, so its group is bounded."""
-    pieces = ws.spark.read.parquet(ws.path("pieces")).select(F.col("id").alias(id_col), "start", "ids").dropDuplicates([id_col, "start"])
-    rows = packed.join(pieces, [id_col, "start"])
+    pieces = ws.spark.read.parquet(ws.path("pieces")).select("row", "start", "ids")
+    rows = packed.join(pieces, ["row", "start"])
     group = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("length"))
     ids = F.aggregate(F.col("parts"), F.lit(b""), lambda acc, p: F.concat(acc, p["ids"]))
     return group.select("sequence_id", ids.alias("ids"), "length")
