@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Workspace, join_counted
 from .tokens import encoder
 
 MAGIC = "QSST0001"
@@ -32,6 +33,8 @@ FOOTER = struct.Struct("<QQQQQQBB9s9s")  # index at, count, bloom at, bloom byte
 INDEX = struct.Struct("<9sQII")
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 8 << 20
+#: Bytes of text that one range of ids holds, on average.
+RANGE_BYTES = 64 << 20
 BLOOM_BITS = 10
 BLOOM_K = 7
 
@@ -200,7 +203,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     gives no shard.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes // RANGE_BYTES))
     rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first())
     blobs = rows.mapInArrow(_shards(tokenizer, end_id), "shard binary").select(F.col("shard").cast("string").alias("value"))
     blobs.write.option("lineSep", MAGIC).option("maxRecordsPerFile", 1).mode("overwrite").text(path)
@@ -222,9 +226,17 @@ def _footers(batches):
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per shard: path, first and last key, documents, ids, and
     ``start``, the number of ids in all shards before it."""
-    rows = _files(spark, path).mapInArrow(_footers, "path string, first binary, last binary, n_docs long, n_ids long")
-    before = Window.orderBy("first", "last", "path").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
+    ws = Workspace(spark, "manifest")
+    shards = _files(spark, path).mapInArrow(_footers, "path string, first binary, last binary, n_docs long, n_ids long")
+    # summed by ranges of shards first, so that no task sees all of them
+    order = ["first", "last", "path"]
+    rows = ws.keep(shards.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "shards")
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("range").agg(F.sum("n_ids").alias("n"))  # a row per range
+    sums = sums.select("range", F.coalesce(F.sum("n").over(before.orderBy("range")), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n_ids").over(before.partitionBy("range").orderBy(*order)), F.lit(0))
+    rows = rows.withColumn("within", within).join(F.broadcast(sums), "range")
+    return rows.select("path", "first", "last", "n_docs", "n_ids", (F.col("base") + F.col("within")).alias("start"))
 
 
 def _documents(batches):
@@ -256,8 +268,8 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """Documents of the shards: id, ``start`` (ids of all documents before it),
     ``n_tokens`` and ``ids`` (little-endian u32)."""
     docs = _files(spark, path).mapInArrow(_documents, "path string, id long, local_start long, ids binary")
-    offsets = manifest(spark, path).select("path", "start")  # one row per shard of SHARD_BYTES
-    return docs.join(offsets, "path").select(
+    offsets = Workspace(spark, "offsets").keep(manifest(spark, path).select("path", "start"), "shards")
+    return join_counted(docs, offsets, "path").select(
         F.col("id").alias(id_col),
         (F.col("start") + F.col("local_start")).alias("start"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
