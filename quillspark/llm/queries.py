@@ -59,7 +59,9 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op7_embedding_dedup(spark, sf_dir):
-    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), Workspace(spark, "op7"))
+    ws = Workspace(spark, "op7")
+    vectors = keyed(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), ws, "vec_id")
+    return named(embedding_dedup.near_duplicates(vectors, ws, id_col=ROW), vectors, ws, ROW, "component_id", id_col="vec_id")
 
 
 def op8_license_scan(spark, sf_dir):
@@ -70,12 +72,14 @@ def op9_warc(spark, sf_dir):
     ws = Workspace(spark, "op9")
     warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), ws.path("archives"), ws)
     captures = warc.assemble(warc.read(spark, ws.path("archives")))
+    field = lambda name: F.expr(f"try_cast(nullif(regexp_extract(cast(metadata.payload as string), '(?m)^{name}: (-?[0-9]+)', 1), '') as bigint)")
+    broken = F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("main.record_id")))
     return captures.select(
-        F.expr("try_cast(nullif(regexp_extract(main.record_id, '^urn:capture:(-?[0-9]+):main$', 1), '') as bigint)").alias("page_id"),
+        field("page-id").alias("page_id"),
         F.col("main.payload_bytes").alias("payload_bytes"),
-        F.col("main.digest").alias("payload_digest"),
+        F.when(F.coalesce("main.intact", F.lit(True)), F.col("main.digest")).otherwise(broken).alias("payload_digest"),
         F.col("main.type").alias("record_type"),
-        F.expr("try_cast(nullif(regexp_extract(main.refers_to, '^urn:capture:(-?[0-9]+):main$', 1), '') as bigint)").alias("refers_to"),
+        field("refers-to-page-id").alias("refers_to"),
     )
 
 

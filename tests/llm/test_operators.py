@@ -1,5 +1,7 @@
 """Each operator against a brute-force version on small hostile inputs."""
+import gzip
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -52,11 +54,11 @@ def test_components(spark):
 
 
 # -- 1 ---------------------------------------------------------------------------
-@pytest.mark.parametrize("bits", [64, 2])
-def test_exact(spark, bits):
+@pytest.mark.parametrize("bits,hot", [(64, 256), (2, 256), (64, 3), (2, 3)])
+def test_exact(spark, bits, hot):
     rng = random.Random(2)
     texts = HOSTILE + ["".join(rng.choice("ab \t\n") for _ in range(rng.randrange(5))) for _ in range(200)]
-    got = {r["doc_id"]: r for r in exact_dedup.dedup(frame(spark, texts), Workspace(spark, "t"), capacity=4, hash_bits=bits).collect()}
+    got = {r["doc_id"]: r for r in exact_dedup.dedup(frame(spark, texts), Workspace(spark, "t"), capacity=4, max_depth=4, hash_bits=bits, hot=hot).collect()}
     by = defaultdict(list)
     for i, t in enumerate(texts):
         by[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append(i)
@@ -68,18 +70,39 @@ def test_exact(spark, bits):
             assert got[i]["text_sha256"] == hashlib.sha256(norm.encode()).hexdigest()
 
 
-def test_directory_doubles(spark):
-    cells = spark.createDataFrame([(i, 10 if i < 8 else 1) for i in range(64)], "cell long, n long")
-    rows = exact_dedup.build_directory(cells, capacity=20, max_depth=6).collect()
-    load = Counter()
-    for r in rows:
-        load[r["bucket"]] += 10 if r["cell"] < 8 else 1
-    assert max(load.values()) <= 20 and len({r["depth"] for r in rows}) > 1
-    assert exact_dedup.build_directory(cells.limit(0)).count() == 0
+def test_directory_doubles():
+    load = [10] * 8 + [1] * 56
+    buckets = exact_dedup.build_directory(load, capacity=20)
+    assert [b.start for b in buckets] == sorted({b.start for b in buckets})
+    assert sum(b.load for b in buckets) == sum(load) and sum(64 >> b.depth for b in buckets) == 64
+    assert max(b.load for b in buckets) <= 20 and len({b.depth for b in buckets}) > 1 and not any(b.pages for b in buckets)
+    for b in buckets:  # the shallowest that fits: its parent would be overfull
+        parent = b.start - b.start % (128 >> b.depth)
+        assert not b.depth or sum(load[parent : parent + (128 >> b.depth)]) > 20
+    over = exact_dedup.build_directory([100, 0], capacity=20)
+    assert over == [(0, 1, 100, 3), (1, 1, 0, 0)] and exact_dedup.build_directory([0, 0]) == [(0, 0, 0, 0)]
+
+
+def test_exact_reads_its_pages_through_the_directory(spark, monkeypatch):
+    """Owners hold ranges of hashes; with a wrong directory at the probe nothing is found."""
+    texts, ws = [f"text {i % 70}" for i in range(100)], Workspace(spark, "t")
+    out = exact_dedup.dedup(frame(spark, texts), ws, capacity=8, max_depth=6)
+    assert out.count() == 100
+    pages = spark.read.parquet(ws.path("pages"))
+    spans = pages.groupBy(F.input_file_name().alias("f")).agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).orderBy("lo").collect()
+    assert len(spans) > 1 and all(a["hi"] < b["lo"] for a, b in zip(spans, spans[1:]))
+    assert pages.groupBy("bucket").agg(F.count_distinct("h").alias("n")).agg(F.max("n")).first()[0] <= 8
+    whole = exact_dedup.route
+    wrong = lambda keys, directory, depth: whole(keys, directory.withColumn("bucket", F.col("bucket") + F.lit(0 if "norm" in keys.columns else 1)), depth)
+    monkeypatch.setattr(exact_dedup, "route", wrong)
+    assert exact_dedup.dedup(frame(spark, texts), Workspace(spark, "t"), capacity=8, max_depth=6).count() == 0
 
 
 def test_exact_empty(spark):
     assert exact_dedup.dedup(frame(spark, []), Workspace(spark, "t")).count() == 0
+    rows = spark.createDataFrame([(None, "a b"), (None, "ab"), (3, "ab"), (3, "ab")], "doc_id long, text string")
+    got = [tuple(r)[:4] for r in exact_dedup.dedup(rows, Workspace(spark, "t")).collect()]
+    assert sorted(got, key=str) == [(3, 3, 4, True)] * 0 + sorted([(None, None, 4, True), (None, None, 4, True), (3, None, 4, False), (3, None, 4, False)], key=str)
 
 
 # -- 2 ---------------------------------------------------------------------------
@@ -232,6 +255,11 @@ def test_pack(spark):
             at += r["length"]
         assert at <= 256
     assert total >= 0.93 * 256 * len(seqs)
+    twice = spark.createDataFrame([(1, "alpha"), (1, "beta gamma9"), (None, "x!"), (None, None)], "doc_id long, text string")
+    own = Workspace(spark, "t")
+    ids = [r["ids"] for r in packing.sequences(own, packing.pack(twice, own, WORDS, 2, capacity=2, unit=1)).collect()]
+    flat = [x for t in ("alpha", "beta gamma9", "x!", "") for x in [*library.encode(t, add_special_tokens=False).ids, 2]]
+    assert sorted(x for i in ids for x in np.frombuffer(i, "<u4")) == sorted(flat)
     whole = packing.sequences(ws, rows).collect()
     assert {r["sequence_id"]: len(r["ids"]) // 4 for r in whole} == {k: sum(p["length"] for p in v) for k, v in seqs.items()}
 
@@ -300,6 +328,23 @@ def test_embeddings(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_embeddings_lose_no_link(spark):
+    """Few usable vectors among many nulls, several lengths, very large and very small
+    components, copies and scaled copies, repeated and null ids."""
+    near = lambda vectors, ids=None: embedding_dedup.near_duplicates(
+        keyed(spark.createDataFrame(list(zip(ids or range(len(vectors)), vectors)), "vec_id long, embedding array<double>"), ws, "vec_id"), ws, id_col=ROW
+    ).orderBy(ROW).collect()
+    ws = Workspace(spark, "t")
+    got = near([None] * 3000 + [[1.0, 2.0]] + [None] * 3000 + [[1.0, 2.0]])
+    assert [r["n_links"] for r in got] == [0] * 3000 + [1] + [0] * 3000 + [1] and got[-1]["component_id"] == 3000
+    got = near([[1.0, 0.0, 0.0]] * 2 + [[0.0, 1.0]] * 3 + [[2.0, 0.0, 1e-9]] + [[1.0]] + [[-1.0]] + [[3.0]])
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(2, 0), (2, 0), (2, 2), (2, 2), (2, 2), (2, 0), (1, 6), (0, 7), (1, 6)]
+    got = near([[1e200, 1e200], [1e-200, 1e-200], [5e-324, 5e-324], [1e308, -1e308], [float("inf"), 1.0], [0.0, -0.0]])
+    assert [r["n_links"] for r in got] == [2, 2, 2, 0, 0, 0]
+    got = near([[1.0, 2.0], [1.0, 2.0], [1.0, 2.1], None, [5.0, -1.0]], [7, 7, None, 7, None])
+    assert sorted(r["n_links"] for r in got) == [0, 0, 2, 2, 2] and len({r[ROW] for r in got}) == 5
+
+
 def test_embeddings_hot_group(spark):
     rng = np.random.default_rng(11)
     rows = rng.normal(size=(10_000, 64))
@@ -366,6 +411,31 @@ def test_warc(spark):
     assert warc.read(spark, ws.path("e")).count() == 0
 
 
+def test_warc_rows_that_repeat_or_lack_an_id(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1)
+    rows = [(1, "u", "a"), (1, "u", "a"), (None, "u", "b"), (None, None, "a"), (2, "u", None)]
+    ws = Workspace(spark, "t")
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), ws.path("w"), ws)
+    records = warc.read(spark, ws.path("w"))
+    got = warc.assemble(records).collect()
+    assert len(got) == 5 and Counter(r["main"]["type"] for r in got) == {"response": 3, "revisit": 2}
+    assert sorted(re.findall(r"(?m)^page-id: (.*)\r$", "".join(r["metadata"]["payload"].decode() for r in got))) == ["1", "1", "2"]
+    assert Counter(r["intact"] for r in records.collect()) == {True: 3, None: 12}
+    assert len([f for f in os.listdir(ws.path("w").removeprefix("file://")) if f.startswith("part-")]) >= 5  # a capture a file
+
+
+def test_warc_checks_payloads_and_form():
+    data = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: 23\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabcd\r\n\r\n"
+    read = lambda x: next(iter(warc._parsed([pa.record_batch([pa.array([x], pa.binary())], ["content"])]))).to_pylist()
+    good, bad = (read(gzip.compress(data % warc._digest(x).encode()))[0] for x in (b"abcd", b"abce"))
+    assert (good["intact"], bad["intact"], good["payload"]) == (True, False, b"abcd")
+    assert len(read(gzip.compress(data) + gzip.compress(data))) == 2
+    for wrong in (b"WARX", data[:40], data[:-9], data + b"x"):
+        with pytest.raises(ValueError):
+            list(warc.parse(wrong))
+    assert [h["warc-type"] for h, _ in warc.parse(data[i : i + 1] for i in range(len(data)))] == ["response"]
+
+
 # -- 10 --------------------------------------------------------------------------
 def spans_of(texts, size):
     """Repeated passages by brute force, rank by rank: (row, unit) -> offsets."""
