@@ -1,10 +1,17 @@
 """Toxicity by two class-conditional Kneser-Ney bigram models.
 
-Both classes share the lowest order: how many distinct words stand before each
-word in the whole corpus.  The orders above it count documents, and only
-expressions that tell the classes apart have figures of their own.  A text's feature is the
-difference of its two log-likelihoods divided by its length; a logistic curve
-fitted on rows that the models have not seen turns it into a score.
+A model interpolates three orders by absolute discounting, each a distribution:
+
+* bigrams: how often a word follows another one in the class's texts,
+* words of the class: how many distinct words stand before a word in them,
+* words of the corpus: the same count over all texts, shared by both classes.
+
+An expression (word or bigram) has figures of its own class only where the classes'
+texts hold it unequally beyond chance; rare and even ones are left to the order
+below, words to the shared counts, whose mass is scaled so that probabilities still
+sum to 1.  A text's feature is the difference of its two log-likelihoods divided by
+its length; a logistic curve fitted on rows that the models have not seen turns it
+into a score.
 """
 from __future__ import annotations
 
@@ -100,7 +107,8 @@ def shared_counts(ws: Workspace, texts: DataFrame, needed: np.ndarray) -> tuple[
 
 
 def _class_counts(batches):
-    """Documents by class that hold each bigram, and (not ``pair``) each word."""
+    """By class, the documents that hold each bigram (d) and its occurrences (c), and
+    the documents that hold each word (not ``pair``)."""
     for batch in batches:
         label = batch.column(1).to_numpy()
         for base, buf, offs in blocks(batch.column(0)):
@@ -110,12 +118,14 @@ def _class_counts(batches):
             row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
             toxic = label[base : base + len(offs) - 1].astype(np.int64)
             for pair, u, k in ((True, prev, key), (False, np.zeros_like(words), words)):
+                _, at, inv = np.unique(k, return_index=True, return_inverse=True)
                 _, once = np.unique(mix(k + row * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
-                _, at, inv = np.unique(k[once], return_index=True, return_inverse=True)
-                t = np.bincount(inv, weights=toxic[row[once].astype(np.int64)], minlength=len(at)).astype(np.int64)
-                both = np.bincount(inv, minlength=len(at))
-                columns = [np.full(len(at), pair), u[once][at].view(np.int64), words[once][at].view(np.int64), both - t, t]
-                yield pa.record_batch([pa.array(c) for c in columns], ["pair", "u", "w", "c0", "c1"])
+                counts = []
+                for rows in (once, np.arange(len(k))):
+                    t = np.bincount(inv[rows], weights=toxic[row[rows].astype(np.int64)], minlength=len(at)).astype(np.int64)
+                    counts += [np.bincount(inv[rows], minlength=len(at)) - t, t]
+                columns = [np.full(len(at), pair), u[at].view(np.int64), words[at].view(np.int64), *counts]
+                yield pa.record_batch([pa.array(c) for c in columns], ["pair", "u", "w", "d0", "d1", "c0", "c1"])
 
 
 def _take(values: np.ndarray, at: np.ndarray, hit: np.ndarray, default: float) -> np.ndarray:
@@ -125,16 +135,18 @@ def _take(values: np.ndarray, at: np.ndarray, hit: np.ndarray, default: float) -
 @dataclass
 class Model:
     """Sorted hashes of the expressions in which the models differ, and their
-    figures, a row per class.  A context or word that is not listed has the same
-    figures in both classes and cancels out, so sizes depend on MAX_ROWS only."""
+    figures, a row per class.  A context that is not listed has the same figures in
+    both classes and cancels out, and so does the shared count of a word that is
+    not, so sizes depend on MAX_ROWS only."""
 
     keys: np.ndarray  # kept bigrams
     kept: np.ndarray  # their discounted counts
     contexts: np.ndarray  # first words of kept bigrams
-    total: np.ndarray  # tokens after a context
+    total: np.ndarray  # words after a context
     back: np.ndarray  # mass that a context passes to the lower order
     words: np.ndarray  # words that tell or end a kept bigram
     lower: np.ndarray  # lower-order probability of a word
+    rest: np.ndarray  # factor of the shared counts of all other words
     slope: float = 0.0
     offset: float = 0.0
 
@@ -153,7 +165,7 @@ class Model:
             for k in (0, 1):
                 n = _take(self.total[k], ctx, known, 0.0)
                 top = _take(self.kept[k], at, hit, 0.0)
-                back, low = _take(self.back[k], ctx, known, 1.0), _take(self.lower[k], word, listed, 1.0)
+                back, low = _take(self.back[k], ctx, known, 1.0), _take(self.lower[k], word, listed, self.rest[k])
                 logs.append(np.log(np.where(n > 0, top / np.maximum(n, 1), 0) + back * low))
             gain = np.append(0.0, np.cumsum(logs[1] - logs[0]))
             n = np.diff(first)
@@ -175,21 +187,19 @@ def _telling(c0, c1, share: float, root):
 
 
 def _model(words: pa.Table, contexts: pa.Table, bigrams: pa.Table, size: list, types: list, shared) -> Model:
-    """Kneser-Ney by class over document counts: telling bigrams keep their
-    discounted counts and pass the rest of their context's mass to the class's
-    words; telling words pass theirs to the shared counts, smoothed by one; for
-    all others both classes use the shared counts.  ``shared`` counts the words
-    that are told or end a kept bigram; size and types are the classes' word
-    counts and distinct words."""
+    """``words(w, n0, n1)`` tell the classes apart and have continuation counts,
+    ``bigrams(u, w, c0, c1)`` do and have occurrences, ``contexts(u, c0, c1)`` are
+    their first words; ``size`` and ``types`` are the classes' distinct bigrams and
+    words.  ``shared`` looks the corpus's counts up, which are smoothed by one."""
 
     def columns(t, *names):
-        return [t.column(x).to_numpy().view(np.uint64) if x in "uw" else t.column(x).to_numpy() for x in names]
+        return [t.column(x).to_numpy().view(np.uint64) if x in "uw" else t.column(x).to_numpy().astype(np.float64) for x in names]
 
-    w, *df = columns(words, "w", "c0", "c1")
+    w, *n = columns(words, "w", "n0", "n1")
     bu, bw, *c = columns(bigrams, "u", "w", "c0", "c1")
-    u, *n = columns(contexts, "u", "c0", "c1")
+    u, *total = columns(contexts, "u", "c0", "c1")
     by = np.argsort(u)
-    u, total = u[by], np.array([x[by] for x in n], np.float32)
+    u, total = u[by], np.array([x[by] for x in total]).reshape(2, -1)
     needed = np.union1d(w, bw)
     count, all_counts, kinds = shared(needed)
     base = (count + 1.0) / (all_counts + max(1, kinds))
@@ -197,25 +207,26 @@ def _model(words: pa.Table, contexts: pa.Table, bigrams: pa.Table, size: list, t
     key = _key(bu, bw)
     order = np.argsort(key)
     ctx, _ = _place(u, bu)
-    back, lower, kept = [], [], []
+    back, lower, kept, factors = [], [], [], []
     for k in (0, 1):
-        rest = DISCOUNT * types[k] / size[k] if size[k] > 1 else 1.0
-        low = base.copy()
-        low[at] = np.maximum(df[k] - DISCOUNT, 0) / size[k] + rest * base[at]
+        passed = DISCOUNT * types[k] / size[k] if types[k] else 1.0  # every count is 1 at least
+        own = np.maximum(n[k] - DISCOUNT, 0) / max(1, size[k]) + passed * base[at]
+        factors.append((1 - own.sum()) / (1 - base[at].sum()))
+        low = factors[k] * base
+        low[at] = own
         lower.append(low)
         own = np.maximum(c[k] - DISCOUNT, 0)
         mass = np.bincount(ctx, weights=own, minlength=len(u))
         back.append(np.where(total[k] > 0, 1 - mass / np.maximum(total[k], 1), 1.0))
         kept.append(own[order])
-    half = lambda x: np.array(x, np.float32)
-    return Model(key[order], half(kept), u, total, half(back), needed, half(lower))
+    return Model(key[order], np.array(kept), u, total, np.array(back), needed, np.array(lower), np.array(factors))
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Logistic curve by Newton steps with a weak prior; both classes weigh the
     same, so the score does not depend on how rare label 1 is."""
     if not len(y) or y.min() == y.max():
-        return 1.0, 0.0
+        return (1.0, 0.0) if len(y) else (0.0, 0.0)
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * len(y)
     scale = x.std() or 1.0
     design, beta = np.stack([x / scale, np.ones_like(x)], 1), np.zeros(2)
@@ -240,7 +251,10 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
     Of the rows that are not held out three quarters make the models, the others
-    the calibration.  Null labels and ids, and ids that carry both labels, are not learnt from.
+    the calibration.  Null labels and ids, and ids that carry both labels, are not
+    learnt from; null texts count as empty; rows that repeat an id are learnt from as
+    often as they come.  Without rows of both classes, or with empty tables, nothing
+    tells the classes apart and every text scores 0.5.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     role = F.when(F.pmod(F.xxhash64(F.col("id").cast("long"), F.lit(7)), F.lit(4)) == 0, F.lit(2)).otherwise(F.lit(0))
@@ -254,15 +268,18 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_
             share = F.when((F.col("toxic") == toxic) & (F.col("role") == part), F.lit(MAX_ROWS / n)).otherwise(share)
     chosen = ws.keep(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share * (1 << 20)), "chosen")
     texts = ws.keep(join_counted(rows, chosen, "id").select("text", "toxic", "role"), "training")
-    counts = texts.where("role = 0").select("text", "toxic").mapInArrow(_class_counts, "pair boolean, u long, w long, c0 long, c1 long")
-    counts = ws.keep(counts.groupBy("pair", "u", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")), "bigrams")
-    words, pairs = counts.where("not pair"), counts.where("pair")
-    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("c0"), F.col("c1"), (F.col("c0") > 0).cast("long"), (F.col("c1") > 0).cast("long"))]
-    *size, t0, t1 = words.agg(*sums).first()
-    size = [max(1.0, float(x)) for x in size]
-    told = _telling(F.col("c0"), F.col("c1"), size[1] / sum(size), F.sqrt)
+    counts = texts.where("role = 0").select("text", "toxic").mapInArrow(_class_counts, "pair boolean, u long, w long, d0 long, d1 long, c0 long, c1 long")
+    counts = ws.keep(counts.groupBy("pair", "u", "w").agg(*[F.sum(x).alias(x) for x in ("d0", "d1", "c0", "c1")]), "counts")
+    pairs = counts.where("pair")
+    # words after distinct words, by class
+    before = [F.sum((F.col(c) > 0).cast("long")).alias(n) for c, n in (("c0", "n0"), ("c1", "n1"))]
+    words = counts.where("not pair").select("w", "d0", "d1").join(pairs.groupBy("w").agg(*before), "w")
+    words = ws.keep(words, "words")
+    sums = [F.coalesce(F.sum(x), F.lit(0)) for x in (*map(F.col, ("d0", "d1", "n0", "n1")), (F.col("n0") > 0).cast("long"), (F.col("n1") > 0).cast("long"))]
+    d0, d1, *size, t0, t1 = words.agg(*sums).first()
+    told = _telling(F.col("d0"), F.col("d1"), d1 / max(1, d0 + d1), F.sqrt)
     # what is collected is bounded by the telling expressions of MAX_ROWS texts
-    kept = ws.keep(pairs.where((F.col("c0") + F.col("c1") >= LEAST) & told), "kept")
+    kept = ws.keep(pairs.where((F.col("d0") + F.col("d1") >= LEAST) & told), "kept")
     contexts = join_counted(pairs, ws.keep(kept.select("u").distinct(), "contexts"), "u", "left_semi")
     contexts = contexts.groupBy("u").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     shared = lambda needed: shared_counts(ws, rows.select("text"), needed)
