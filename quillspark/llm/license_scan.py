@@ -1,11 +1,12 @@
 """License scans by a trained paragraph classifier (native on the data path).
 
 Every paragraph is the set of its word 1- and 2-grams.  A sparse multinomial
-logistic regression over the licence families, and one class for other prose, is
-fitted on the fixed templates below when the operator is built; its weights are a
-small table that is joined to the grams.  Probabilities are calibrated by a
-temperature fitted out of fold.  A paragraph that looks like a licence but is not
-confidently one family, or whose family no template confirms, is ``unknown``.
+logistic regression over the licence families, a class ``unknown`` that is trained
+on notices of other licences, and a class ``none`` for other prose, is fitted on the
+fixed sentences below when the operator is built; its weights are a small table that
+is joined to the grams.  Probabilities are calibrated by a temperature fitted out of
+fold.  A paragraph that states a licence but is not confidently one family, or whose
+family no template confirms, is ``unknown``, too.
 """
 from __future__ import annotations
 
@@ -102,6 +103,28 @@ TEMPLATES = {
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
     ],
 }
+# Notices of licences that have no family here.
+UNKNOWN = [
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "Published under the EUPL 1.2.",
+    "This is free and unencumbered software released into the public domain.",
+    "Released under the Unlicense.",
+    "Free and unencumbered software under the Unlicense.",
+    "Licensed under the zlib license.",
+    "This software is provided as is, without any express or implied warranty.",
+    "Licensed under the ISC license.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "Released under the Artistic License 2.0.",
+    "Licensed under the WTFPL, version 2.",
+    "Licensed under the terms of the Example Software License Agreement.",
+    "Use of this data is governed by the Open Database License.",
+    "This document may be used under the GNU Free Documentation License.",
+    "SPDX-License-Identifier: LicenseRef-Custom",
+    "This product is licensed, not sold, under the end user license agreement.",
+]
 # Prose that shares words with notices but states no licence.
 OTHER = [
     "He was licensed to drive a bus and to work in public.",
@@ -126,16 +149,34 @@ OTHER = [
     "Die Frau mit der Tasche ist mit dem Mann auf der Reise.",
     "Le public est libre et la source de la loi est dans le domaine.",
     "La obra de su autor es libre para el lector en general.",
+    "The rights of the members were discussed under the new rules.",
+    "A new version of the song was released under another name.",
+    "The library is free and open to the general public.",
+    "The driver had no license and no permission to leave.",
+    "The software was provided to the school under a contract.",
+    "Creative people share their common interests.",
+    "The author waived the fee for the related event.",
+    "Conditions in the domain of physics are met to a large extent.",
+    "He obtained a copy of the document from the publisher.",
+    "The redistribution of income is an international question.",
+    "Clause 3 of the agreement was published in 2020.",
+    "Version 2 of the plan has a source in the earlier text.",
+    "All seats were reserved by the company.",
+    "Charge the battery before use, free of any warranty.",
+    "The king granted the town its first rights in 1201.",
+    "The public domain of the city was opened to all.",
+    "Under the law, no person may enter without prior written notice.",
 ]
 # Words that alone say nothing about a licence.
 STOP = "a an and any are as at be by can de der die du el en for from has he http https in is it its la le not of on or that the their this to was were who with without you your work use file files copy may part person terms form forms all more".split()
 
-# Words of which a paragraph that states a licence has one at least.
-ANCHORS = "license licensed licenses licence licenced sublicense apache gnu gpl gplv2 gplv3 lgpl lgplv2 lgplv3 agpl agplv3 affero bsd mozilla mpl cc cc0 creative sharealike noncommercial attribution copyright copyrights spdx redistribution redistributions granted waived reserved reproduced distributed domain foundation obtain".split()
-
 _SPACE = r"[^a-z0-9.]+"
 _DOT = r"\.(?![0-9])|(?<![0-9])\."
-OTHER_CLASS = "none"
+OTHER_CLASS, UNKNOWN_CLASS = "none", "unknown"
+#: Steps in which the words' evidence is counted before paragraphs are scored.
+LEVELS = 4
+#: A line end that ends no paragraph: the line goes on in lower case.
+_WRAP = r"([a-z0-9,])\n([a-z])"
 
 
 def grams_of(text: str) -> list[str]:
@@ -173,12 +214,36 @@ def _fit(x: np.ndarray, y: np.ndarray, classes: int, l1: float = 0.0015, rounds:
     return w, b
 
 
-@lru_cache(maxsize=1)
-def train():
+def _temperature(held: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least log loss, by golden section."""
+
+    def loss(log_t):
+        z = held / np.exp(log_t)
+        z = z - z.max(axis=1, keepdims=True)
+        return -(z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))).mean()
+
+    lo, hi, ratio = np.log(0.2), np.log(8.0), (5**0.5 - 1) / 2
+    for _ in range(40):
+        a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+        lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
+    return float(np.exp((lo + hi) / 2))
+
+
+def sentences() -> list[tuple[str, str]]:
+    """All training sentences and their classes."""
+    return [(t, f) for f in sorted(TEMPLATES) for t in TEMPLATES[f]] + [(t, UNKNOWN_CLASS) for t in UNKNOWN] + [(t, OTHER_CLASS) for t in OTHER]
+
+
+def train(examples: list[tuple[str, str]] | None = None):
     """The fitted model: classes, rows ``(gram, class, weight)``, intercepts,
-    temperature."""
-    classes = [*sorted(TEMPLATES), OTHER_CLASS]
-    texts = [(t, classes.index(f)) for f in sorted(TEMPLATES) for t in TEMPLATES[f]] + [(t, len(classes) - 1) for t in OTHER]
+    temperature.  ``examples`` are :func:`sentences` unless given."""
+    return _train(tuple(examples or sentences()))
+
+
+@lru_cache(maxsize=8)
+def _train(examples):
+    classes = [*sorted(TEMPLATES), UNKNOWN_CLASS, OTHER_CLASS]
+    texts = [(t, classes.index(c)) for t, c in examples]
     stop = set(STOP)
     telling = lambda g: any(w not in stop for w in g.split())
     vocabulary = sorted({g for t, _ in texts for g in grams_of(t) if telling(g)})
@@ -193,33 +258,65 @@ def train():
         out = np.arange(len(texts)) % 3 == fold
         fw, fb = _fit(x[~out], y[~out], len(classes), rounds=150)
         held[out] = np.einsum("ij,jk->ik", x[out], fw) + fb
+    rows = [(vocabulary[i], classes[c], float(w[i, c])) for i, c in zip(*np.nonzero(w))]
+    return classes, rows, [float(v) for v in b], _temperature(held, y)
 
-    def loss(t):
-        z = held / t
-        z = z - z.max(axis=1, keepdims=True)
-        return -(z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))).mean()
 
-    heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    rows = [(vocabulary[i], classes[c], float(w[i, c])) for i, c in zip(*np.nonzero(w))]
-    return classes, rows, [float(v) for v in b], float(heat)
+def evidence(model=None) -> list[list[str]]:
+    """Words by the evidence that they can add at most, in ``LEVELS`` steps and one
+    for words that are enough alone: a paragraph whose steps do not sum to more than
+    ``LEVELS`` is ``none`` with a probability of one half or more.
 
+    For each class the lead over ``none`` is at most its intercept's and the positive
+    leads of the grams.  The most that a gram adds for any class is counted for one
+    of its words, the longest; of a word with a dot, for its first part."""
+    classes, rows, intercepts, heat = model or train()
+    lead: dict[str, dict[str, float]] = {}
+    for gram, c, w in rows:
+        lead.setdefault(gram, dict.fromkeys(classes, 0.0))[c] = w
+    most: dict[str, float] = {}
+    for gram, by in lead.items():
+        gain = max(by[c] - by[OTHER_CLASS] for c in classes)
+        if gain > 0:
+            word = max(gram.split(), key=lambda x: (x not in STOP, len(x), x)).split(".")[0]
+            most[word] = most.get(word, 0.0) + gain
+    # with a lead of x for every class the odds against none are at most exp(x / heat)
+    # times what the intercepts give
+    needed = -heat * float(np.log(sum(np.exp((b - intercepts[-1]) / heat) for b in intercepts[:-1])))
+    if needed <= 0:
+        raise ValueError("paragraphs without any known word would state a licence")
+    steps = [[] for _ in range(LEVELS + 1)]
+    for word, gain in sorted(most.items()):
+        steps[min(LEVELS, int(np.ceil(LEVELS * gain / needed - 1e-9)) - 1)].append(word)
+    return steps
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph (line) that states a licence: id, ``paragraph``
-    (number of the line from 0), ``family`` (or ``unknown``), ``probability`` of
-    the likeliest family, ``template_match`` (largest share of one of its
-    templates) and ``n_grams``.
 
-    A paragraph without any of ANCHORS is prose.  Null and empty texts have no
-    paragraph; rows that repeat an id give repeated rows; an empty table gives
-    none; other columns are not read.  Only paragraphs with such words leave
-    their task, as the few grams that the model knows; the model and the
-    templates are one small table of fixed size.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model=None) -> DataFrame:
+    """One row per paragraph that states a licence: id, ``paragraph`` (its number
+    from 0), ``family`` (or ``unknown``), ``probability`` of the likeliest class
+    but ``none``, ``template_match`` (largest share of one of its templates) and
+    ``n_grams``.
+
+    Paragraphs end at line ends, but for a line that goes on in lower case after one
+    without an end.  Null and empty texts have no paragraph; rows that repeat an id
+    give repeated rows; an empty table gives none; other columns are not read.  Only
+    paragraphs that :func:`evidence` cannot tell to be ``none`` leave their task, as
+    the few grams that the model knows; the model and the templates are one small
+    table of fixed size.
     """
     spark = docs.sparkSession
-    classes, weights, intercepts, heat = train()
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.exists(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w.isin(ANCHORS)))
+    classes, weights, intercepts, heat = model or train()
+    text = F.col(text_col)
+    for _ in range(2):  # a line of one letter lends it to one end only
+        text = F.regexp_replace(text, _WRAP, "$1 $2")
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
+    steps = evidence((classes, weights, intercepts, heat))
+    tokens = F.split(F.lower("line"), "[^a-z0-9]+")
+    some = [w for step in steps for w in step]
+    lines = lines.where(F.exists(tokens, lambda w: w.isin(some)))
+    told = F.array_distinct(F.filter(tokens, lambda w: w.isin(some)))
+    level = lambda w: sum(((F.when(w.isin(step), k + 1).otherwise(0)) for k, step in enumerate(steps) if step), F.lit(0))
+    lines = lines.where(F.aggregate(told, F.lit(0), lambda total, w: total + level(w)) > LEVELS)
     grams = lines.select("id", "row", "paragraph", gram_column(words_column(F.col("line"))).alias("grams"))
     known = [(g, c, None, w, 0.0) for g, c, w in weights]
     known += [(g, f, f"{f}/{i}", 0.0, 1.0 / len(grams_of(t))) for f in sorted(TEMPLATES) for i, t in enumerate(TEMPLATES[f]) for g in grams_of(t)]
@@ -243,6 +340,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     )
     chance = lambda v: F.exp(v - F.col("ztop")) / F.col("total")
     found = scored.where(chance(F.col("other")) < 0.5).select(*key, "n_grams", F.col("best.class").alias("class"), chance(F.col("best.z")).alias("probability"), F.round("best.match", 6).alias("template_match"))
+    # the class unknown has no templates, so none confirms it
     sure = (F.col("probability") >= CONFIDENT) & (F.col("template_match") >= CONFIRMED)
     return found.select(
         F.col("id").alias(id_col),
@@ -265,14 +363,15 @@ def scan_sql() -> str:
     number = "regexp_replace({0}, '([0-9])\\.([0-9])', '\\1~\\2', 'g')"
     plain = f"regexp_replace(lower(line), '{_SPACE}', ' ', 'g')"
     plain = f"replace(replace({number.format(number.format(plain))}, '.', ' '), '~', '.')"
+    wrapped = "regexp_replace({0}, '([a-z0-9,])\\n([a-z])', '\\1 \\2', 'g')"
+    wrapped = wrapped.format(wrapped.format("text"))
     return f"""
         WITH model(gram, class, template, weight, share) AS (VALUES {", ".join(known)}),
         base(class, b) AS (VALUES {base}),
         l AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS paragraph,
-                   row_number() OVER () AS r FROM documents WHERE text IS NOT NULL),
-        c AS (SELECT * FROM l WHERE len(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda w: w IN ({", ".join(map(text, ANCHORS))}))) > 0),
-        w AS (SELECT doc_id, paragraph, r, list_filter(string_split({plain}, ' '), lambda w: w <> '') AS words FROM c),
+                   row_number() OVER () AS r FROM (SELECT doc_id, {wrapped} AS text FROM documents WHERE text IS NOT NULL)),
+        w AS (SELECT doc_id, paragraph, r, list_filter(string_split({plain}, ' '), lambda w: w <> '') AS words FROM l),
         g AS (
             SELECT doc_id, paragraph, r, list_distinct(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS grams FROM w),
         e AS (SELECT doc_id, paragraph, r, len(grams) AS n_grams, unnest(grams) AS gram FROM g),

@@ -288,6 +288,84 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def kneser_ney(texts, marks, discount=0.75, least=2, chance=3.0):
+    """Both models by brute force: (class, previous word, word) -> probability, and
+    the corpus's words."""
+    cut = lambda t: re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    pairs = lambda t: list(zip([""] + cut(t), cut(t)))
+    everything = {p for t in texts for p in pairs(t)}
+    shared, vocabulary = Counter(w for _, w in everything), {w for _, w in everything}
+    base = lambda w: (shared[w] + 1) / (len(everything) + len(vocabulary))
+    occur, docs, held = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for t, y in marks:
+        occur[y].update(pairs(t))
+        docs[y].update(set(pairs(t)))
+        held[y].update(set(cut(t)))
+    share = sum(held[1].values()) / (sum(held[0].values()) + sum(held[1].values()))
+
+    def tells(a, b):
+        e = (a + b) * share
+        return abs(b - e) > chance * (e + 1) ** 0.5
+
+    words = {w for w in held[0] | held[1] if tells(held[0][w], held[1][w])}
+    bigrams = {p for p in docs[0] | docs[1] if docs[0][p] + docs[1][p] >= least and tells(docs[0][p], docs[1][p])}
+    before = [Counter(w for _, w in occur[k]) for k in (0, 1)]
+    after = [Counter() for _ in (0, 1)]
+    for k in (0, 1):
+        for (u, _), c in occur[k].items():
+            after[k][u] += c
+
+    def low(k, w):
+        passed = discount * len(before[k]) / len(occur[k])
+        own = lambda x: max(before[k][x] - discount, 0) / len(occur[k]) + passed * base(x)
+        if w in words:
+            return own(w)
+        return base(w) * (1 - sum(map(own, words))) / (1 - sum(map(base, words)))
+
+    def probability(k, u, w):
+        top = {x: max(occur[k][p] - discount, 0) for p in bigrams if p[0] == u for x in [p[1]]}
+        if not after[k][u]:
+            return low(k, w)
+        return top.get(w, 0) / after[k][u] + (1 - sum(top.values()) / after[k][u]) * low(k, w)
+
+    return probability, vocabulary, pairs, (words, bigrams)
+
+
+def test_toxicity_is_kneser_ney(spark):
+    """The model's log-likelihoods against brute force, and probabilities sum to 1."""
+    rng = random.Random(31)
+    texts = []
+    for i in range(260):
+        words = [f"w{int(rng.paretovariate(0.9)) % 30}" for _ in range(rng.randrange(5, 30))]
+        for _ in range(3 if i % 4 == 0 else 0):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = rng.choice([["Bad", "egg"], ["scum"]])
+        texts.append(", ".join(words))
+    texts += [None, "", "scum", "never seen"]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(260)], "doc_id long, toxic int")
+    ws = Workspace(spark, "t")
+    model = toxicity.train(ws, docs, labels)
+    fitted = spark.read.parquet(ws.path("training")).where("role = 0").select("text", "toxic").collect()
+    probability, vocabulary, pairs, told = kneser_ney(texts, fitted)
+    assert told[0] >= {"bad", "scum"} and ("bad", "egg") in told[1] and len(model.words) <= len(vocabulary) / 2
+    for k in (0, 1):
+        for u in ("", "bad", "w1", "scum", "unseen"):
+            assert abs(sum(probability(k, u, w) for w in vocabulary) - 1) < 1e-9
+    got = model.ratio(pa.array(texts))
+    for t, x in zip(texts, got):
+        want = [np.log(probability(1, u, w) / probability(0, u, w)) for u, w in pairs(t)]
+        assert abs(x - (sum(want) / len(want) if want else 0)) < 1e-9
+
+
+def test_toxicity_without_evidence(spark):
+    empty = frame(spark, [])
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, toxic int")
+    for docs, marks in ((empty, labels), (frame(spark, ["a b", None]), labels.limit(0)), (frame(spark, ["a b"] * 9), labels)):
+        model = toxicity.train(Workspace(spark, "t"), docs, marks)
+        assert all(0.3 < r["score"] < 0.7 for r in toxicity.score(docs, model).collect())
+
+
 def test_toxicity_words_stay_apart(spark):
     """Words are told apart by 64 bits of their hash, whatever the vocabulary."""
     words = pa.array([f"w{i}" for i in range(200_000)])
@@ -369,14 +447,61 @@ def test_licenses(spark):
         "LICENSED UNDER CC BY-SA 4.0": "cc-by-sa",
         "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0",
         "Licensed under the Frobnicator License 7.": "unknown",
+        "Available under the EUPL 1.2": "unknown",
+        "This is free and unencumbered software (Unlicense)": "unknown",
         "He was licensed to drive a bus.": None,
         "Er kam mit dem Bus.": None,
         "": None,
     }
-    docs = frame(spark, ["intro\n" + t for t in lines] + [None])
+    docs = frame(spark, ["Intro.\n" + t for t in lines] + [None])
     got = {(r["doc_id"], r["paragraph"]): r["family"] for r in license_scan.scan(docs).collect()}
     assert got == {(i, 1): f for i, f in enumerate(lines.values()) if f}
     assert license_scan.scan(docs.limit(0)).count() == 0
+    wrapped = "First.\nPermission is hereby granted, free of charge, to any person\nobtaining a copy of this software and\nassociated documentation files\nLast"
+    got = license_scan.scan(frame(spark, [wrapped])).collect()
+    assert [(r["paragraph"], r["family"]) for r in got] == [(1, "mit")] and got[0]["template_match"] == 1
+
+
+def classified(text, model):
+    """Class and its probability by brute force over one paragraph."""
+    classes, rows, intercepts, heat = model
+    z, grams = dict(zip(classes, intercepts)), set(license_scan.grams_of(text))
+    for g, c, w in rows:
+        z[c] += w if g in grams else 0
+    total = sum(np.exp(v / heat) for v in z.values())
+    p = {c: np.exp(v / heat) / total for c, v in z.items()}
+    best = max((c for c in classes if c != "none"), key=p.get)
+    return (best if p["none"] < 0.5 else "none"), p
+
+
+def test_license_evidence_is_a_bound():
+    """What the words' levels drop is none, for any mixture of the model's words."""
+    model, rng = license_scan.train(), random.Random(41)
+    steps = license_scan.evidence()
+    level = {w: k + 1 for k, step in enumerate(steps) for w in step}
+    vocabulary = sorted({w for t, _ in license_scan.sentences() for w in re.findall("[a-z0-9.]+", t.lower())})
+    dropped = 0
+    for _ in range(4000):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 9)))
+        if sum(level.get(w, 0) for w in set(re.split("[^a-z0-9]+", text))) <= license_scan.LEVELS:
+            dropped += 1
+            assert classified(text, model)[0] == "none"
+    assert dropped > 100
+
+
+def test_license_classes_on_held_out_sentences():
+    """Every third sentence held out: licences are told from prose that was written to
+    share their words, and hardly ever taken for a wrong family."""
+    examples, found, told, wrong = license_scan.sentences(), [], [], []
+    for fold in range(3):
+        model = license_scan.train([e for i, e in enumerate(examples) if i % 3 != fold])
+        for t, c in examples[fold::3]:
+            got = classified(t, model)[0]
+            (found if c != "none" else wrong).append(got != "none")
+            if c not in ("none", "unknown"):
+                told.append(got in (c, "unknown"))
+    print(f"held out: found {np.mean(found):.2f}, false {np.mean(wrong):.2f}, no wrong family {np.mean(told):.2f}")
+    assert np.mean(found) >= 0.8 and np.mean(wrong) <= 0.25 and np.mean(told) >= 0.75
 
 
 def test_gram_columns_agree(spark):
