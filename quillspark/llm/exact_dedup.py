@@ -23,7 +23,7 @@ CAPACITY = 8_192
 #: Distinct hashes that an owner task takes at most, if its buckets allow it.
 OWNED = 65_536
 #: Copies of one hash beyond which a task combines its own before they travel.
-HOT = 256
+HOT = 32
 
 _BLANK = " \t\n\u000b\f\r"
 
