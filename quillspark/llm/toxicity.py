@@ -33,6 +33,8 @@ DISCOUNT = 0.75
 LEAST = 2
 #: Hashes that a task holds before it passes the distinct ones on.
 HELD = 4_000_000
+#: Bytes of text for one range of hashes.
+RANGE_BYTES = 32 << 20
 #: Standard deviations beyond which a difference between classes counts.
 CHANCE = 3.0
 THRESHOLD = 0.7
@@ -62,48 +64,105 @@ def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
-def _shared_counts(needed):
-    """Per task: the distinct bigrams (``i`` is the index of the last word among
-    the needed ones, or -1) and the distinct words (-2)."""
+def _pack(x: np.ndarray) -> bytes:
+    """Sorted distinct hashes as their differences, equal places of all together,
+    compressed: the many zero bytes of small differences go."""
+    gaps = np.diff(x, prepend=x.dtype.type(0))
+    return pa.Codec("zstd").compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
-    def distinct(held):
-        for i, k in held:
-            _, at = np.unique(k, return_index=True)
-            yield pa.record_batch([pa.array(i[at], pa.int32()), pa.array(k[at].view(np.int64))], ["i", "k"])
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(data, 8 * n, asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel())
+
+
+def _distinct(needed, parts: int):
+    """Per task: the distinct bigrams and words, and those bigrams that end in each
+    of the needed words, in ``parts`` ranges of hashes (``i`` is the index of the
+    needed word, -1 for all bigrams, -2 for words)."""
+    width = (1 << 64) // parts + 1
+    edges = np.array([p * width for p in range(1, parts)], np.uint64)
+
+    def rows(held):
+        for i, x in held:
+            x = np.unique(x)
+            cut = [0, *np.searchsorted(x, edges).tolist(), len(x)]
+            some = [(p, lo, hi) for p, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+            yield pa.record_batch(
+                [pa.array([p for p, _, _ in some], pa.int32()), pa.array([i] * len(some), pa.int32()), pa.array([hi - lo for _, lo, hi in some], pa.int64()), pa.array([_pack(x[lo:hi]) for _, lo, hi in some], pa.binary())],
+                ["part", "i", "n", "hashes"],
+            )
 
     def run(batches):
         table = needed.value
-        held, size = [], 0
-        join = lambda: [tuple(np.concatenate(x) for x in zip(*part)) for part in zip(*held)]
+        pairs, kinds, own, size = [], [], {}, 0
+
+        def flush():
+            if pairs:
+                yield from rows([(-1, np.concatenate(pairs)), (-2, np.concatenate(kinds)), *((i, np.concatenate(x)) for i, x in own.items())])
+
         for batch in batches:
             for _, buf, offs in blocks(batch.column(0)):
                 words, _, key, _ = _bigrams(buf, offs)
                 if not len(words):
                     continue
                 key, at = np.unique(key, return_index=True)
+                pairs.append(key)
+                kinds.append(np.unique(words))
                 i, hit = _place(table, words[at])
-                kinds = np.unique(words)
-                held.append(((np.where(hit, i, -1).astype(np.int32), key), (np.full(len(kinds), -2, np.int32), kinds)))
-                size += len(key) + len(kinds)
+                for word in np.unique(i[hit]):
+                    own.setdefault(int(word), []).append(key[hit & (i == word)])
+                size += len(key) + len(kinds[-1])
                 if size > HELD:
-                    yield from distinct(join())
-                    held, size = [], 0
-        if held:
-            yield from distinct(join())
+                    yield from flush()
+                    pairs, kinds, own, size = [], [], {}, 0
+        yield from flush()
 
     return run
 
 
+def _united(batches):
+    """Rows sorted by (part, i) -> the number of distinct hashes of each.  Hashes are
+    sorted anew when as many are new as are held, so each is a few times at most."""
+    last, held, new = None, np.zeros(0, np.uint64), []
+
+    def unite():
+        nonlocal held, new
+        held, new = np.unique(np.concatenate([held, *new])), []
+
+    def count():
+        unite()
+        return pa.record_batch([pa.array([last[1]], pa.int32()), pa.array([len(held)], pa.int64())], ["i", "n"])
+
+    for batch in batches:
+        for part, i, n, data in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if (part, i) != last:
+                if last is not None:
+                    yield count()
+                last, held = (part, i), np.zeros(0, np.uint64)
+            new.append(_unpack(data, n))
+            if sum(map(len, new)) > max(len(held), 1 << 20):
+                unite()
+    if last is not None:
+        yield count()
+
+
 def shared_counts(ws: Workspace, texts: DataFrame, needed: np.ndarray) -> tuple[np.ndarray, int, int]:
     """Over all texts: the distinct words before each of the needed words (sorted
-    hashes), the number of distinct bigrams, and that of distinct words."""
-    sent = texts.sparkSession.sparkContext.broadcast(needed)
-    parts = texts.mapInArrow(_shared_counts(sent), "i int, k long").distinct()
-    found = parts.groupBy("i").agg(F.count("*").alias("n")).toArrow()
+    hashes), the number of distinct bigrams, and that of distinct words.  All are
+    exact; a range of hashes is united in one task, and ranges grow in number with
+    the texts."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(needed)
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    found = texts.mapInArrow(_distinct(sent, parts), "part int, i int, n long, hashes binary")
+    found = found.repartition(parts, "part").sortWithinPartitions("part", "i").mapInArrow(_united, "i int, n long")
+    found = found.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     i, n = (found.column(c).to_numpy() for c in ("i", "n"))
     count = np.zeros(len(needed))
     count[i[i >= 0]] = n[i >= 0]
-    return count, int(n[i != -2].sum()), int(n[i == -2].sum())
+    return count, int(n[i == -1].sum()), int(n[i == -2].sum())
 
 
 def _class_counts(batches):
