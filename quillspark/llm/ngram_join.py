@@ -32,8 +32,12 @@ SLOTS = 1 << 21
 SHORT = 12
 #: Times that loose sets are tested against one member before all of them are.
 ROUNDS = 2
-#: Rows of a long tile that are at home in one chunk of it.
-CHUNK = 4096
+#: Rows of a long tile in one chunk of it; a task compares two chunks at a time.
+CHUNK = 1024
+#: Documents that hold a shingle's slot beyond which its tile is salted.
+HOT = 8192
+#: Prefix rows of one partition.
+PREFIX_ROWS = 4_000_000
 #: Members of one band leader that one task checks.
 SALT = 512
 
@@ -134,25 +138,37 @@ def slot_levels(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(4 * np.log2(1.0 + counts / mean)), 0, 255).astype(np.uint8)
 
 
+def slot_salts(counts: np.ndarray) -> np.ndarray:
+    """Parts of the tiles of a slot's shingles: as many as keep each below HOT rows."""
+    return np.minimum(np.ceil(counts / HOT), 1 << 20).astype(np.int64)
+
+
 def _prefixes(width: int, percent: int, levels):
+    """Rows (token, salt, skey, n) of every distinct set's prefix; ``salt`` is -1 where
+    a tile is whole, else its part."""
+
     def run(batches):
-        order, done = levels.value, set()
+        (order, salts), done = levels.value, set()
         for batch in batches:
-            tok, key, num = [], [], []
+            tok, key, num, part = [], [], [], []
             for _, grams in shingle_sets(batch.column(1), width):
                 n = len(grams)
                 if not n or (k := _set_key(grams)) in done:
                     continue
                 done.add(k)
-                ranked = (order[(grams & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
+                slot = (grams & np.uint64(SLOTS - 1)).astype(np.int64)
+                ranked = (order[slot].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8))
                 p = n - least_share(n, percent) + 1
-                tok.append(np.partition(ranked, p - 1)[:p] if p < n else ranked)
+                first = np.argpartition(ranked, p - 1)[:p] if p < n else np.arange(n)
+                tok.append(ranked[first])
+                parts = salts[slot[first]]
+                part.append(np.where(parts > 1, k % np.maximum(parts, 1), -1).astype(np.int32))
                 key.append(np.full(len(tok[-1]), k, np.int64))
                 num.append(np.full(len(tok[-1]), n, np.int32))
             if tok:
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(num))],
-                    ["token", "skey", "n"],
+                    [pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(part)), pa.array(np.concatenate(key)), pa.array(np.concatenate(num))],
+                    ["token", "salt", "skey", "n"],
                 )
 
     return run
@@ -164,14 +180,15 @@ def least_share(n: int, percent: int) -> int:
 
 
 def _tiles(percent: int):
-    """Rows sorted by (token, n, skey) -> candidate pairs (kind 0: a, b) and the
-    rows of long tiles (kind 1: a = token, b = skey, n)."""
+    """Rows sorted by (token, salt, n, skey) -> candidate pairs (kind 0: a, b) and
+    the rows of long tiles (kind 1: a = token, b = skey, n).  A part of a salted tile
+    counts as long, so that its rows meet those of the other parts later."""
 
-    def pairs_of(tok, key, n, opened):
+    def pairs_of(tok, salt, key, n, opened):
         """Whole tiles, or parts of the tile of token ``opened``, which is long."""
-        cut = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+        cut = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])))
         size = np.diff(np.append(cut, len(tok)))
-        long = size > SHORT
+        long = (size > SHORT) | (salt[cut] >= 0)
         if opened is not None:
             long |= tok[cut] == opened
         rows = np.flatnonzero(np.repeat((size > 1) & ~long, size))
@@ -217,7 +234,7 @@ def _tiles(percent: int):
         held = opened = None
         left, right, held_pairs = [], [], 0
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(3)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             tok = cols[0]
@@ -267,9 +284,9 @@ def _close(i, others, n, comp, sig_i, sigs, percent):
 
 
 def _open_pairs(percent: int):
-    """Rows (tile, chunk, n, skey, comp, probe, home, sig), sorted by (tile,
-    chunk) -> pairs of unconnected sets that sizes and bit counts allow.  In a
-    chunk every probe meets every home row once."""
+    """Rows (tile, chunk, other, n, skey, comp, probe, home, sig), sorted by (tile,
+    chunk, other) -> pairs of unconnected sets that sizes and bit counts allow.  In
+    two chunks every probe meets every home row once."""
 
     def of_chunk(rows):
         n, key, comp, probe, home = (np.array(rows[c]) for c in ("n", "skey", "comp", "probe", "home"))
@@ -303,10 +320,10 @@ def _open_pairs(percent: int):
             for batch in batches:
                 new = pa.Table.from_batches([batch])
                 held = new if held is None else pa.concat_tables([held, new])
-                tile, chunk = held.column("tile").to_numpy(), held.column("chunk").to_numpy()
-                if not len(tile):
+                if not len(held):
                     continue
-                cut = np.flatnonzero(np.append(True, (tile[1:] != tile[:-1]) | (chunk[1:] != chunk[:-1])))
+                keys = np.stack([held.column(c).to_numpy().astype(np.int64) for c in ("tile", "chunk", "other")])
+                cut = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
                 for s, e in zip(cut[:-1], cut[1:]):
                     yield held.slice(s, e - s).to_pydict()
                 held = held.slice(cut[-1])
@@ -418,18 +435,19 @@ def similar(
     """
     docs = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = ws.keep(docs.mapInArrow(_describe(width), "id long, n long, skey long, sig binary, slots binary"), "sets")
     total = _slot_counts(ws, told.where("slots is not null").select("slots"))
-    levels = spark.sparkContext.broadcast(slot_levels(total.astype(np.float64)))
+    levels = spark.sparkContext.broadcast((slot_levels(total.astype(np.float64)), slot_salts(total)))
 
     sets = told.where("slots is null").select("id", "n", "skey", "sig")
     reps = ws.keep(
         sets.where("n > 0").groupBy("skey").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps"
     )
-    prefixes = docs.mapInArrow(_prefixes(width, percent, levels), "token long, skey long, n int")
+    prefixes = docs.mapInArrow(_prefixes(width, percent, levels), "token long, salt int, skey long, n int")
     # every prefix row is a few bytes, so partitions sized by the text would be small
-    tiles = prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "skey")
+    total_rows = int(total.sum(dtype=np.int64)) * (100 - percent) // 100
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_rows // PREFIX_ROWS))
+    tiles = prefixes.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "skey")
     found = ws.keep(tiles.mapInArrow(_tiles(percent), "kind int, a long, b long, n int"), "tiles")
     pairs = ws.keep(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = _check(ws, docs, reps, pairs, "lead", width, percent)
@@ -461,19 +479,27 @@ def similar(
     state = _loose(ws, posts, joined, "open")
     sized = reps.select("skey", "sig")
     dense = state.where("not loose").select("dense", "skey", "n", F.col("dense").alias("comp")).distinct()
-    chunks = ws.keep(dense.groupBy("dense").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "open-chunks")
-    dense = dense.join(chunks, "dense").select(F.col("dense").alias("tile"), F.pmod(F.hash("skey"), F.col("chunks")).alias("chunk"), "n", "skey", "comp", F.lit(False).alias("probe"), F.lit(True).alias("home"))
-    probes = state.where("loose").select("dense", "skey", "n", "comp").distinct().join(chunks, "dense")
-    probes = probes.select(F.col("dense").alias("tile"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "n", "skey", "comp", F.lit(True).alias("probe"), F.lit(False).alias("home"))
+    probes = state.where("loose").select("dense", "skey", "n", "comp").distinct()
+    size = lambda rows, name: rows.groupBy("dense").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    grid = ws.keep(size(dense, "chunks").join(size(probes, "others"), "dense"), "open-chunks")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.hash("skey"), F.col(n))
+    place = lambda chunk, other, probe: [F.col("dense").alias("tile"), chunk.alias("chunk"), other.alias("other"), "n", "skey", "comp", F.lit(probe).alias("probe"), F.lit(not probe).alias("home")]
+    dense = dense.join(grid, "dense").select(*place(own("chunks"), every("others"), False))
+    probes = probes.join(grid, "dense").select(*place(every("chunks"), own("others"), True))
     apart = state.where("loose").select("token", "skey", "n", "comp")
     mixed = apart.groupBy("token").agg(F.count("*").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     mixed = ws.keep(mixed.select("token", F.ceil(F.col("all") / CHUNK).cast("int").alias("chunks")), "open-tiles")
-    own = F.pmod(F.hash("skey"), F.col("chunks"))
-    apart = apart.join(mixed, "token").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    apart = apart.join(mixed, "token").withColumn("own", own("chunks")).withColumn("at", every("chunks"))
+    # a chunk's rows are at home with every later chunk and probe every earlier one;
     # the tile of a token is told from that of a component by its sign bit
-    apart = apart.select(F.col("token").bitwiseOR(F.lit(-(1 << 63))).alias("tile"), "chunk", "n", "skey", "comp", F.lit(True).alias("probe"), (F.col("chunk") == own).alias("home"))
-    rows = dense.unionByName(probes).unionByName(apart).join(sized, "skey").select("tile", "chunk", "n", "skey", "comp", "probe", "home", "sig")
-    rows = rows.repartition(parts, "tile", "chunk").sortWithinPartitions("tile", "chunk")
+    apart = apart.select(
+        F.col("token").bitwiseOR(F.lit(-(1 << 63))).alias("tile"), F.least("own", "at").alias("chunk"), F.greatest("own", "at").alias("other"), "n", "skey", "comp",
+        (F.col("own") >= F.col("at")).alias("probe"), (F.col("own") <= F.col("at")).alias("home"),
+    )
+    columns = ["tile", "chunk", "other", "n", "skey", "comp", "probe", "home", "sig"]
+    rows = dense.unionByName(probes).unionByName(apart).join(sized, "skey").select(*columns)
+    rows = rows.repartition(parts, "tile", "chunk", "other").sortWithinPartitions("tile", "chunk", "other")
     more = rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
     more = ws.keep(more, "open-pairs")
     late = _check(ws, docs, reps, more, "late", width, percent)

@@ -123,9 +123,11 @@ def near_texts():
     return out
 
 
-@pytest.mark.parametrize("short", [12, 2])
-def test_ngram_join(spark, short, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SHORT", short)
+@pytest.mark.parametrize("short,hot,chunk", [(12, 8192, 1024), (2, 3, 3)])
+def test_ngram_join(spark, short, hot, chunk, monkeypatch):
+    """Short and long tiles, salted ones, and chunks of a few rows."""
+    for name, value in (("SHORT", short), ("HOT", hot), ("CHUNK", chunk)):
+        monkeypatch.setattr(ngram_join, name, value)
     texts = near_texts()
     sets = [shingles(t) for t in texts]
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
@@ -146,7 +148,7 @@ def test_long_tile_in_parts():
     """A tile that comes in many batches loses no member."""
     n = 260_000
     key = np.arange(n, dtype=np.int64)
-    batches = [pa.record_batch([pa.array(np.full(len(k), 7, np.int64)), pa.array(k), pa.array(np.full(len(k), 9, np.int32))], ["token", "skey", "n"]) for k in np.array_split(key, 30)]
+    batches = [pa.record_batch([pa.array(np.full(len(k), 7, np.int64)), pa.array(np.full(len(k), -1, np.int32)), pa.array(k), pa.array(np.full(len(k), 9, np.int32))], ["token", "salt", "skey", "n"]) for k in np.array_split(key, 30)]
     posts = sum(int((b.column(0).to_numpy() == 1).sum()) for b in ngram_join._tiles(75)(iter(batches)))
     assert posts == n
 
