@@ -24,10 +24,12 @@ class Config:
     top_k_evidence_pages: int = 5
     max_context_tokens: int = 6000
     relationship_depth: int = 1
+    buckets: int = sinks.BUCKETS
+    image_folder: str | None = None  # where image pages' files lie; their paths are relative to it
     append_metadata: dict[str, str] = field(default_factory=dict)
 
 
-TABLES = ("documents", "pages", "concepts", "edges", "postings", "local_aliases", "glossary", "procedures", "apis", "usage", "validation")
+TABLES = ("documents", "pages", "concepts", "edges", "postings", "local_aliases", "glossary", "procedures", "apis", "usage", "validation", "alias_log", "terms")
 
 
 def build_tables(pages: DataFrame, provider=None, config: Config | None = None) -> dict[str, DataFrame]:
@@ -36,9 +38,17 @@ def build_tables(pages: DataFrame, provider=None, config: Config | None = None)
     Rows follow ``batch_id`` and place, whatever the order of the calls."""
     config, provider = config or Config(), provider or extract.WordProvider()
     ws = Workspace(pages.sparkSession, "build")
-    split = ws.keep(build.split_empty(build.classify(pages.withColumn("page_number", F.col("page_number").cast("int")))), "split")
+    typed = build.classify(pages.withColumn("page_number", F.col("page_number").cast("int")))
+    files = None
+    if config.image_folder is not None:
+        files = ws.keep(build.list_files(ws.spark, config.image_folder), "files")
+        typed = build.resolve_images(typed, config.image_folder, config.image_folder)
+    split = ws.keep(build.split_empty(typed, files), "split")
     kept = split.where("kept")
-    batches = ws.keep(build.batch_table(build.batches(kept, config.page_batch, config.image_page_batch)), "batches")
+    batches = build.batch_table(build.batches(kept, config.page_batch, config.image_page_batch))
+    if config.image_folder is not None:
+        batches = build.attach_images(batches, ws.spark, config.image_folder)
+    batches = ws.keep(batches, "batches")
     extract.check_vision(batches, provider)
     # the calls are made once: everything below reads their written answers
     raw_answers = ws.keep(extract.run_provider(batches, provider, config.workers, config.max_retries), "answers")
@@ -60,6 +70,7 @@ def build_tables(pages: DataFrame, provider=None, config: Config | None = None)
         "concepts": concepts,
         "edges": edges,
         "postings": build.keyword_postings(concepts),
+        "terms": retrieval.index_terms(build.keyword_postings(concepts)),
         "local_aliases": build.alias_map(extract.aliases(answers)),
         **{k: build.first_entries(extract.entries(answers, k), "body", "page_numbers") for k in ("glossary", "procedures", "apis")},
         "usage": raw_answers.select("document_id", "batch_id", "input_tokens", "output_tokens", (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens")),
@@ -67,24 +78,42 @@ def build_tables(pages: DataFrame, provider=None, config: Config | None = None)
     }
 
 
-def build_kb(pages: DataFrame, root: str, provider=None, config: Config | None = None) -> str:
-    """Build and register documents: their rows replace earlier ones, versions
-    grow by one, the aliases registered first stay."""
-    spark = pages.sparkSession
-    new = build_tables(pages, provider, config)
+def build_kb(pages: DataFrame, root: str, provider=None, config: Config | None = None) -> sinks.Snapshot:
+    """Build and register documents: their rows replace earlier ones, versions grow
+    by one, and the concept that an alias was first registered for stays (builds in
+    their order, documents of one build in id order).
+
+    Only the buckets of the built documents are read and rewritten.  The state is
+    read once; if another build commits in between, ``sinks.StoreChanged`` is raised
+    and the store keeps that build's state."""
+    spark, config = pages.sparkSession, config or Config()
+    ws = Workspace(spark, "register")
     try:
-        old = {t: sinks.read_table(spark, root, t) for t in TABLES}
-    except FileNotFoundError:
-        return sinks.write_snapshot(spark, root, new)
+        base = sinks.current_snapshot(spark, root)
+    except sinks.StoreMissing:
+        base = sinks.Snapshot(root, 0, config.buckets)
+    new = build_tables(pages, provider, config)
+    new = {t: ws.keep(df, t) for t, df in new.items()}
+    new["alias_log"] = new["local_aliases"].withColumn("build", F.lit(base.number + 1).cast("long"))
+    if not base.number:
+        return sinks.write_snapshot(spark, new, base)
+    changed = sorted(r[0] for r in new["documents"].select(base.bucket_of()).distinct().collect())  # base.buckets at most
+    old = {t: base.read(spark, t, changed) for t in TABLES}
     merged = {t: build.replace_documents(old[t], new[t].select(*old[t].columns)) for t in TABLES}
+    # what was registered stays registered, with its first build
+    log = old["alias_log"].unionByName(new["alias_log"]).groupBy("document_id", "alias", "concept_id").agg(F.min("build").alias("build"))
+    merged["alias_log"] = log.select(*old["alias_log"].columns)
     versions = build.bump_versions(old["documents"].select("document_id", "version"), new["documents"])
     merged["documents"] = merged["documents"].drop("version").join(versions, "document_id").select(*old["documents"].columns)
-    return sinks.write_snapshot(spark, root, merged)
+    return sinks.write_snapshot(spark, merged, base, changed)
 
 
-def open_store(spark: SparkSession, root: str) -> retrieval.Store:
-    t = {n: sinks.read_table(spark, root, n) for n in ("pages", "concepts", "postings", "local_aliases", "edges")}
-    return retrieval.Store(t["pages"], t["concepts"], t["postings"], t["local_aliases"], build.registry_aliases(t["local_aliases"]), build.registry_concepts(t["concepts"]), t["edges"])
+def open_store(spark: SparkSession, root: str, state: sinks.Snapshot | None = None) -> retrieval.Store:
+    """The tables of one state, the current one unless ``state`` names it."""
+    state = state or sinks.current_snapshot(spark, root)
+    t = {n: state.read(spark, n) for n in ("pages", "concepts", "postings", "local_aliases", "edges", "alias_log", "terms")}
+    first = build.registry_aliases(t["alias_log"], "build", "document_id")
+    return retrieval.Store(t["pages"], t["concepts"], t["postings"], t["local_aliases"], first, build.registry_concepts(t["concepts"]), t["edges"], t["terms"])
 
 
 def fallback_intents(questions: DataFrame) -> DataFrame:
@@ -146,14 +175,15 @@ def ask_all(intents: DataFrame, store: retrieval.Store, scope: DataFrame, config
         retrieval.build_context(top, pages, config.max_context_tokens),
         retrieval.citations(top, pages),
         retrieval.response(top),
-        intents.select("query_id").join(found.select("query_id"), "query_id", "left_anti"),
+        retrieval.unanswered(intents, found),
     )
 
 
 def ask(spark: SparkSession, root: str, question: str, scope: list[str] | str = "all", config: Config | None = None, provider=None, generate=None) -> dict:
     """One question: answer, citations, documents and concepts used.  ``generate``
     turns (question, context) into prose; without it the context is the answer."""
-    store, documents = open_store(spark, root), sinks.read_table(spark, root, "documents")
+    state = sinks.current_snapshot(spark, root)
+    store, documents = open_store(spark, root, state), state.read(spark, "documents")
     intents = understand(spark.createDataFrame([(0, question)], "query_id long, question string"), provider)
     out = ask_all(intents, store, retrieval.resolve_scope(scope, documents), config)
     used = out.used.first()
@@ -175,7 +205,8 @@ def list_bundles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def registry_stats(spark: SparkSession, root: str) -> DataFrame:
-    return build.registry_statistics(*[sinks.read_table(spark, root, t) for t in ("documents", "concepts", "edges")])
+    state = sinks.current_snapshot(spark, root)
+    return build.registry_statistics(*[state.read(spark, t) for t in ("documents", "concepts", "edges")])
 
 
 def concepts(spark: SparkSession, root: str, document_id: str) -> DataFrame:
@@ -191,10 +222,12 @@ def page(spark: SparkSession, root: str, document_id: str, number: int) -> DataF
 
 
 def indexes(spark: SparkSession, root: str, document_id: str) -> dict[str, DataFrame]:
-    here = lambda t: sinks.read_table(spark, root, t).where(F.col("document_id") == document_id)
+    state = sinks.current_snapshot(spark, root)
+    here = lambda t: state.read(spark, t).where(F.col("document_id") == document_id)
     return {"keyword": build.keyword_index(here("postings")), "page": build.page_index(here("concepts")), "alias": here("local_aliases"), "glossary": here("glossary"), "procedure": here("procedures"), "api": here("apis")}
 
 
 def merged_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    nodes = graph.with_idx(graph.nodes(sinks.read_table(spark, root, "concepts")))
-    return nodes, graph.links(sinks.read_table(spark, root, "edges"), nodes)
+    state = sinks.current_snapshot(spark, root)
+    nodes = graph.with_idx(graph.nodes(state.read(spark, "concepts")))
+    return nodes, graph.links(state.read(spark, "edges"), nodes)

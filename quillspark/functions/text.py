@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
 # Dashes that stand for a minus sign between digits.
 DASHES = "‒–—−"
+# Characters that HTML escapes, the ampersand first.
+ESCAPES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#039;"}
 #: Characters of one token in the deterministic estimate.
 CHARS_PER_TOKEN = 4
 
@@ -21,6 +23,13 @@ def strip(x) -> Column:
     return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
 
 
+def lines(x) -> Column:
+    """Lines between all line ends that Unicode has; an end at the end of the text
+    opens no further line."""
+    parts = F.split(col(x), r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]")
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def slugify(x, empty: str = "unknown") -> Column:
     """Lower case, every run outside ``a-z0-9`` one hyphen, none at the ends."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(col(x)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -72,22 +81,34 @@ _ITEM = r"^\s*([-*+]|[0-9]+[.)])\s+"
 _HEADING = r"^\s*#{1,6}\s+"
 
 
+def _goes_on(line, before) -> Column:
+    """Whether a line outside code continues the line before: that one may not end
+    a sentence or open an item or heading, and this one may not be either."""
+    plain = ~((strip(line) == "") | line.rlike(_ITEM) | line.rlike(_HEADING)) & (F.length(line) < 120)
+    open_end = (before != "") & ~before.rlike(r"[.:?!]$") & ~before.rlike(_ITEM) & ~before.rlike(_HEADING)
+    return plain & F.coalesce(open_end, F.lit(False))
+
+
 def merge_paragraphs(x) -> Column:
-    """Join lines that continue the line before: a left fold over the lines with
-    the output so far and whether a code block is open."""
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("code"))
+    """Join lines that continue the line before.
+
+    A joined line is neither item nor heading, so whether the next one goes on
+    depends on its neighbour alone, and every line gets its own separator.  Only
+    pages with code fences need a fold, which carries whether a block is open."""
+    split = F.split(col(x), r"\R")
+    before = F.concat(F.array(F.lit("")), F.slice(split, 1, F.size(split) - 1))
+    flat = F.zip_with(split, before, lambda line, last: F.concat(F.when(_goes_on(line, last), " ").otherwise("\n"), line))
+
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("last"), F.lit(False).alias("code"))
 
     def step(acc, line):
         fence = line.rlike(_FENCE)
-        last = F.try_element_at(acc["out"], F.lit(-1))
-        plain = ~(fence | acc["code"] | (strip(line) == "") | line.rlike(_ITEM) | line.rlike(_HEADING))
-        goes_on = (last != "") & ~last.rlike(r"[.:?!]$") & ~last.rlike(_ITEM) & ~last.rlike(_HEADING)
-        joins = plain & F.coalesce(goes_on, F.lit(False)) & (F.length(line) < 120)
-        grown = F.concat(F.slice(acc["out"], 1, F.greatest(F.size(acc["out"]) - 1, F.lit(0))), F.array(F.concat(last, F.lit(" "), line)))
-        out = F.when(joins, grown).otherwise(F.concat(acc["out"], F.array(line)))
-        return F.struct(out.alias("out"), F.when(fence, ~acc["code"]).otherwise(acc["code"]).alias("code"))
+        mark = F.when(~fence & ~acc["code"] & _goes_on(line, acc["last"]), " ").otherwise("\n")
+        return F.struct(F.concat(acc["out"], F.array(F.concat(mark, line))).alias("out"), line.alias("last"), (acc["code"] != fence).alias("code"))
 
-    return F.aggregate(F.split(col(x), r"\R"), state, step, lambda acc: F.array_join(acc["out"], "\n"))
+    fenced = F.aggregate(split, state, step, lambda acc: acc["out"])
+    parts = F.when(col(x).rlike(r"(^|\R)" + _FENCE[1:]), fenced).otherwise(flat)
+    return F.substring(F.array_join(parts, ""), F.lit(2), F.length(col(x)) + 1)
 
 
 def cleanup_page(x) -> Column:
@@ -144,7 +165,7 @@ def data_url(name, content) -> Column:
 
 def escape_html(x) -> Column:
     out = F.coalesce(col(x), F.lit(""))
-    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
+    for sign, entity in ESCAPES.items():
         out = F.replace(out, F.lit(sign), F.lit(entity))
     return out
 
@@ -188,9 +209,18 @@ def extract_json(x) -> Column:
 
 
 def image_path(content, root, folder) -> Column:
-    """A lone image path made absolute against the storage root, else the folder."""
+    """A lone image path made absolute against the storage root, else the folder,
+    without ``.`` and ``..``."""
     path = strip(content)
-    return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.coalesce(col(root), col(folder)), path))
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.coalesce(col(root), col(folder)), path))
+    scheme = F.regexp_extract(whole, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", 0)
+    parts = F.split(F.substring(whole, F.length(scheme) + 1, F.length(whole)), "/+")
+
+    def step(out, part):
+        up = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
+        return F.when(part.isin("", "."), out).when(part == "..", up).otherwise(F.concat(out, F.array(part)))
+
+    return F.concat(scheme, F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
 
 
 def is_image_page(content) -> Column:

@@ -16,11 +16,51 @@ def classify(pages: DataFrame) -> DataFrame:
     return pages.withColumn("content_type", F.when(T.is_image_page("content"), "image").otherwise("text"))
 
 
-def split_empty(pages: DataFrame) -> DataFrame:
-    """Adds ``kept``: text pages with something on them (images count as kept
-    here; files that are missing are dropped by a semi-join with a listing)."""
+def resolve_images(pages: DataFrame, root: str | None, folder: str) -> DataFrame:
+    """Image pages hold a whole path: against the storage root, else the folder of
+    the document."""
+    path = T.image_path("content", F.lit(root).cast("string"), F.lit(folder))
+    return pages.withColumn("content", F.when(F.col("content_type") == "image", path).otherwise(F.col("content")))
+
+
+def split_empty(pages: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Adds ``kept``: text pages with something on them, and image pages whose file
+    is in ``files(path)`` (all of them, where no listing is given)."""
     blank = T.strip(F.coalesce("content", F.lit(""))) == ""
-    return pages.withColumn("kept", (F.col("content_type") == "image") | ~blank)
+    image = F.col("content_type") == "image"
+    if files is None:
+        return pages.withColumn("kept", image | ~blank)
+    known = files.select(F.col("path").alias("_path"), F.lit(True).alias("_known")).distinct()
+    rows = pages.join(known, F.when(image, F.col("content")) == F.col("_path"), "left")
+    return rows.withColumn("kept", F.when(image, F.coalesce("_known", F.lit(False))).otherwise(~blank)).drop("_path", "_known")
+
+
+def image_errors(batches: DataFrame, files: DataFrame) -> DataFrame:
+    """``(document_id, batch_id, page_number, error)`` of the pages of image batches
+    whose file is not in ``files(path)``."""
+    rows = batches.where("content_type = 'image'").select("document_id", "batch_id", F.explode(F.arrays_zip("page_numbers", "images")).alias("p"))
+    rows = rows.select("document_id", "batch_id", F.col("p.page_numbers").alias("page_number"), F.col("p.images").alias("path"))
+    error = F.format_string("Batch %d: image file for page %d not readable: %s", "batch_id", "page_number", "path")
+    return rows.join(files.select("path").distinct(), "path", "left_anti").select("document_id", "batch_id", "page_number", error.alias("error"))
+
+
+def list_files(spark, folder: str, glob: str = "*") -> DataFrame:
+    """``(path, length)`` of the files below a folder, without reading them; paths
+    without a ``file:`` scheme."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    return rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length")
+
+
+def attach_images(batches: DataFrame, spark, folder: str) -> DataFrame:
+    """Image batches with the data URLs of their files in place of the paths, in
+    page order; a file that is missing fails the job."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    rows = batches.where("content_type = 'image'").select("document_id", "batch_id", F.posexplode("images").alias("at", "path"))
+    found = rows.join(files, "path", "left")
+    url = F.when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("image file is missing: "), F.col("path")))).otherwise(T.data_url("path", F.col("content")))
+    urls = found.select("document_id", "batch_id", F.struct("at", url.alias("url")).alias("u")).groupBy("document_id", "batch_id").agg(F.array_sort(F.collect_list("u")).alias("u"))
+    return batches.join(urls, ["document_id", "batch_id"], "left").withColumn("images", F.when(F.col("content_type") == "image", F.col("u.url"))).drop("u")
 
 
 def runs(pages: DataFrame) -> DataFrame:
@@ -42,7 +82,7 @@ def batches(pages: DataFrame, page_batch: int = 3, image_page_batch: int = 1) ->
 def batch_table(batched: DataFrame) -> DataFrame:
     """One row per batch with its page numbers and joined text."""
     part = F.concat(F.lit("### Page "), F.col("page_number").cast("string"), F.lit("\n"), F.col("content"))
-    rows = F.array_sort(F.collect_list(F.struct("page_number", part.alias("part"))))
+    rows = F.array_sort(F.collect_list(F.struct("page_number", part.alias("part"), "content")))
     grouped = batched.groupBy("document_id", "batch_id", "content_type").agg(rows.alias("rows"))
     return grouped.select(
         "document_id",
@@ -50,7 +90,7 @@ def batch_table(batched: DataFrame) -> DataFrame:
         "content_type",
         F.col("rows.page_number").alias("page_numbers"),
         F.when(F.col("content_type") == "text", F.array_join("rows.part", "\n\n")).alias("text"),
-        F.when(F.col("content_type") == "image", F.col("rows.part")).alias("images"),
+        F.when(F.col("content_type") == "image", F.col("rows.content")).alias("images"),
     )
 
 
@@ -77,6 +117,19 @@ def validate_words(rows: DataFrame, column: str) -> DataFrame:
     return rows.where(F.col(column).isNotNull() & (T.strip(column) != ""))
 
 
+def validate_entries(rows: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Glossary, procedure or API rows with a key and with pages, all of which
+    ``allowed(document_id, allowed)`` has."""
+    legal = (F.size("page_numbers") > 0) & F.forall("page_numbers", lambda p: F.array_contains("allowed", p))
+    return rows.where("key <> ''").join(allowed, "document_id").where(legal).drop("allowed")
+
+
+def keyword_set(rows: DataFrame) -> DataFrame:
+    """``(document_id, keyword)``: all keywords of a document's raw concepts, lower
+    case, each once."""
+    return rows.select("document_id", F.explode("keywords").alias("keyword")).select("document_id", F.lower("keyword").alias("keyword")).distinct()
+
+
 def validation_summary(checked: DataFrame) -> DataFrame:
     return checked.groupBy("document_id").agg(
         F.count("*").alias("total"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("invalid")
@@ -155,16 +208,29 @@ def registry_concepts(concepts: DataFrame) -> DataFrame:
 
 
 def registry_keywords(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("keyword").agg(F.count_distinct("document_id").alias("n_documents"), F.min("document_id").alias("first_document"))
+    """``(keyword, documents)``: the documents of every keyword, sorted."""
+    pairs = postings.select("keyword", "document_id").distinct()
+    return pairs.groupBy("keyword").agg(F.array_sort(F.collect_list("document_id")).alias("documents"))
 
 
-def registry_aliases(local: DataFrame) -> DataFrame:
-    """First registration wins; documents register in id order."""
-    return local.groupBy("alias").agg(F.min_by("concept_id", "document_id").alias("concept_id"))
+def registry_aliases(registered: DataFrame, *order: str) -> DataFrame:
+    """The concept that every alias was registered for first, by the columns
+    ``order`` (the documents' ids unless another order is known)."""
+    first = F.struct(*(order or ("document_id",)))
+    return registered.groupBy("alias").agg(F.min_by("concept_id", first).alias("concept_id"))
 
 
 def registry_tags(documents: DataFrame) -> DataFrame:
-    return documents.where("category is not null").groupBy("category").agg(F.count_distinct("document_id").alias("n_documents"))
+    """``(category, documents)``: the documents of every category, sorted."""
+    pairs = documents.where("category is not null and category <> ''").select("category", "document_id").distinct()
+    return pairs.groupBy("category").agg(F.array_sort(F.collect_list("document_id")).alias("documents"))
+
+
+def global_graph(concepts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All concepts, and all edges of different (document, ends, type, pages); an
+    edge without a type ``relates_to``."""
+    typed = edges.withColumn("type", F.coalesce("type", F.lit("relates_to")))
+    return concepts.select("concept_id").distinct(), typed.select("document_id", "source", "target", "type", "page_numbers").distinct()
 
 
 def registry_statistics(documents: DataFrame, concepts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -191,7 +257,7 @@ def bump_versions(stored: DataFrame, built: DataFrame) -> DataFrame:
 # -- documents -------------------------------------------------------------
 def repeated_lines(pages: DataFrame) -> DataFrame:
     """``count`` and mean position of every non-blank line of a document."""
-    lines = pages.select("document_id", "page_number", F.posexplode(F.split("content", "\n")).alias("i", "line"))
+    lines = pages.select("document_id", "page_number", F.posexplode(T.lines("content")).alias("i", "line"))
     lines = lines.withColumn("line", T.strip("line")).where("line <> ''")
     page = Window.partitionBy("document_id", "page_number")
     at = F.row_number().over(page.orderBy("i")) - 1
@@ -211,8 +277,14 @@ def remove_headers(pages: DataFrame, least: int = 3) -> DataFrame:
     """Pages without their header and footer lines; blank lines stay."""
     found = header_lines(pages, least).groupBy("document_id").agg(F.collect_set("line").alias("_gone"))
     rows = pages.join(found, "document_id", "left")
-    kept = F.filter(F.split("content", "\n"), lambda s: ~F.coalesce(F.array_contains(F.col("_gone"), T.strip(s)), F.lit(False)))
-    return rows.withColumn("content", F.array_join(kept, "\n")).drop("_gone")
+    kept = F.filter(T.lines("content"), lambda s: ~F.coalesce(F.array_contains(F.col("_gone"), T.strip(s)), F.lit(False)))
+    return rows.withColumn("content", F.when(F.col("_gone").isNull(), F.col("content")).otherwise(F.array_join(kept, "\n"))).drop("_gone")
+
+
+def cleanup_pages(pages: DataFrame, least: int = 3) -> DataFrame:
+    """``pages(document_id, page_number, content)``: every page cleaned, then the
+    header and footer lines of its document removed."""
+    return remove_headers(pages.withColumn("content", T.cleanup_page(F.coalesce("content", F.lit("")))), least)
 
 
 def format_markdown(documents: DataFrame, pages: DataFrame) -> DataFrame:

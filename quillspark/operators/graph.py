@@ -12,6 +12,9 @@ PALETTE_SIZE = 30
 #: Nodes that get a label whatever their degree, and the degree that always does.
 TOP_LABELS = 30
 LABEL_DEGREE = 4
+# Fixed values of the force layout: room around a node, charge of a node without
+# links and of others, and what each link adds to it.
+COLLIDE_GAP, LONE_CHARGE, CHARGE, CHARGE_BY_DEGREE = 4.0, -60.0, -200.0, -3.0
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -171,6 +174,14 @@ def question_concepts(concepts: DataFrame, question: str) -> DataFrame:
     return concepts.withColumn("_hay", hay).where(F.exists(words, lambda w: F.contains(F.col("_hay"), w))).drop("_hay")
 
 
+def forces(degree_rows: DataFrame) -> DataFrame:
+    """Adds what the force layout takes for a node: the radius that others may not
+    enter, and a repelling charge, stronger with every link."""
+    rows = styled(degree_rows)
+    charge = F.when(F.col("degree") == 0, LONE_CHARGE).otherwise(CHARGE + CHARGE_BY_DEGREE * F.col("degree"))
+    return rows.withColumn("collide", F.col("radius") + COLLIDE_GAP).withColumn("charge", charge)
+
+
 def layout(link_rows: DataFrame) -> DataFrame:
     """Distances and strokes that the explorer's force layout takes."""
     return link_rows.withColumn("distance", 35.0 + 25.0 / F.col("weight")).withColumn("width", T.link_width("weight")).withColumn("alpha", T.link_alpha("weight"))

@@ -34,6 +34,18 @@ class Store:
     registry_aliases: DataFrame  # alias, concept_id
     registry_concepts: DataFrame  # concept_id, document_id
     edges: DataFrame  # document_id, source, target
+    terms: DataFrame | None = None  # index_terms(postings), where it is written
+
+    def index(self) -> DataFrame:
+        return self.terms if self.terms is not None else index_terms(self.postings)
+
+
+def index_terms(postings: DataFrame) -> DataFrame:
+    """``(document_id, concept_id, term, len)``: the normalised keywords of every
+    concept and their number, which is all that BM25 reads of the postings."""
+    keys = postings.select("document_id", "concept_id", T.normalize_term("keyword").alias("term")).distinct()
+    sizes = keys.groupBy("document_id", "concept_id").agg(F.count("*").alias("len"))
+    return keys.join(sizes, ["document_id", "concept_id"])
 
 
 def unknown_scope(requested: DataFrame, documents: DataFrame) -> DataFrame:
@@ -71,69 +83,111 @@ def ranking_terms(terms: DataFrame) -> DataFrame:
 
 
 def seeds(terms: DataFrame, store: Store, scope: DataFrame) -> DataFrame:
-    """Concepts to start from: registry alias, any local alias, and the slug."""
+    """Concepts to start from: registry alias, local alias, and the slug.  Local
+    aliases count in the documents of ``scope(document_id)``, or, with a column
+    ``query_id``, in those of the query itself."""
     rows = terms.where("origin = 'concept'").select("query_id", T.normalize_term("term").alias("alias"), T.slugify("term", empty="").alias("slug"))
-    local = store.local_aliases.join(scope, "document_id", "left_semi").select("alias", "concept_id")
-    named = rows.join(store.registry_aliases.select("alias", "concept_id").unionByName(local).distinct(), "alias").select("query_id", "concept_id")
+    local = store.local_aliases.select("document_id", "alias", "concept_id")
+    own = ["query_id", "document_id"] if "query_id" in scope.columns else ["document_id"]
+    if own == ["document_id"]:
+        local = local.join(scope, own, "left_semi").select("alias", "concept_id").distinct()
+        by_local = rows.join(local, "alias")
+    else:
+        by_local = rows.join(local, "alias").join(scope.select(*own).distinct(), own, "left_semi")
+    named = rows.join(store.registry_aliases.select("alias", "concept_id"), "alias").select("query_id", "concept_id")
+    named = named.unionByName(by_local.select("query_id", "concept_id"))
     return named.unionByName(rows.where("slug <> ''").select("query_id", F.col("slug").alias("concept_id"))).distinct()
 
 
+_FOUND = ["query_id", "concept_id", "document_id"]
+
+
+def _search_terms(terms: DataFrame) -> DataFrame:
+    return terms.select("query_id", T.normalize_term("term").alias("term"), T.slugify("term", empty="").alias("slug")).distinct()
+
+
+def in_scope(rows: DataFrame, scope: DataFrame) -> DataFrame:
+    """Rows of the documents in scope."""
+    return rows.join(scope, "document_id", "left_semi")
+
+
+def by_registry_alias(terms: DataFrame, store: Store, scope: DataFrame) -> DataFrame:
+    """Concepts that a term is registered for, in all documents that have them."""
+    rows = _search_terms(terms).join(store.registry_aliases, F.col("term") == F.col("alias")).select("query_id", "concept_id").distinct()
+    return rows.join(in_scope(store.registry_concepts, scope), "concept_id").select(*_FOUND)
+
+
+def by_slug(terms: DataFrame, store: Store, scope: DataFrame) -> DataFrame:
+    """Concepts whose id is a term's slug."""
+    rows = _search_terms(terms).where("slug <> ''").select("query_id", F.col("slug").alias("concept_id")).distinct()
+    return rows.join(in_scope(store.registry_concepts, scope), "concept_id").select(*_FOUND)
+
+
+def by_local_alias(terms: DataFrame, store: Store, scope: DataFrame) -> DataFrame:
+    """Concepts that a document itself names by a term; empty targets do not count."""
+    local = in_scope(store.local_aliases.where("concept_id <> ''"), scope)
+    return _search_terms(terms).join(local, F.col("term") == F.col("alias")).select(*_FOUND).distinct()
+
+
+def by_keyword(terms: DataFrame, store: Store, scope: DataFrame) -> DataFrame:
+    """Concepts with a term among their keywords, and the keyword."""
+    words = in_scope(store.postings, scope)
+    return _search_terms(terms).select("query_id", F.col("term").alias("keyword")).distinct().join(words, "keyword").select(*_FOUND, "keyword")
+
+
 def candidates(terms: DataFrame, store: Store, scope: DataFrame, depth: int = 1) -> DataFrame:
     """Distinct ``(query_id, concept_id, document_id)`` from five sources."""
-    rows = terms.select("query_id", T.normalize_term("term").alias("term"), T.slugify("term", empty="").alias("slug"))
-    registry = store.registry_concepts.join(scope, "document_id", "left_semi")
-    out = ["query_id", "concept_id", "document_id"]
-    by_alias = rows.join(store.registry_aliases, F.col("term") == F.col("alias")).select("query_id", "concept_id").join(registry, "concept_id").select(*out)
-    by_slug = rows.where("slug <> ''").select("query_id", F.col("slug").alias("concept_id")).join(registry, "concept_id").select(*out)
-    local = store.local_aliases.where("concept_id <> ''").join(scope, "document_id", "left_semi")
-    by_local = rows.join(local, F.col("term") == F.col("alias")).select(*out)
-    words = store.postings.join(scope, "document_id", "left_semi")
-    by_word = rows.join(words, F.col("term") == F.col("keyword")).select(*out)
-    found = by_alias.unionByName(by_slug).unionByName(by_local).unionByName(by_word)
+    found = by_registry_alias(terms, store, scope).unionByName(by_slug(terms, store, scope)).unionByName(by_local_alias(terms, store, scope))
+    found = found.unionByName(by_keyword(terms, store, scope).drop("keyword"))
     if depth > 0:
         reached = graph.bfs(seeds(terms, store, scope), graph.adjacency(store.edges), depth)
-        found = found.unionByName(reached.select("query_id", "concept_id").join(registry, "concept_id").select(*out))
+        found = found.unionByName(reached.select("query_id", "concept_id").join(in_scope(store.registry_concepts, scope), "concept_id").select(*_FOUND))
     # the join with the concept rows is also the existence check
     return found.distinct().join(store.concepts.select("concept_id", "document_id"), ["concept_id", "document_id"], "left_semi")
 
 
-def bm25_stats(found: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
-    """Per query, over all concepts of the candidates' documents: ``(n, avg)``
-    and the sized keyword sets."""
+def candidate_order(found: DataFrame) -> DataFrame:
+    """Adds ``position``: candidates of a query by concept, then document."""
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy("concept_id", "document_id"))
+    return found.withColumn("position", at.cast("long"))
+
+
+def unanswered(intents: DataFrame, found: DataFrame) -> DataFrame:
+    """Questions without any candidate, which are answered by a fixed sentence."""
+    return intents.select("query_id").join(found.select("query_id"), "query_id", "left_anti")
+
+
+def bm25_stats(found: DataFrame, store: Store) -> DataFrame:
+    """Per query, over all concepts of the candidates' documents: ``(n, avg)``."""
     docs = found.select("query_id", "document_id").distinct()
-    keys = store.postings.select("document_id", "concept_id", T.normalize_term("keyword").alias("keyword")).distinct()
-    sizes = keys.groupBy("document_id", "concept_id").agg(F.count("*").alias("len"))
-    per_doc = sizes.groupBy("document_id").agg(F.count("*").alias("n"), F.sum("len").alias("total"))
-    stats = docs.join(per_doc, "document_id").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avg"))
-    return stats, sizes
+    per_doc = store.index().groupBy("document_id").agg(F.count_distinct("concept_id").alias("n"), F.count("*").alias("total"))
+    return docs.join(per_doc, "document_id").groupBy("query_id").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("avg"))
 
 
 def bm25(found: DataFrame, terms: DataFrame, store: Store) -> DataFrame:
     """``(query_id, concept_id, document_id, score)`` of candidates above 0.
 
-    Document frequencies are summed per document before the queries' documents
-    are joined, so the postings are read once and shuffled by term only."""
-    stats, sizes = bm25_stats(found, store)
+    The index is read once, for the terms of any query; what a query's documents
+    hold of its terms gives both the document frequencies and the scored rows."""
+    stats = bm25_stats(found, store)
     wanted = ranking_terms(terms)
-    keys = store.postings.select("document_id", "concept_id", T.normalize_term("keyword").alias("term")).distinct()
-    hits = keys.join(wanted.select("term").distinct(), "term", "left_semi")
     docs = found.select("query_id", "document_id").distinct()
-    in_doc = hits.groupBy("document_id", "term").agg(F.count("*").alias("c"))
-    df = wanted.join(in_doc, "term").join(docs, ["query_id", "document_id"], "left_semi").groupBy("query_id", "term").agg(F.sum("c").alias("df"))
-    rows = wanted.join(hits, "term").join(found, ["query_id", "concept_id", "document_id"], "left_semi")
-    rows = rows.join(df, ["query_id", "term"]).join(stats, "query_id").join(sizes, ["document_id", "concept_id"])
+    hits = wanted.join(store.index(), "term").join(docs, ["query_id", "document_id"], "left_semi")
+    df = hits.groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    rows = hits.join(found, _FOUND, "left_semi").join(df, ["query_id", "term"]).join(stats, "query_id")
     part = T.bm25_idf("n", "df") * (K1 + 1) / (1.0 + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return rows.groupBy("query_id", "concept_id", "document_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    return rows.groupBy(*_FOUND).agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
 
 
 def alias_matches(found: DataFrame, terms: DataFrame, store: Store) -> DataFrame:
-    """``count`` of query terms that name the candidate by a local alias or by
-    its slug."""
-    rows = found.join(ranking_terms(terms).withColumn("slug", T.slugify("term", empty="")), "query_id")
-    local = store.local_aliases.select("document_id", F.col("alias").alias("term"), F.col("concept_id").alias("_c")).where("_c is not null and _c <> ''")
-    hit = rows.join(local, ["document_id", "term"], "left")
-    named = (F.col("_c") == F.col("concept_id")) | (F.col("slug") == F.col("concept_id"))
-    return hit.where(named).groupBy("query_id", "concept_id", "document_id").agg(F.count("*").alias("matches"))
+    """``matches``: query terms that name the candidate by a local alias or by its
+    slug; a term that does both counts once."""
+    wanted = ranking_terms(terms).withColumn("slug", T.slugify("term", empty=""))
+    slug = found.join(wanted.select("query_id", "term", F.col("slug").alias("concept_id")), ["query_id", "concept_id"])
+    local = store.local_aliases.select("document_id", F.col("alias").alias("term"), "concept_id").where("concept_id <> ''")
+    alias = wanted.select("query_id", "term").join(local, "term").join(found, _FOUND, "left_semi")
+    both = slug.select(*_FOUND, "term").unionByName(alias.select(*_FOUND, "term")).distinct()
+    return both.groupBy(*_FOUND).agg(F.count("*").alias("matches"))
 
 
 def alias_list(found: DataFrame, terms: DataFrame, store: Store) -> DataFrame:
@@ -142,8 +196,8 @@ def alias_list(found: DataFrame, terms: DataFrame, store: Store) -> DataFrame:
 
 def graph_list(found: DataFrame, terms: DataFrame, store: Store, depth: int = 1) -> DataFrame:
     """Distances of the candidates from the query's own concepts; local aliases
-    come from the candidates' documents."""
-    docs = found.select("document_id").distinct()
+    come from the documents of the query's candidates."""
+    docs = found.select("query_id", "document_id").distinct()
     reached = graph.bfs(seeds(terms, store, docs), graph.adjacency(store.edges), depth)
     return found.join(reached, ["query_id", "concept_id"])
 
@@ -171,16 +225,22 @@ def hydrate(ranked: DataFrame, store: Store) -> DataFrame:
     return ranked.join(rows, ["concept_id", "document_id"])
 
 
+def load_pages(top: DataFrame, store: Store, top_k: int = 5) -> DataFrame:
+    """The pages of the first ``top_k`` candidates, each once per query, with the
+    best rank that cites it."""
+    if top_k < 0:
+        raise ValueError("top_k must not be negative")
+    wanted = top.where(F.col("rank") <= top_k).select("query_id", "document_id", F.explode("evidence_pages").alias("page_number"), "rank")
+    wanted = wanted.groupBy("query_id", "document_id", "page_number").agg(F.min("rank").alias("rank"))
+    return wanted.join(store.pages.select("document_id", "page_number", "content"), ["document_id", "page_number"])
+
+
 def evidence(top: DataFrame, terms: DataFrame | None, store: Store, top_k: int = 5) -> DataFrame:
     """Scored pages of the first ``top_k`` candidates.
 
     With terms: BM25 over the pages that a query loaded, divided by the best,
     pages below the floor dropped, 35 at most.  Without: in candidate order."""
-    if top_k < 0:
-        raise ValueError("top_k must not be negative")
-    wanted = top.where(F.col("rank") <= top_k).select("query_id", "document_id", F.explode("evidence_pages").alias("page_number"), "rank")
-    wanted = wanted.groupBy("query_id", "document_id", "page_number").agg(F.min("rank").alias("rank"))
-    loaded = wanted.join(store.pages.select("document_id", "page_number", "content"), ["document_id", "page_number"])
+    loaded = load_pages(top, store, top_k)
     if terms is None:
         at = F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "page_number", "document_id"))
         return loaded.withColumn("score", F.lit(0.0)).withColumn("position", at.cast("long"))

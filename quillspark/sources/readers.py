@@ -6,8 +6,13 @@ not installed raise for the files that need them.
 """
 from __future__ import annotations
 
+import importlib
 import io
+import os
 import re
+import shutil
+import subprocess
+import tempfile
 import zipfile
 from xml.etree import ElementTree
 
@@ -16,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import build
 from ..shipping import ship
+from ..workspace import Workspace
 
 EXTENSIONS = (".pdf", ".docx", ".pptx", ".ppt", ".md", ".markdown")
 PAGE_SCHEMA = "path string, file_name string, page_number long, content string"
@@ -110,6 +117,21 @@ def pptx_pages(data: bytes) -> list[str]:
 
 
 # -- PDF -------------------------------------------------------------------------
+# The flag of a raised span, and what counts as smaller and higher.
+RAISED_FLAG, SMALLER, HIGHER = 1, 0.85, 1.0
+
+
+def raised(spans: list[dict]) -> list[dict]:
+    """The exponents among a line's spans (``text``, ``size``, ``origin``, ``flags``):
+    flagged ones, and those smaller than 0.85 of the line's usual size that lie more
+    than 1 above its mean baseline."""
+    sizes = [s["size"] for s in spans if s["size"] > 0]
+    usual = max(set(sizes), key=lambda v: (sizes.count(v), v)) if sizes else 0.0
+    base = sum(s["origin"][1] for s in spans) / len(spans) if spans else 0.0
+    high = lambda s: usual > 0 and s["size"] < SMALLER * usual and s["origin"][1] < base - HIGHER
+    return [s for s in spans if s["text"] and (s.get("flags", 0) & RAISED_FLAG or high(s))]
+
+
 def superscripts(text: str, spans: list[str]) -> str:
     """A caret before the right-most place of each span that has none yet."""
     for span in spans:
@@ -121,40 +143,115 @@ def superscripts(text: str, spans: list[str]) -> str:
     return text
 
 
-def layout_text(blocks: list[tuple[float, float, list[str]]]) -> str:
-    """Blocks ``(y, x, lines)`` from top to bottom, then left to right."""
-    ordered = sorted(blocks, key=lambda b: (round(b[0]), b[1]))
-    return "\n\n".join("\n".join(lines) for _, _, lines in ordered if lines)
+def line_text(spans: list[dict]) -> str:
+    """A line from its spans, left to right, a caret before each exponent."""
+    spans = sorted(spans, key=lambda s: s["bbox"][0])
+    high = [id(s) for s in raised(spans)]
+    return "".join(("^" if id(s) in high else "") + s["text"] for s in spans if s["text"])
 
 
-def line_text(spans: list[tuple[float, float, float, str]]) -> str:
-    """A line from spans ``(x, size, baseline, text)``: a span that is smaller and
-    higher than the line's usual one is an exponent and gets a caret."""
-    if not spans:
-        return ""
-    sizes = [s[1] for s in spans]
-    usual = max(set(sizes), key=lambda v: (sizes.count(v), v))
-    base = sum(s[2] for s in spans) / len(spans)
-    raised = lambda s: s[1] < 0.8 * usual and s[2] < base  # noqa: E731  (a smaller y is higher)
-    return "".join(("^" if raised(s) else "") + s[3] for s in sorted(spans))
+def layout_text(blocks: list[dict]) -> str:
+    """Text blocks from top to bottom, then left to right, a line each for the lines
+    that have text."""
+    ordered = sorted((b for b in blocks if "lines" in b), key=lambda b: (round(b["bbox"][1], 1), b["bbox"][0]))
+    texts = ["\n".join(t for line in b["lines"] if (t := line_text(line["spans"]))) for b in ordered]
+    return "\n\n".join(t for t in texts if t)
+
+
+def is_poor(text: str, min_chars: int = 50, min_words: int = 10) -> bool:
+    return len(text.strip()) < min_chars or len(re.findall(r"\w+", text)) < min_words
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Page texts by the installed extractor; raises where there is none."""
+def is_better(new: str, old: str) -> bool:
+    """Whether a second reading of a page takes the place of the first."""
+    return not is_poor(new) and (len(new) > len(old) or len(re.findall(r"\w+", new)) > len(re.findall(r"\w+", old)))
+
+
+def _optional(name: str):
+    try:
+        return importlib.import_module(name)
+    except ImportError:
+        return None
+
+
+def _page_image(page, dpi: int, form: str = "png") -> bytes:
+    data = page.get_pixmap(dpi=dpi).tobytes("png")
+    if form == "png":
+        return data
+    image = _optional("PIL.Image")
+    if image is None:
+        raise RuntimeError(f"{form} images of pages need the optional package pillow")
+    out = io.BytesIO()
+    image.open(io.BytesIO(data)).save(out, format=form.upper())
+    return out.getvalue()
+
+
+def _recognised(page, dpi: int) -> str:
+    """The page's text by OCR, empty where no engine is installed or it fails."""
+    engine, image = _optional("pytesseract"), _optional("PIL.Image")
+    if engine is None or image is None:
+        return ""
     try:
-        import pdfplumber
-    except ImportError as e:
-        raise RuntimeError("reading PDF needs the optional package pdfplumber") from e
+        return engine.image_to_string(image.open(io.BytesIO(_page_image(page, dpi))))
+    except Exception:  # a page that cannot be recognised keeps its first reading
+        return ""
+
+
+def pdf_pages(data: bytes, ocr: bool = True, dpi: int = 200) -> list[str]:
+    """Page texts by the installed engines.
+
+    ``pdfplumber`` gives the text and ``fitz`` the exponents in it; alone, ``fitz``
+    lays the page out from its spans.  A poor page is read again by OCR, which is
+    taken if it is better.  A page that fails is empty; without either engine the
+    call raises."""
+    plumber, fitz = _optional("pdfplumber"), _optional("fitz")
+    if plumber is None and fitz is None:
+        raise RuntimeError("reading PDF needs one of the optional packages pdfplumber and pymupdf")
+    texts, pages = None, None
+    if plumber is not None:
+        with plumber.open(io.BytesIO(data)) as pdf:
+            texts = []
+            for page in pdf.pages:
+                try:
+                    texts.append(page.extract_text() or "")
+                except Exception:  # a broken page is an empty page
+                    texts.append("")
+    if fitz is None:
+        return texts
     out = []
-    with pdfplumber.open(io.BytesIO(data)) as pdf:
-        for page in pdf.pages:
-            try:
-                out.append(page.extract_text() or "")
-            except Exception:  # a broken page is an empty page
-                out.append("")
+    with fitz.open(stream=data, filetype="pdf") as pdf:
+        pages = [pdf.load_page(i) for i in range(len(pdf))]
+        for i, page in enumerate(pages):
+            blocks = page.get_text("dict").get("blocks", [])
+            if texts is None:
+                text = layout_text(blocks)
+            else:
+                spans = [s for b in blocks for line in b.get("lines", []) for s in raised(line["spans"])]
+                text = superscripts(texts[i] if i < len(texts) else "", [s["text"] for s in sorted(spans, key=lambda s: -s["bbox"][0])])
+            if ocr and is_poor(text) and is_better(again := _recognised(page, dpi), text):
+                text = again
+            out.append(text)
     return out
 
 
+def ppt_to_pptx(data: bytes) -> bytes:
+    """A binary presentation converted by an installed office suite, in a folder that
+    is removed again."""
+    office = shutil.which("soffice") or shutil.which("libreoffice")
+    if office is None:
+        raise RuntimeError("reading .ppt needs an office suite (soffice) on the executors")
+    with tempfile.TemporaryDirectory() as folder:
+        source = os.path.join(folder, "slides.ppt")
+        with open(source, "wb") as f:
+            f.write(data)
+        done = subprocess.run([office, "--headless", "--convert-to", "pptx", "--outdir", folder, source], capture_output=True, timeout=300)
+        target = os.path.join(folder, "slides.pptx")
+        if done.returncode or not os.path.exists(target):
+            raise RuntimeError(f"the .ppt file cannot be converted: {done.stderr.decode(errors='replace')[-300:]}")
+        with open(target, "rb") as f:
+            return f.read()
+
+
 def parse_bytes(path: str, data: bytes) -> list[str]:
     kind = extension(path)
     if kind in (".md", ".markdown"):
@@ -163,10 +260,10 @@ def parse_bytes(path: str, data: bytes) -> list[str]:
         return split_form_feeds(docx_text(data))
     if kind == ".pptx":
         return pptx_pages(data)
+    if kind == ".ppt":
+        return pptx_pages(ppt_to_pptx(data))
     if kind == ".pdf":
         return pdf_pages(data)
-    if kind == ".ppt":
-        raise ValueError("convert .ppt to .pptx first (an office suite does)")
     raise ValueError(f"unsupported format: {kind or path}")
 
 
@@ -179,19 +276,45 @@ def _parsed(batches):
         yield pd.DataFrame(out, columns=["path", "file_name", "page_number", "content"])
 
 
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+    return files.load(path).select("path", "content")
+
+
 def read_documents(spark: SparkSession, path: str, glob: str = "*", clean: bool = True) -> DataFrame:
     """``(path, file_name, page_number, content)`` of the files below ``path``.
 
-    Pages are cleaned as the parser does (NFKC first) unless ``clean`` is off."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
-    pages = files.mapInPandas(_parsed, PAGE_SCHEMA)
+    Unless ``clean`` is off, pages are cleaned (NFKC first), and lines that repeat at
+    the head or foot of a document's pages are removed."""
+    pages = _files(spark, path, glob).mapInPandas(_parsed, PAGE_SCHEMA)
     if not clean:
         return pages
     from ..functions.unicode import nfkc
 
-    once = T.cleanup_page(nfkc(F.col("content")))
-    return pages.withColumn("content", T.cleanup_page(once))  # the clean-up runs twice: pages, then documents
+    # written once: the headers are found and removed without parsing again
+    once = Workspace(spark, "parsed").keep(pages.withColumn("content", T.cleanup_page(nfkc(F.col("content")))), "pages")
+    done = build.remove_headers(once.withColumnRenamed("path", "document_id"))
+    return done.select(F.col("document_id").alias("path"), "file_name", "page_number", "content")
+
+
+def page_images(spark: SparkSession, path: str, glob: str = "*.pdf", dpi: int = 200, form: str = "webp") -> DataFrame:
+    """``(path, page_number, name, image)``: every PDF page as an image, named
+    ``<safe file name>_page_<n>.<form>``.  Needs ``fitz`` on the executors."""
+
+    def run(batches):
+        fitz = _optional("fitz")
+        if fitz is None:
+            raise RuntimeError("images of PDF pages need the optional package pymupdf")
+        for rows in batches:
+            for file, data in zip(rows["path"], rows["content"]):
+                stem = re.sub(r'[\\/:*?"<>|]', "_", file.rsplit("/", 1)[-1].rsplit(".", 1)[0]).strip(". ") or "document"
+                with fitz.open(stream=data, filetype="pdf") as pdf:
+                    for i in range(len(pdf)):
+                        image = _page_image(pdf.load_page(i), dpi, form)
+                        yield pd.DataFrame([(file, i + 1, f"{stem}_page_{i + 1}.{form}", image)], columns=["path", "page_number", "name", "image"])
+
+    return _files(spark, path, glob).mapInPandas(run, "path string, page_number long, name string, image binary")
 
 
 # -- parsed files ------------------------------------------------------------------
@@ -202,8 +325,8 @@ def load_markdown(spark: SparkSession, path: str) -> DataFrame:
     ``# Page N`` sections; what stands before the first page is dropped and
     repeated page numbers stay rows of their own."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
-    if not files.where(~F.col("text").startswith("#")).isEmpty():
-        raise ValueError("a parsed markdown file starts with a # line")
+    wrong = F.raise_error(F.concat(F.lit("a parsed markdown file starts with a # line: "), F.col("path")))
+    files = files.withColumn("text", F.when(F.col("text").startswith("#"), F.col("text")).otherwise(wrong))
     mark = r"(?mi)^#[^\S\n]*Page[^\S\n]+([0-9]+)[^\S\n]*$"
     head = F.element_at(F.split("text", mark), 1)
     lines = F.split(head, "\n")

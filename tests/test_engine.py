@@ -147,6 +147,57 @@ def test_headers(spark):
     assert {r["content"] for r in got.collect()} == {f"\nBody {i}\nmore" for i in range(3)}
 
 
+def test_line_ends(spark):
+    rows = spark.createDataFrame([("a\r\nb\x0bc\u2028d\x85e\n",), ("",), ("\n\n",), ("x",)], "t string")
+    from quillspark.functions import text as T
+
+    assert [r[0] for r in rows.select(T.lines("t")).collect()] == [list("abcde"), [], ["", ""], ["x"]]
+
+
+def test_merge_paragraphs(spark):
+    """Against a fold over the lines, with and without code fences."""
+    import random
+    import re
+
+    from quillspark.functions import text as T
+
+    def fold(text):
+        out, code = [], False
+        item, head = re.compile(r"^\s*([-*+]|[0-9]+[.)])\s+"), re.compile(r"^\s*#{1,6}\s+")
+        for line in re.split(r"\r\n|[\n\x0b\f\r\x85\u2028\u2029]", text):
+            fence = re.match(r"\s*```", line)
+            plain = not (fence or code or not line.strip() or item.match(line) or head.match(line))
+            last = out[-1] if out else ""
+            if plain and last and not re.search(r"[.:?!]$", last) and not item.match(last) and not head.match(last) and len(line) < 120:
+                out[-1] = last + " " + line
+            else:
+                out.append(line)
+            code = code != bool(fence)
+        return "\n".join(out)
+
+    rng = random.Random(3)
+    lines = ["word", "ends.", "", "- item", "# Head", "2) two", "```", "x" * 130, "what?", "  ", "go on", "a:"]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(T.merge_paragraphs("t")).collect()] == [fold(t) for t in texts]
+
+
+def test_image_path(spark):
+    from quillspark.functions import text as T
+
+    df = spark.createDataFrame([("../a/./b.png", "/r/x"), ("/abs/../c.png", None), ("d.png", None), ("e.png", "s3a://k/p")], "t string, r string")
+    assert [r[0] for r in df.select(T.image_path("t", "r", F.lit("/f"))).collect()] == ["/r/a/b.png", "/c.png", "/f/d.png", "s3a://k/p/e.png"]
+
+
+def test_seeds_by_query(spark, store, both):
+    """A local alias counts for a query only in the documents of its own candidates."""
+    t = spark.createDataFrame([(1, ["sample sorcery"], []), (2, ["sample sorcery"], [])], "query_id long, concepts array<string>, keywords array<string>")
+    docs = spark.createDataFrame([(1, "doc-a"), (2, "doc-b")], "query_id long, document_id string")
+    own = Store(**{**vars(store), "registry_aliases": store.registry_aliases.limit(0)})
+    got = {(r["query_id"], r["concept_id"]) for r in retrieval.seeds(retrieval.plan_terms(t), own, docs).collect()}
+    assert (1, "sample-magic") in got and (2, "sample-magic") not in got
+
+
 def test_formats(spark):
     docs = spark.createDataFrame([("f.pdf", ["finance", "größe"]), ("g", [])], "document_id string, tags array<string>")
     pages = spark.createDataFrame([("f.pdf", 1, "a\nb")], "document_id string, page_number int, content string")

@@ -1,11 +1,15 @@
+import contextlib
 import io
+import json
+import sys
+import types
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import api
-from quillspark.operators import extract
+from quillspark.operators import build, extract
 from quillspark.sources import readers, sinks
 from quillspark.streaming.ingest import ingest
 
@@ -49,10 +53,90 @@ def test_unsupported():
         readers.parse_bytes("x.xyz", b"")
 
 
+def span(x, size, y, text, flags=0):
+    return {"bbox": (x, 0, 0, 0), "size": size, "origin": (x, y), "text": text, "flags": flags}
+
+
+def block(y, x, *lines):
+    return {"bbox": (x, y, 0, 0), "lines": [{"spans": line} for line in lines]}
+
+
 def test_pdf_helpers():
     assert readers.superscripts("x2 and y2", ["2", "2"]) == "x^2 and y^2"
-    assert readers.layout_text([(10.2, 5, ["b"]), (10.1, 1, ["a"]), (2, 0, ["top"])]) == "top\n\na\n\nb"
-    assert readers.line_text([(0, 10, 100, "10"), (8, 6, 95, "3")]) == "10^3"
+    one = lambda t: [span(0, 10, 0, t)]
+    assert readers.layout_text([block(10.2, 5, one("b")), block(10.2, 1, one("a")), block(2, 0, one("top")), {"bbox": (0, 0, 0, 0)}]) == "top\n\na\n\nb"
+    assert readers.line_text([span(8, 6, 95, "3"), span(0, 10, 100, "10")]) == "10^3"
+    # smaller than 0.85 of the usual size and more than 1 above the mean baseline, or flagged
+    assert readers.line_text([span(0, 10, 100, "a"), span(5, 8.4, 96, "b"), span(9, 10, 100, "c")]) == "a^bc"
+    assert readers.line_text([span(0, 10, 100, "a"), span(5, 8.6, 90, "b"), span(9, 10, 100, "c")]) == "abc"
+    assert readers.line_text([span(0, 10, 100, "a"), span(5, 5, 99.5, "b"), span(9, 10, 100, "c")]) == "abc"
+    assert readers.line_text([span(0, 10, 100, "a"), span(5, 10, 100, "b", flags=1)]) == "a^b"
+
+
+class FakePdf:
+    """The two engines' interfaces over pages of (plain text, blocks)."""
+
+    pages = []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def __len__(self):
+        return len(self.pages)
+
+    def load_page(self, i):
+        return types.SimpleNamespace(get_text=lambda kind: {"blocks": self.pages[i][1]}, get_pixmap=lambda dpi: types.SimpleNamespace(tobytes=lambda form: b"png"))
+
+
+def test_pdf_engines(monkeypatch):
+    long = "Long enough to be a page of its own, with more than ten words in it"
+    FakePdf.pages = [("x2 = y " + long, [block(0, 0, [span(0, 10, 100, "x"), span(5, 6, 90, "2"), span(9, 10, 100, " = y")])]), (None, []), ("poor", [])]
+
+    def text(value):
+        def run():
+            if value is None:
+                raise RuntimeError("broken")
+            return value
+
+        return types.SimpleNamespace(extract_text=run)
+
+    plumber = types.ModuleType("pdfplumber")
+    plumber.open = lambda data: contextlib.nullcontext(types.SimpleNamespace(pages=[text(t) for t, _ in FakePdf.pages]))
+    fitz = types.ModuleType("fitz")
+    fitz.open = lambda stream, filetype: FakePdf()
+    monkeypatch.setitem(sys.modules, "fitz", None)
+    monkeypatch.setitem(sys.modules, "pdfplumber", None)
+    with pytest.raises(RuntimeError, match="optional"):
+        readers.pdf_pages(b"")
+    monkeypatch.setitem(sys.modules, "pdfplumber", plumber)
+    assert readers.pdf_pages(b"") == ["x2 = y " + long, "", "poor"]
+    monkeypatch.setitem(sys.modules, "fitz", fitz)
+    assert readers.parse_bytes("a.PDF", b"") == ["x^2 = y " + long, "", "poor"]
+    monkeypatch.setattr(readers, "_recognised", lambda page, dpi: "Read by sight: " + long)
+    assert readers.pdf_pages(b"") == ["x^2 = y " + long, "Read by sight: " + long, "Read by sight: " + long]
+    monkeypatch.setitem(sys.modules, "pdfplumber", None)
+    assert readers.pdf_pages(b"", ocr=False) == ["x^2 = y", "", ""]
+
+
+def test_ppt_needs_an_office_suite(monkeypatch):
+    monkeypatch.setattr(readers.shutil, "which", lambda name: None)
+    with pytest.raises(RuntimeError, match="office"):
+        readers.parse_bytes("x.ppt", b"")
+
+
+def test_running_heads_go(spark, tmp_path):
+    """Lines that repeat at the head or foot of a document's pages are removed."""
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    page = '<w:p><w:r><w:br w:type="page"/></w:r></w:p>'
+    body = page.join(p("1. Annual report:") + p(f"Body {i}.") + p("More.") + p("Company confidential.") for i in range(4))
+    (tmp_path / "r.docx").write_bytes(zipped({"word/document.xml": f"<w:document {W}><w:body>{body}</w:body></w:document>"}))
+    got = [r["content"] for r in readers.read_documents(spark, str(tmp_path)).orderBy("page_number").collect()]
+    assert got == [f"Body {i}.\nMore." for i in range(4)]
+    plain = readers.read_documents(spark, str(tmp_path), clean=False).first()["content"]
+    assert "Annual report" in plain
 
 
 def test_load_markdown(spark, tmp_path):
@@ -133,6 +217,99 @@ def test_build_and_ask(spark, pages, tmp_path):
     assert nodes.count() == 3
 
 
+def changed_pages(spark, title, text):
+    return spark.createDataFrame([("doc-b", title, 1, text)], "document_id string, title string, page_number int, content string")
+
+
+def test_builds_in_parallel(spark, pages, tmp_path):
+    """A build that another one overtakes fails and changes nothing; a reader keeps
+    the state that it opened; a crash before the commit leaves the old state."""
+    root = str(tmp_path / "kb")
+    first = api.build_kb(pages, root)
+    opened = sinks.current_snapshot(spark, root)
+    rows = {t: opened.read(spark, t) for t in api.TABLES}
+    second = api.build_kb(changed_pages(spark, "B2", "entirely new words here"), root)
+    assert (first.number, second.number) == (1, 2) and sinks.current_snapshot(spark, root).number == 2
+    with pytest.raises(sinks.StoreChanged):
+        sinks.write_snapshot(spark, rows, opened)
+    assert sinks.current_snapshot(spark, root) == second
+    assert opened.read(spark, "documents").where("document_id = 'doc-b'").first()["title"] == "B"
+    assert sinks.read_table(spark, root, "documents").where("document_id = 'doc-b'").first()["title"] == "B2"
+    (tmp_path / "kb" / "manifests" / "000000000009.draft").write_text("{")  # a writer that stopped
+    assert sinks.current_snapshot(spark, root).number == 2
+    (tmp_path / "kb" / "manifests" / "000000000003.json").write_text("{")  # unreadable is not absent
+    with pytest.raises(ValueError):
+        api.build_kb(pages, root)
+
+
+def test_a_change_rewrites_its_bucket_only(spark, pages, tmp_path):
+    root = str(tmp_path / "kb")
+    config = api.Config(buckets=64)
+    first = api.build_kb(pages, root, config=config)
+    second = api.build_kb(changed_pages(spark, "B2", "other potion needs fire"), root, config=config)
+    bucket = str(spark.createDataFrame([("doc-b",)], "document_id string").select(first.bucket_of()).first()[0])
+    for t in ("documents", "pages", "concepts"):
+        old, new = first.tables[t]["folders"], second.tables[t]["folders"]
+        assert len(old) == 2 and set(old) == set(new) and old[bucket] != new[bucket]
+        assert {b: f for b, f in old.items() if b != bucket} == {b: f for b, f in new.items() if b != bucket}
+    rows = second.read(spark, "pages").collect()
+    assert {(r["document_id"], r["content"]) for r in rows if r["document_id"] == "doc-b"} == {("doc-b", "other potion needs fire")} and len(rows) == 3
+
+
+class Naming(extract.WordProvider):
+    """Names the first two words of a page as an alias of its concept."""
+
+    def complete(self, prompt, images=None):
+        answer = json.loads(super().complete(prompt)[0])
+        answer["aliases"] = [{"alias": c["aliases"][0], "concept": c["name"]} for c in answer["concepts"]]
+        return json.dumps(answer), 1, 1
+
+
+def test_first_alias_stays(spark, tmp_path):
+    """The concept of the build that came first, not of the smallest id."""
+    page = lambda doc, text: spark.createDataFrame([(doc, doc, 1, text)], "document_id string, title string, page_number int, content string")
+    root = str(tmp_path / "kb")
+    api.build_kb(page("doc-z", "red fox runs"), root, Naming())
+    api.build_kb(page("doc-a", "red fox sleeps"), root, Naming())
+    alias = {r["alias"]: r["concept_id"] for r in api.open_store(spark, root).registry_aliases.collect()}
+    assert alias["red fox"] == "red-fox-runs"
+    api.build_kb(page("doc-z", "grey wolf hunts"), root, Naming())  # what was registered stays
+    assert {r["alias"]: r["concept_id"] for r in api.open_store(spark, root).registry_aliases.collect()}["red fox"] == "red-fox-runs"
+
+
+class Seeing(extract.WordProvider):
+    """Answers with the images that it was shown."""
+
+    supports_images = True
+
+    def complete(self, prompt, images=None):
+        if images is None:
+            return super().complete(prompt)
+        return json.dumps({"concepts": [{"name": f"{len(images)} images {images[0]}", "page_numbers": [2]}]}), 1, 1
+
+
+def test_image_pages(spark, tmp_path):
+    """Paths are resolved, missing files dropped and reported, the others sent as data
+    URLs."""
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img" / "p2.png").write_bytes(b"PNG")
+    rows = [("d", "D", 1, "some text here"), ("d", "D", 2, "img/x/../p2.png"), ("d", "D", 3, "img/p3.png")]
+    pages = spark.createDataFrame(rows, "document_id string, title string, page_number int, content string")
+    tables = api.build_tables(pages, Seeing(), api.Config(image_folder=str(tmp_path / "img" / "..").replace("/img/..", "")))
+    assert tables["documents"].first()["dropped_pages"] == [3]
+    names = {r["name"] for r in tables["concepts"].collect()}
+    assert "1 images data:image/png;base64,UE5H" in names
+    batches = spark.createDataFrame([("d", 1, "image", [2, 3], ["/a", "/b"])], "document_id string, batch_id long, content_type string, page_numbers array<int>, images array<string>")
+    files = spark.createDataFrame([("/a",)], "path string")
+    assert [r["error"] for r in build.image_errors(batches, files).collect()] == ["Batch 1: image file for page 3 not readable: /b"]
+
+
+def test_export_sorts_keys(spark, tmp_path):
+    df = spark.createDataFrame([(2, {"z": 1, "a": 2})], "b int, a map<string,int>")
+    sinks.export_json(df, str(tmp_path / "out"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":{"a":2,"z":1},"b":2}']
+
+
 def test_streaming(spark, pages, tmp_path):
     source, root = str(tmp_path / "in"), str(tmp_path / "kb")
     pages.coalesce(1).write.parquet(source)
