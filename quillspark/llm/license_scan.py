@@ -175,8 +175,8 @@ _DOT = r"\.(?![0-9])|(?<![0-9])\."
 OTHER_CLASS, UNKNOWN_CLASS = "none", "unknown"
 #: Steps in which the words' evidence is counted before paragraphs are scored.
 LEVELS = 4
-#: A line end that ends no paragraph: the line goes on in lower case.
-_WRAP = r"([a-z0-9,])\n([a-z])"
+#: A line end that ends a paragraph: not one after which the line goes on in lower case.
+_BREAK = r"(?<![a-z0-9,])\n|\n(?![a-z])"
 
 
 def grams_of(text: str) -> list[str]:
@@ -306,10 +306,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model=
     """
     spark = docs.sparkSession
     classes, weights, intercepts, heat = model or train()
-    text = F.col(text_col)
-    for _ in range(2):  # a line of one letter lends it to one end only
-        text = F.regexp_replace(text, _WRAP, "$1 $2")
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
+    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text_col, _BREAK)).alias("paragraph", "line"))
     steps = evidence((classes, weights, intercepts, heat))
     tokens = F.split(F.lower("line"), "[^a-z0-9]+")
     some = [w for step in steps for w in step]
