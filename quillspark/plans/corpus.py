@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import build, graph
-from ..operators.retrieval import Store
+from ..operators.retrieval import Store, index_terms
 from ..workspace import Workspace
 
 _STORED: dict[tuple, DataFrame] = {}
 
 #: Documents whose id is divisible by this ask a question.
-QUERY_EVERY = 25
+QUERY_EVERY = 20
+#: Letters of a word of a document that its question asks for.
+QUERY_LETTERS = 10
 
 
 def concept_of(pages: DataFrame) -> DataFrame:
@@ -49,6 +51,15 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def state(self) -> tuple:
+        """Sizes and times of the input's files: tables that were stored for other
+        contents of the same folder are not used again."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.sf_dir)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path)))
+
     @cached_property
     def documents(self) -> DataFrame:
         rows = self.table("documents")
@@ -70,7 +81,7 @@ class Corpus:
         """A table of the knowledge store: written to the shared folder when it
         is first asked for in a session, and read from there by every later step,
         so plans stay small and a lost executor costs a re-read."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.state, name)
         if key not in _STORED:
             _STORED[key] = Workspace(self.spark, "store").keep(make(), name)
         return _STORED[key]
@@ -102,24 +113,31 @@ class Corpus:
 
     @cached_property
     def registry_aliases(self) -> DataFrame:
-        return self.stored("registry_aliases", lambda: build.registry_aliases(self.local_aliases))
+        """Documents register in the order of their ids."""
+        return self.stored("registry_aliases", lambda: build.registry_aliases(self.local_aliases.withColumn("doc_id", F.substring("document_id", 5, 20).cast("long")), "doc_id"))
 
     @cached_property
     def postings(self) -> DataFrame:
         return self.stored("postings", lambda: build.keyword_postings(self.concepts))
 
+    @cached_property
+    def terms(self) -> DataFrame:
+        return self.stored("index_terms", lambda: index_terms(self.postings))
+
     @cached_property
     def store(self) -> Store:
-        return Store(self.pages, self.concepts, self.postings, self.local_aliases, self.registry_aliases, build.registry_concepts(self.concepts), self.edges)
+        return Store(self.pages, self.concepts, self.postings, self.local_aliases, self.registry_aliases, build.registry_concepts(self.concepts), self.edges, self.terms)
 
     @cached_property
     def glossary(self) -> DataFrame:
-        """Entries of the conversations' user turns, keyed by their first words."""
+        """Entries of the conversations' user turns, keyed by their first words; every
+        fifth cites a turn that the conversation lacks, too."""
         rows = self.table("conversations").where("role = 'user'")
         words = F.filter(F.split("text", r"\s+"), lambda t: t != "")
         return rows.select(
             F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("document_id"), F.lower(F.array_join(F.slice(words, 1, 3), " ")).alias("key"),
             F.col("text").alias("definition"), F.col("turn").cast("long").alias("page_number"), F.col("turn").cast("long").alias("ord"),
+            F.when(F.col("conv_id") % 5 == 0, F.array(F.col("turn").cast("long"), F.lit(999).cast("long"))).otherwise(F.array(F.col("turn").cast("long"))).alias("page_numbers"),
         )
 
     @cached_property
@@ -149,13 +167,13 @@ class Corpus:
 
     @cached_property
     def intents(self) -> DataFrame:
-        """A question of every ``QUERY_EVERY``-th document: its first concept and
-        the first eight longer words of its first line."""
+        """The question of every document whose id ``QUERY_EVERY`` divides: the names
+        of its concepts and its long words, of the whole text."""
         rows = self.table("documents").where((F.col("doc_id") % QUERY_EVERY == 0) & F.col("text").isNotNull())
-        line = F.split("text", "\n")[0]
-        words = F.array_distinct(F.filter(T.query_words(line), lambda w: F.length(w) > 5))
-        name = F.array_join(F.slice(F.filter(F.split(line, r"\s+"), lambda t: t != ""), 1, 3), " ")
-        return rows.select(F.col("doc_id").alias("query_id"), F.filter(F.array(name), lambda t: t != "").alias("concepts"), F.slice(words, 1, 8).alias("keywords"))
+        words = F.array_distinct(F.filter(T.query_words("text"), lambda w: F.length(w) >= QUERY_LETTERS))
+        name = lambda line: F.array_join(F.slice(F.filter(F.split(line, r"\s+"), lambda t: t != ""), 1, 3), " ")
+        names = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), name), lambda t: t != ""))
+        return rows.select(F.col("doc_id").alias("query_id"), names.alias("concepts"), words.alias("keywords"))
 
     @cached_property
     def benchmark_intents(self) -> DataFrame:

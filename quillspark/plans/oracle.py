@@ -42,14 +42,14 @@ CTE = {
     "edge": f"""SELECT document_id, source, target, CASE WHEN type IN {_LEGAL} THEN type ELSE 'relates_to' END AS type, ord
         FROM (SELECT DISTINCT * FROM rawedge) WHERE source <> target""",
     "alias": "SELECT document_id, lower(trim(alias)) AS alias, arg_max(concept_id, ord) AS concept_id FROM raw WHERE trim(alias) <> '' GROUP BY 1, 2",
-    "ralias": "SELECT alias, arg_min(concept_id, document_id) AS concept_id FROM alias GROUP BY alias",
+    "ralias": "SELECT alias, arg_min(concept_id, CAST(substr(document_id, 5) AS BIGINT)) AS concept_id FROM alias GROUP BY alias",
     "post": "SELECT DISTINCT document_id, keyword, concept_id FROM (SELECT document_id, unnest(list_append(keywords, lower(name))) AS keyword, concept_id FROM con)",
     "rcon": "SELECT DISTINCT concept_id, document_id FROM con",
-    "scope": "SELECT document_id FROM docs WHERE doc_id % 2 = 0",
-    "intent": f"""SELECT doc_id AS query_id, array_to_string({_WORDS.format('line')}[1:3], ' ') AS concept,
-        {first_distinct('kw')}[1:8] AS keywords
-        FROM (SELECT doc_id, string_split(text, chr(10))[1] AS line, list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+'), lambda w: length(w) > 5) AS kw FROM documents WHERE doc_id % 25 = 0 AND text IS NOT NULL)""",
-    "term": """SELECT query_id, concept AS term, 'concept' AS origin, 0 AS ord FROM intent WHERE concept <> ''
+    "scope": "SELECT document_id FROM docs WHERE regexp_matches(category, '[02468]$')",
+    "intent": f"""SELECT doc_id AS query_id, {first_distinct('names')} AS names, {first_distinct('kw')} AS keywords
+        FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: array_to_string({_WORDS.format('l')}[1:3], ' ')), lambda t: t <> '') AS names,
+            list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 10) AS kw FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL)""",
+    "term": """SELECT query_id, unnest(names) AS term, 'concept' AS origin, generate_subscripts(names, 1) - 1 AS ord FROM intent
         UNION ALL SELECT query_id, unnest(keywords), 'keyword', generate_subscripts(keywords, 1) - 1 FROM intent""",
     "nterm": f"SELECT DISTINCT query_id, {norm('term')} AS term FROM term WHERE {norm('term')} <> ''",
     "seed": f"""SELECT DISTINCT query_id, concept_id FROM (
@@ -81,7 +81,8 @@ CTE = {
         LEFT JOIN alias a ON a.document_id = c.document_id AND a.alias = t.term
         WHERE a.concept_id = c.concept_id OR {slug('t.term')} = c.concept_id GROUP BY 1, 2, 3""",
     "gseed": f"""SELECT DISTINCT query_id, concept_id FROM (
-        SELECT t.query_id, a.concept_id FROM term t JOIN (SELECT alias, concept_id FROM ralias UNION SELECT alias, concept_id FROM alias WHERE document_id IN (SELECT document_id FROM cand)) a ON a.alias = {norm('t.term')} WHERE t.origin = 'concept'
+        SELECT t.query_id, a.concept_id FROM term t JOIN ralias a ON a.alias = {norm('t.term')} WHERE t.origin = 'concept'
+        UNION ALL SELECT t.query_id, a.concept_id FROM term t JOIN alias a ON a.alias = {norm('t.term')} JOIN qdoc q ON q.query_id = t.query_id AND q.document_id = a.document_id WHERE t.origin = 'concept'
         UNION ALL SELECT query_id, {slug('term')} FROM term WHERE origin = 'concept' AND {slug('term')} <> '')""",
     "g0": "SELECT DISTINCT s.query_id, s.concept_id FROM gseed s JOIN adj ON adj.a = s.concept_id",
     "g1": "SELECT DISTINCT d.query_id, adj.b AS concept_id FROM g0 d JOIN adj ON adj.a = d.concept_id",
@@ -94,6 +95,7 @@ CTE = {
         LEFT JOIN (SELECT query_id, concept_id, document_id, round(sum(1::DOUBLE / (60 + pos)), 9) AS score FROM lists GROUP BY 1, 2, 3) s USING (query_id, concept_id, document_id)""",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept_id, document_id) AS rank FROM fused",
     "top": "SELECT r.*, c.description, c.pages FROM ranked r JOIN con c USING (concept_id, document_id) WHERE rank <= 25",
+    "top100": "SELECT r.*, c.description, c.pages FROM ranked r JOIN con c USING (concept_id, document_id) WHERE rank <= 100",
     "want": "SELECT query_id, document_id, page_number, min(rank) AS rank FROM (SELECT query_id, document_id, unnest(pages) AS page_number, rank FROM top WHERE rank <= 5) GROUP BY 1, 2, 3",
     "load": r"SELECT w.*, p.content, list_filter(regexp_split_to_array(lower(p.content), '\s+'), lambda t: t <> '') AS toks FROM want w JOIN pg p USING (document_id, page_number)",
     "pstat": "SELECT query_id, count(*) AS n, CASE WHEN avg(len(toks)) > 0 THEN avg(len(toks)) ELSE 1 END AS avg FROM load GROUP BY 1",
@@ -126,13 +128,14 @@ CTE = {
     "run": "SELECT *, CAST(sum(c) OVER (PARTITION BY document_id ORDER BY page_number) AS BIGINT) AS run FROM chg",
     "chunk": "SELECT *, (row_number() OVER (PARTITION BY document_id, run ORDER BY page_number) - 1) // (CASE WHEN content_type = 'image' THEN 1 ELSE 3 END) AS chunk FROM run",
     "batch": "SELECT *, dense_rank() OVER (PARTITION BY document_id ORDER BY run, chunk) AS batch_id FROM chunk",
-    "gloss": rf"SELECT 'conv-' || conv_id AS document_id, lower(array_to_string({_WORDS.format('text')}[1:3], ' ')) AS key, text AS definition, turn FROM conversations WHERE role = 'user'",
+    "gloss": rf"SELECT 'conv-' || conv_id AS document_id, conv_id, lower(array_to_string({_WORDS.format('text')}[1:3], ' ')) AS key, text AS definition, turn FROM conversations WHERE role = 'user'",
     "usage": "SELECT event_type AS document_name, event_id AS call_id, ts, CAST(floor(coalesce(value, 0)) AS BIGINT) AS input_tokens, event_id % 97 AS output_tokens FROM events",
     "framed": "SELECT source AS document_id, doc_id AS page_number, 'Source ' || source || chr(10) || text || chr(10) || 'End of ' || source AS content FROM documents WHERE text IS NOT NULL",
     "fline": r"SELECT document_id, page_number, trim(unnest(string_split(content, chr(10)))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM framed",
     "fpos": "SELECT *, (row_number() OVER (PARTITION BY document_id, page_number ORDER BY i) - 1) / greatest(count(*) OVER (PARTITION BY document_id, page_number) - 1, 1)::DOUBLE AS pos FROM fline WHERE line <> ''",
     "rep": "SELECT document_id, line, count(*) AS n, avg(pos) AS mean_position FROM fpos GROUP BY 1, 2",
-    "tagged": "SELECT document_id, CASE WHEN doc_id % 10 = 0 THEN [category, 'größe'] ELSE [] END AS tags FROM docs WHERE doc_id % 5 = 0",
+    "headed": "SELECT r.document_id, r.line, r.n FROM rep r JOIN (SELECT document_id, count(*) AS pages FROM framed GROUP BY 1) p USING (document_id) WHERE p.pages >= 3 AND r.n >= 3 AND r.n >= 0.5 * p.pages AND (r.mean_position < 0.15 OR r.mean_position > 0.85)",
+    "tagged": "SELECT document_id, CASE WHEN doc_id % 2 = 0 THEN [category, 'größe'] ELSE [] END AS tags FROM docs",
     "checked": """SELECT document_id, ord AS page_number, CASE WHEN ord % 11 = 0 THEN 'missing name' WHEN ord % 7 = 0 THEN 'unknown pages' END AS reason FROM raw""",
 }
 
@@ -176,13 +179,27 @@ _TX = """'FILE_NAME : ' || t.document_id || chr(10) || 'METADATA : [' || array_t
     chr(10) || chr(10) || repeat('-', 51) || coalesce(chr(10) || b.body, '')"""
 _DASH = f"regexp_replace(regexp_replace({{0}}, '([0-9^eE])[{_D}]([0-9])', '\\1-\\2', 'g'), '([0-9^eE])[{_D}]([0-9])', '\\1-\\2', 'g')"
 
+
+
+def _context(tokens: int) -> str:
+    return rf"""SELECT query_id, left(string_agg(shown, chr(10) ORDER BY tier, "at"), {4 * tokens}) AS x FROM (
+        SELECT *, CASE WHEN cum <= {tokens} THEN text WHEN {tokens} - (cum - cost) > 0 AND part <> '' THEN part || chr(10) || '[... truncated to fit max_context_tokens]' END AS shown,
+            count(*) FILTER (cum > {tokens}) OVER (PARTITION BY query_id ORDER BY tier, "at") AS ovr FROM (
+            SELECT *, regexp_replace(left(text, CAST(greatest(0, ({tokens} - (cum - cost)) * 4 - 42) AS BIGINT)), '\s+$', '') AS part FROM (
+                SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY tier, "at") AS cum FROM (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS cost FROM block))))
+        WHERE ovr <= 1 AND shown IS NOT NULL GROUP BY 1"""
+
+
+#: A line that is neither blank nor an item nor a heading.
+_PLAIN = r"NOT regexp_matches({0}, '^\s*$|^\s*([-*+]|[0-9]+[.)])\s+|^\s*#{{1,6}}\s+')"
+
 FINAL = {
-    "s18_scope_scan": "SELECT p.document_id, keyword, concept_id FROM post p JOIN docs d USING (document_id) WHERE d.doc_id % 10 = 0",
+    "s18_scope_scan": "SELECT p.document_id, keyword, concept_id FROM post p JOIN scope s USING (document_id)",
     "s19_bundle_list": "SELECT document_id, coalesce(nullif(category, ''), document_id) AS title, pages FROM docs",
     "s20_page_scan": "SELECT n.document_id, n.page_number, md5(CASE WHEN trim(coalesce(p.content, '')) = '' THEN 'no content' ELSE p.content END) AS content_md5 FROM (SELECT document_id, unnest(range(1, CAST(pages + 2 AS BIGINT))) AS page_number FROM docs) n LEFT JOIN pg p ON p.document_id = n.document_id AND p.page_number = n.page_number",
     "k1_format_markdown": f"SELECT document_id, length(x) AS chars, md5(x) AS text_md5 FROM (SELECT t.document_id, {_MD} AS x FROM tagged t LEFT JOIN (SELECT document_id, string_agg('# Page ' || page_number || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY page_number) AS body FROM pg GROUP BY 1) b USING (document_id))",
     "k2_format_text": f"SELECT document_id, length(x) AS chars, md5(x) AS text_md5 FROM (SELECT t.document_id, {_TX} AS x FROM tagged t LEFT JOIN (SELECT document_id, string_agg('PAGE_NO : ' || page_number || chr(10) || chr(10) || 'CONTENT:' || chr(10) || content || chr(10) || repeat('-', 51), chr(10) ORDER BY page_number) AS body FROM pg GROUP BY 1) b USING (document_id))",
-    "k3_format_json": "SELECT t.document_id, d.pages FROM tagged t JOIN docs d USING (document_id)",
+    "k3_format_json": "SELECT t.document_id, array_to_string(t.tags, '|') AS tags, d.pages, md5(coalesce(b.body, '')) AS content_md5 FROM tagged t JOIN docs d USING (document_id) LEFT JOIN (SELECT document_id, string_agg(page_number || ':' || content, chr(10) ORDER BY page_number) AS body FROM pg GROUP BY 1) b USING (document_id)",
     "k8_usage_log": "SELECT document_name || ': ' || count(*) || ' calls, ' || sum(input_tokens) || ' in, ' || sum(output_tokens) || ' out, ' || sum(input_tokens + output_tokens) || ' total' AS line FROM usage GROUP BY document_name",
     "f1_classify": "SELECT document_id, page_number, content_type FROM kind",
     "f3_empty_pages": r"SELECT document_id, page_number, (regexp_matches(trim(content), '(?i)^.+\.(webp|png|jpe?g|gif|bmp)$') OR regexp_replace(content, '\s+', '', 'g') <> '') AS kept FROM pg",
@@ -191,10 +208,12 @@ FINAL = {
     "f6_page_numbers": "SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_filter([CAST(l_linenumber AS BIGINT), l_partkey, 3], lambda x: x BETWEEN 1 AND 100))), ',') AS pages FROM lineitem",
     "f11_validate_concepts": "SELECT document_id, page_number, reason IS NULL AS valid, reason FROM checked",
     "f12_validate_keywords": "SELECT conv_id, turn, count(*) AS words FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w FROM conversations) WHERE regexp_replace(w, '\\s', '', 'g') <> '' GROUP BY 1, 2",
-    "f13_validate_entries": "SELECT document_id, key, turn AS page_number FROM gloss WHERE key <> '' AND turn > 0",
+    "f13_validate_entries": "SELECT document_id, key, turn AS page_number FROM gloss WHERE key <> '' AND conv_id % 5 <> 0",
     "f15_graph_edges": "SELECT document_id, source, target, type, CAST(ord AS VARCHAR) AS pages FROM edge",
-    "f16_evidence_floor": "SELECT o_custkey, o_orderkey FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS top FROM orders) WHERE o_totalprice >= 0.3::DOUBLE * top AND o_totalprice > 0",
-    "f17_scope": "SELECT document_id FROM docs WHERE doc_id % 7 = 0",
+    "f16_evidence_floor": "SELECT l.query_id, l.loaded, coalesce(e.kept, 0) AS kept, e.least FROM (SELECT query_id, count(*) AS loaded FROM load GROUP BY 1) l LEFT JOIN (SELECT query_id, count(*) AS kept, round(min(score), 6) AS least FROM ev GROUP BY 1) e USING (query_id)",
+    "f2_image_paths": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/abs/' || page_id || '.png' WHEN 1 THEN CASE page_id % 2 WHEN 0 THEN '/store/up/' ELSE '/docs/up/' END || page_id || '.png' ELSE CASE page_id % 2 WHEN 0 THEN '/store/data/img/' ELSE '/docs/web/img/' END || page_id || '.png' END AS path FROM pages",
+    "f14_image_errors": "SELECT document_id, batch_id, page_number, 'Batch ' || batch_id || ': image file for page ' || page_number || ' not readable: ' || content AS error FROM batch WHERE content_type = 'image' AND page_number % 10 = 0",
+    "f17_scope": "SELECT document_id FROM docs WHERE doc_id IN (7, 14, 100)",
     "f18_concept_search": "SELECT document_id, concept_id FROM con WHERE contains(lower(name), 'than') OR contains(lower(description), 'than') OR len(list_filter(keywords, lambda k: contains(k, 'than'))) > 0",
     "f19_question_search": "SELECT document_id, concept_id FROM (SELECT *, lower(name || ' ' || array_to_string(keywords, ' ') || ' ' || description) AS hay FROM con) WHERE contains(hay, 'where') OR contains(hay, 'the') OR contains(hay, 'scum')",
     "f20_links": "SELECT document_id, source, target, type, weight FROM lnk",
@@ -215,7 +234,7 @@ FINAL = {
     "j12_labels": "SELECT DISTINCT e.target AS id, coalesce(n.label, e.target) AS label FROM edge e LEFT JOIN node n ON n.id = e.target",
     "a1_merge_concepts": f"SELECT document_id, concept_id, name, md5(description) AS description_md5, {_join('pages')} AS pages, {_join('aliases', '|')} AS aliases, {_join('keywords')} AS keywords FROM con",
     "a2_edge_dedup": "SELECT DISTINCT document_id, source, target, type, CAST(ord AS VARCHAR) AS pages FROM rawedge",
-    "a3_keyword_set": "SELECT document_id, count(DISTINCT keyword) AS keywords FROM (SELECT document_id, unnest(keywords) AS keyword FROM raw) GROUP BY 1",
+    "a3_keyword_set": "SELECT DISTINCT document_id, unnest(keywords) AS keyword FROM raw",
     "a4_alias_last": "SELECT document_id, alias, concept_id FROM alias",
     "a5_glossary_first": "SELECT document_id, key, md5(arg_min(definition, turn)) AS definition_md5, min(turn) AS page_number FROM gloss WHERE key <> '' GROUP BY 1, 2",
     "a6_pages_extracted": "SELECT document_id, count(*) AS pages_extracted FROM batch GROUP BY 1",
@@ -224,11 +243,11 @@ FINAL = {
     "a9_entry_index": "SELECT document_id, key, min(turn) AS page_number FROM gloss WHERE key <> '' GROUP BY 1, 2",
     "a10_validation": "SELECT document_id, count(*) AS total, count(*) FILTER (reason IS NULL) AS valid, count(*) FILTER (reason IS NOT NULL) AS invalid FROM checked GROUP BY 1",
     "a11_concept_docs": "SELECT concept_id, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM rcon GROUP BY 1",
-    "a12_keyword_docs": "SELECT keyword, count(DISTINCT document_id) AS n_documents, min(document_id) AS first_document FROM post GROUP BY 1",
+    "a12_keyword_docs": "SELECT keyword, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM (SELECT DISTINCT keyword, document_id FROM post) GROUP BY 1",
     "a13_alias_first": "SELECT alias, concept_id FROM ralias",
-    "a14_tags": "SELECT category, count(DISTINCT document_id) AS n_documents FROM docs WHERE category IS NOT NULL GROUP BY 1",
+    "a14_tags": "SELECT category, string_agg(document_id, ',' ORDER BY document_id) AS documents FROM (SELECT DISTINCT category, document_id FROM docs) WHERE category <> '' GROUP BY 1",
     "a15_statistics": "SELECT (SELECT count(*) FROM docs) AS documents, (SELECT CAST(sum(pages) AS BIGINT) FROM docs) AS pages, (SELECT count(DISTINCT concept_id) FROM con) AS concepts, (SELECT count(*) FROM edge) AS relationships",
-    "a16_global_graph": "SELECT type, count(*) AS edges, count(DISTINCT source) AS sources FROM edge GROUP BY 1",
+    "a16_global_graph": "SELECT 'edge' AS kind, document_id, source AS id, target, type, CAST(ord AS VARCHAR) AS pages FROM edge UNION ALL SELECT DISTINCT 'node', NULL, concept_id, NULL, NULL, NULL FROM con",
     "a17_bm25_stats": "SELECT query_id, n, round(avg, 6) AS avg FROM stat",
     "a18_bm25": "SELECT query_id, concept_id, document_id, round(score, 6) AS score FROM bm",
     "a19_page_bm25": "SELECT query_id, document_id, page_number, round(score, 6) AS score, position FROM ev",
@@ -240,28 +259,23 @@ FINAL = {
     "a25_usage": "SELECT document_name, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens FROM usage GROUP BY 1",
     "a26_degree": "SELECT id, degree FROM deg",
     "a27_clusters": "SELECT component, CAST(sum(n) AS BIGINT) AS size, arg_max(doc, n * 100000000 - first) AS dominant_doc FROM (SELECT c.component, n.doc, count(*) AS n, min(n.idx) AS first FROM comp c JOIN node n USING (id) GROUP BY 1, 2) GROUP BY 1",
-    "a28_merged_graph": "SELECT doc, count(*) AS nodes FROM node GROUP BY 1",
+    "a28_merged_graph": "SELECT 'node' AS kind, doc AS document_id, id, NULL::VARCHAR AS other, idx AS n FROM node UNION ALL SELECT 'link', document_id, source, target, weight FROM lnk",
     "a29_link_weight": "SELECT weight, count(*) AS links FROM lnk GROUP BY 1",
     "a30_totals": "SELECT (SELECT count(*) FROM node) AS nodes, (SELECT count(DISTINCT doc) FROM node) AS documents, (SELECT CAST(sum(pages) AS BIGINT) FROM docs) AS pages, (SELECT count(*) FROM lnk) AS links",
-    "a31_neighbours": "SELECT a AS id, count(*) AS neighbours, min(b) AS first FROM adj GROUP BY 1",
+    "a31_neighbours": "SELECT a AS id, string_agg(b, ',' ORDER BY b) AS neighbours FROM adj GROUP BY 1",
     "a32_visible_counts": "SELECT (SELECT count(*) FROM shown) AS visible, (SELECT count(DISTINCT component) FROM shown) AS components, (SELECT count(*) FROM node) AS nodes, (SELECT count(*) FROM lnk l JOIN shown s ON s.id = l.source JOIN shown t ON t.id = l.target) AS links",
     "w1_runs": "SELECT document_id, page_number, run FROM run",
     "w2_batches": "SELECT document_id, page_number, batch_id FROM batch",
     "w3_batch_text": "SELECT document_id, batch_id, content_type, string_agg(page_number, ',' ORDER BY page_number) AS pages, md5(CASE WHEN content_type = 'text' THEN string_agg('### Page ' || page_number || chr(10) || content, chr(10) || chr(10) ORDER BY page_number) ELSE '' END) AS text_md5 FROM batch GROUP BY 1, 2, 3",
     "w4_ranked_lists": "SELECT query_id, concept_id, document_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept_id, document_id) AS position FROM bm) WHERE position <= 10",
     "w5_final_rank": "SELECT query_id, rank, concept_id, document_id FROM ranked WHERE rank <= 25",
-    "w6_context_budget": r"""SELECT query_id, length(x) AS chars, md5(x) AS context_md5 FROM (SELECT query_id, left(string_agg(shown, chr(10) ORDER BY tier, "at"), 2000) AS x FROM (
-        SELECT *, CASE WHEN cum <= 500 THEN text WHEN 500 - (cum - cost) > 0 AND part <> '' THEN part || chr(10) || '[... truncated to fit max_context_tokens]' END AS shown,
-            count(*) FILTER (cum > 500) OVER (PARTITION BY query_id ORDER BY tier, "at") AS ovr FROM (
-            SELECT *, regexp_replace(left(text, CAST(greatest(0, (500 - (cum - cost)) * 4 - 42) AS BIGINT)), '\s+$', '') AS part FROM (
-                SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY tier, "at") AS cum FROM (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS cost FROM block))))
-        WHERE ovr <= 1 AND shown IS NOT NULL GROUP BY 1)""",
+    "w6_context_budget": f"SELECT query_id, length(x) AS chars, md5(x) AS context_md5 FROM ({_context(500)})",
+    "e17_truncate": f"SELECT query_id, x AS context FROM ({_context(60)})",
     "w7_context_order": "SELECT query_id, tier, \"at\", CAST(ceil(length(text) / 4) AS BIGINT) AS cost FROM block",
     "w8_parallel_edges": "SELECT document_id, source, target, type, ord, pair_index, CASE WHEN n > 1 THEN 0.25::DOUBLE * (pair_index - (n - 1) / 2.0::DOUBLE) ELSE 0::DOUBLE END AS curvature FROM (SELECT *, row_number() OVER (PARTITION BY least(source, target), greatest(source, target) ORDER BY document_id, ord, source, type) - 1 AS pair_index, count(*) OVER (PARTITION BY least(source, target), greatest(source, target)) AS n FROM lnk)",
     "w9_call_numbers": "SELECT document_name, call_id, call_number FROM (SELECT *, row_number() OVER (PARTITION BY document_name ORDER BY ts, call_id) AS call_number FROM usage) WHERE call_number <= 100",
     "w10_radius": "SELECT id, round(least(32::DOUBLE, greatest(6::DOUBLE, 6 + degree / greatest(1, max(degree) OVER ())::DOUBLE * 26)), 6) AS radius, (degree * 7 + idx * 3) % 30 AS palette FROM deg",
-    "t3_evidence_cap": "SELECT l_suppkey, position, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS position FROM lineitem) WHERE position <= 35",
-    "t5_candidate_order": "SELECT query_id, concept_id, document_id, position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY concept_id, document_id) AS position FROM cand) WHERE position <= 5",
+    "t5_candidate_order": "SELECT query_id, concept_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY concept_id, document_id) AS position FROM cand",
     "t6_top_labels": "SELECT id FROM (SELECT *, row_number() OVER (ORDER BY degree DESC, idx) AS p FROM deg) WHERE p <= 30 OR degree >= 4",
     "t7_cards": "SELECT document_id, concept_id, array_to_string(keywords[1:4], ',') AS tags, md5(CASE WHEN length(description) > 140 THEN left(description, 140) || '…' ELSE description END) AS text_md5 FROM con",
     "x1_candidates": "SELECT query_id, concept_id, document_id FROM cand",
@@ -277,9 +291,16 @@ FINAL = {
     "e9_dashes": "SELECT c_custkey, " + _DASH.format("c_custkey || '–' || c_nationkey || '−1 a–b 10^‒4 e—7'") + " AS text FROM customer",
     "e10_scientific": "SELECT c_custkey, regexp_replace(regexp_replace(" + _DASH.format("'10^^^' || c_nationkey || '‒2 ^+-3'") + r", '\^\^+', '^', 'g'), '\^\+-', '^-', 'g') AS text FROM customer",
     "e11_blank_lines": "SELECT c_custkey, regexp_replace(c_name || repeat(chr(10), CAST(c_custkey % 6 AS BIGINT)) || 'x', '\\n{3,}', chr(10) || chr(10), 'g') AS text FROM customer",
-    "e14_headers": "SELECT r.document_id, r.line, r.n FROM rep r JOIN (SELECT document_id, count(*) AS pages FROM framed GROUP BY 1) p USING (document_id) WHERE p.pages >= 3 AND r.n >= 3 AND r.n >= 0.5 * p.pages AND (r.mean_position < 0.15 OR r.mean_position > 0.85)",
+    "e14_headers": "SELECT document_id, line, n FROM headed",
     "e16_tokens": "SELECT document_id, CAST(sum(ceil(length(content) / 4)) AS BIGINT) AS tokens FROM pg GROUP BY 1",
-    "e17_truncate": r"SELECT document_id, page_number, regexp_replace(left(content, 58), '\s+$', '') || '…' AS text FROM pg WHERE length(content) > 100",
+    "e22_data_urls": "SELECT page_id, m AS mime, md5('data:' || m || ';base64,' || to_base64(encode(url))) AS url_md5 FROM (SELECT page_id, url, CASE page_id % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/jpeg' WHEN 3 THEN 'image/gif' WHEN 4 THEN 'image/bmp' ELSE 'image/webp' END AS m FROM pages)",
+    "e8_whitespace": r"SELECT conv_id, turn, md5(array_to_string(list_transform(string_split(chr(9) || ' ' || replace(text, ' ', '  ' || chr(9)) || ' ' || chr(10) || '  x  y ', chr(10)), lambda l: regexp_replace(trim(l, ' ' || chr(9)), '[ \t]+', ' ', 'g')), chr(10))) AS text_md5 FROM conversations",
+    "e12_paragraphs": rf"""SELECT doc_id, md5(substr(array_to_string(list_transform(l, lambda s, i: CASE WHEN i > 1 AND ({_PLAIN.format('s')}) AND length(s) < 120 AND l[i - 1] <> '' AND NOT regexp_matches(l[i - 1], '[.:?!]$') AND ({_PLAIN.format('l[i - 1]')}) THEN ' ' ELSE chr(10) END || s), ''), 2)) AS text_md5
+        FROM (SELECT doc_id, string_split(regexp_replace(text, '([,.]) ', '\1' || chr(10), 'g'), chr(10)) AS l FROM documents WHERE text IS NOT NULL)""",
+    "e26_answers": f"""SELECT conv_id, turn, md5(array_to_string(list_transform(list_filter(regexp_split_to_array({_ESC.replace("coalesce(html, '')", 'x')}, '\\n{{2,}}'), lambda p: trim(p, ' ' || chr(9) || chr(10)) <> ''), lambda p: '<p>' || replace(trim(p, ' ' || chr(9) || chr(10)), chr(10), '<br>') || '</p>'), '')) AS html_md5
+        FROM (SELECT conv_id, turn, text || chr(10) || chr(10) || ' <b>&' || chr(10) || 'next' || repeat(chr(10), 3) || role AS x FROM conversations)""",
+    "e15_clean_documents": "SELECT f.document_id, f.page_number, md5(CASE WHEN g.l IS NULL THEN f.content ELSE array_to_string(list_filter(CASE WHEN string_split(f.content, chr(10))[-1] = '' THEN string_split(f.content, chr(10))[1:-2] ELSE string_split(f.content, chr(10)) END, lambda s: NOT list_contains(g.l, trim(s))), chr(10)) END) AS content_md5 FROM framed f LEFT JOIN (SELECT document_id, list(line) AS l FROM headed GROUP BY 1) g USING (document_id)",
+    "g6_forces": "SELECT id, round(4 + least(32::DOUBLE, greatest(6::DOUBLE, 6 + degree / greatest(1, max(degree) OVER ())::DOUBLE * 26)), 6) AS collide, CASE WHEN degree = 0 THEN -60::DOUBLE ELSE -200 - 3 * degree::DOUBLE END AS charge FROM deg",
     "e23_filenames": r"""SELECT p_partkey, regexp_replace(regexp_replace(' a/b:' || p_name || '?.. ', '[\\/:*?"<>|]', '_', 'g'), '^[. ]+|[. ]+$', '', 'g') AS name FROM part""",
     "e24_model_id": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'lab/' || n_name ELSE 'provider/' || n_name END AS model FROM nation",
     "e25_escape": f"SELECT page_id, md5({_ESC}) AS html_md5 FROM pages",
@@ -306,13 +327,18 @@ _BENCH = {
 }
 
 
-def _bench() -> str:
-    own = {k: CTE[k] for k in _BENCH}
-    CTE.update(_BENCH)
+def _with(tables: dict[str, str], final: str) -> str:
+    """``final`` with some of the common tables changed."""
+    own = {k: CTE[k] for k in tables}
+    CTE.update(tables)
     try:
-        return sql("SELECT query_id, position, concept_id, document_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept_id, document_id) AS position FROM bm) WHERE position <= 5")
+        return sql(final)
     finally:
         CTE.update(own)
 
 
-ORACLE_SQL = {name: sql(text) for name, text in FINAL.items()} | {"bench_bm25": _bench()}
+_TOP_100 = {"want": "SELECT query_id, document_id, page_number, min(rank) AS rank FROM (SELECT query_id, document_id, unnest(pages) AS page_number, rank FROM top100) GROUP BY 1, 2, 3"}
+ORACLE_SQL = {name: sql(text) for name, text in FINAL.items()} | {
+    "bench_bm25": _with(_BENCH, "SELECT query_id, position, concept_id, document_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, concept_id, document_id) AS position FROM bm) WHERE position <= 5"),
+    "t3_evidence_cap": _with(_TOP_100, "SELECT query_id, position, document_id, page_number, round(score, 6) AS score FROM ev"),
+}

@@ -31,8 +31,7 @@ def joined(x, sep=","):
 # -- sources, formatters ---------------------------------------------------
 @query
 def s18_scope_scan(c):
-    scope = c.documents.where("doc_id % 10 = 0").select("document_id")
-    return c.postings.join(scope, "document_id", "left_semi").select("document_id", "keyword", "concept_id")
+    return retrieval.in_scope(c.postings, _scope(c)).select("document_id", "keyword", "concept_id")
 
 
 @query
@@ -51,26 +50,27 @@ def s20_page_scan(c):
 
 
 def _tagged(c):
-    return c.documents.where("doc_id % 5 = 0").select("document_id", F.when(F.col("doc_id") % 10 == 0, F.array("category", F.lit("größe"))).otherwise(F.array().cast("array<string>")).alias("tags"))
-
-
-def _some_pages(c):
-    return c.pages.join(_tagged(c).select("document_id"), "document_id", "left_semi")
+    """All documents; every other one has tags."""
+    return c.documents.select("document_id", F.when(F.col("doc_id") % 2 == 0, F.array("category", F.lit("größe"))).otherwise(F.array().cast("array<string>")).alias("tags"))
 
 
 @query
 def k1_format_markdown(c):
-    return build.format_markdown(_tagged(c), _some_pages(c)).select("document_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+    return build.format_markdown(_tagged(c), c.pages).select("document_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 @query
 def k2_format_text(c):
-    return build.format_text(_tagged(c), _some_pages(c)).select("document_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
+    return build.format_text(_tagged(c), c.pages).select("document_id", F.length("text").cast("long").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 @query
 def k3_format_json(c):
-    return build.format_json(_tagged(c), _some_pages(c)).select("document_id", F.size(F.from_json("text", "FileContent array<struct<page_no:int,content:string>>")["FileContent"]).cast("long").alias("pages"))
+    """What the JSON holds, read back: name, tags, and every page."""
+    kind = "FileName string, Metadata array<string>, FileContent array<struct<page_no:int,content:string>>"
+    rows = build.format_json(_tagged(c), c.pages).select(F.from_json("text", kind).alias("j"))
+    page = F.transform("j.FileContent", lambda p: F.concat(p["page_no"].cast("string"), F.lit(":"), p["content"]))
+    return rows.select(F.col("j.FileName").alias("document_id"), joined("j.Metadata", "|").alias("tags"), F.size("j.FileContent").cast("long").alias("pages"), F.md5(F.array_join(page, "\n")).alias("content_md5"))
 
 
 @query
@@ -129,7 +129,9 @@ def f12_validate_keywords(c):
 
 @query
 def f13_validate_entries(c):
-    return c.glossary.where((F.col("key") != "") & (F.col("page_number") > 0)).select("document_id", "key", "page_number")
+    turns = c.table("conversations").select(F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("document_id"), F.col("turn").cast("long").alias("turn"))
+    allowed = turns.groupBy("document_id").agg(F.collect_set("turn").alias("allowed"))
+    return build.validate_entries(c.glossary, allowed).select("document_id", "key", "page_number")
 
 
 @query
@@ -137,16 +139,33 @@ def f15_graph_edges(c):
     return c.edges.select("document_id", "source", "target", "type", joined("page_numbers").alias("pages"))
 
 
+@query
+def f2_image_paths(c):
+    """Relative, absolute and dotted paths against a root or a folder."""
+    path = F.concat(F.when(F.col("page_id") % 3 == 0, "/abs/./").when(F.col("page_id") % 3 == 1, "../up/").otherwise("img//"), F.col("page_id").cast("string"), F.lit(".png"))
+    root = F.when(F.col("page_id") % 2 == 0, F.lit("/store/data"))
+    return c.table("pages").select("page_id", T.image_path(path, root, F.lit("/docs/web")).alias("path"))
+
+
+@query
+def f14_image_errors(c):
+    """Image pages whose file is not in a listing that lacks every tenth."""
+    files = c.media.where("page_number % 10 <> 0").select(F.col("content").alias("path"))
+    return build.image_errors(build.batch_table(_batched(c)), files).select("document_id", "batch_id", "page_number", "error")
+
+
 @query
 def f16_evidence_floor(c):
-    w = Window.partitionBy("o_custkey")
-    return c.table("orders").withColumn("top", F.max("o_totalprice").over(w)).where("o_totalprice >= 0.3 * top and o_totalprice > 0").select("o_custkey", "o_orderkey")
+    """Pages loaded for a question, and those that reach the floor and the cap."""
+    loaded = retrieval.load_pages(_top(c), c.store, TOP_K).groupBy("query_id").agg(F.count("*").alias("loaded"))
+    kept = _evidence(c).groupBy("query_id").agg(F.count("*").alias("kept"), F.round(F.min("score"), 6).alias("least"))
+    return loaded.join(kept, "query_id", "left").select("query_id", "loaded", F.coalesce("kept", F.lit(0)).alias("kept"), "least")
 
 
 @query
 def f17_scope(c):
-    wanted = c.documents.where("doc_id % 7 = 0").select("document_id").union(c.documents.where("doc_id % 14 = 0").select("document_id"))
-    return c.documents.join(wanted.distinct(), "document_id", "left_semi").select("document_id")
+    """Names with a repeat -> the documents in scope."""
+    return retrieval.resolve_scope(["doc-7", "doc-14", "doc-7", "doc-100"], c.documents)
 
 
 @query
@@ -210,31 +229,28 @@ def _terms(c):
 
 
 def _scope(c):
-    return c.documents.where("doc_id % 2 = 0").select("document_id")
+    """Documents of the sources whose name ends in an even digit."""
+    return c.documents.where(F.col("category").rlike("[02468]$")).select("document_id")
 
 
 @query
 def j1_alias_join(c):
-    rows = _terms(c).select("query_id", T.normalize_term("term").alias("alias")).distinct().join(c.registry_aliases, "alias")
-    return rows.join(c.store.registry_concepts.join(_scope(c), "document_id", "left_semi"), "concept_id").select("query_id", "concept_id", "document_id").distinct()
+    return retrieval.by_registry_alias(_terms(c), c.store, _scope(c)).distinct()
 
 
 @query
 def j2_slug_join(c):
-    rows = _terms(c).select("query_id", T.slugify("term", "").alias("concept_id")).distinct()
-    return rows.join(c.store.registry_concepts, "concept_id").select("query_id", "concept_id", "document_id")
+    return retrieval.by_slug(_terms(c), c.store, c.documents.select("document_id"))
 
 
 @query
 def j3_local_alias(c):
-    rows = _terms(c).select("query_id", T.normalize_term("term").alias("alias")).distinct()
-    return rows.join(c.local_aliases, "alias").select("query_id", "document_id", "concept_id").distinct()
+    return retrieval.by_local_alias(_terms(c), c.store, c.documents.select("document_id"))
 
 
 @query
 def j4_keyword_join(c):
-    rows = _terms(c).select("query_id", T.normalize_term("term").alias("keyword")).distinct()
-    return rows.join(c.postings.join(_scope(c), "document_id", "left_semi"), "keyword").groupBy("query_id", "keyword").agg(F.count("*").alias("hits"))
+    return retrieval.by_keyword(_terms(c), c.store, _scope(c)).groupBy("query_id", "keyword").agg(F.count("*").alias("hits"))
 
 
 def _found(c):
@@ -252,7 +268,7 @@ def _top(c, k=25):
 
 @query
 def j5_scope_intersection(c):
-    return c.store.registry_concepts.join(_scope(c), "document_id", "left_semi").groupBy("concept_id").agg(F.count("*").alias("n_documents"))
+    return retrieval.in_scope(c.store.registry_concepts, _scope(c)).groupBy("concept_id").agg(F.count("*").alias("n_documents"))
 
 
 @query
@@ -299,7 +315,7 @@ def a2_edge_dedup(c):
 
 @query
 def a3_keyword_set(c):
-    return c.raw_concepts.select("document_id", F.explode("keywords").alias("keyword")).distinct().groupBy("document_id").agg(F.count("*").alias("keywords"))
+    return build.keyword_set(c.raw_concepts)
 
 
 @query
@@ -349,7 +365,7 @@ def a11_concept_docs(c):
 
 @query
 def a12_keyword_docs(c):
-    return build.registry_keywords(c.postings)
+    return build.registry_keywords(c.postings).select("keyword", joined("documents").alias("documents"))
 
 
 @query
@@ -359,7 +375,7 @@ def a13_alias_first(c):
 
 @query
 def a14_tags(c):
-    return build.registry_tags(c.documents)
+    return build.registry_tags(c.documents).select("category", joined("documents").alias("documents"))
 
 
 @query
@@ -369,12 +385,16 @@ def a15_statistics(c):
 
 @query
 def a16_global_graph(c):
-    return c.edges.groupBy("type").agg(F.count("*").alias("edges"), F.count_distinct("source").alias("sources"))
+    """All nodes and all edges of the global graph."""
+    nodes, edges = build.global_graph(c.concepts, c.edges)
+    none = F.lit(None).cast("string")
+    rows = edges.select(F.lit("edge").alias("kind"), "document_id", F.col("source").alias("id"), "target", "type", joined("page_numbers").alias("pages"))
+    return nodes.select(F.lit("node").alias("kind"), none.alias("document_id"), F.col("concept_id").alias("id"), none.alias("target"), none.alias("type"), none.alias("pages")).unionByName(rows)
 
 
 @query
 def a17_bm25_stats(c):
-    stats, _ = retrieval.bm25_stats(_found(c), c.store)
+    stats = retrieval.bm25_stats(_found(c), c.store)
     return stats.select("query_id", "n", F.round("avg", 6).alias("avg"))
 
 
@@ -431,7 +451,10 @@ def a27_clusters(c):
 
 @query
 def a28_merged_graph(c):
-    return c.nodes.groupBy("doc").agg(F.count("*").alias("nodes"))
+    """Nodes with their place, and the links between them."""
+    none = F.lit(None).cast("string")
+    rows = c.links.select(F.lit("link").alias("kind"), "document_id", F.col("source").alias("id"), F.col("target").alias("other"), F.col("weight").alias("n"))
+    return c.nodes.select(F.lit("node").alias("kind"), F.col("doc").alias("document_id"), "id", none.alias("other"), F.col("idx").alias("n")).unionByName(rows)
 
 
 @query
@@ -447,7 +470,9 @@ def a30_totals(c):
 
 @query
 def a31_neighbours(c):
-    return graph.adjacency(c.links).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("neighbours"), F.min("b").alias("first"))
+    """The neighbours of every node."""
+    near = graph.adjacency(c.links).groupBy(F.col("a").alias("id"))
+    return near.agg(F.array_join(F.array_sort(F.collect_list("b")), ",").alias("neighbours"))
 
 
 @query
@@ -515,14 +540,14 @@ def w10_radius(c):
 
 @query
 def t3_evidence_cap(c):
-    at = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"))
-    return c.table("lineitem").withColumn("position", at.cast("long")).where(F.col("position") <= retrieval.EVIDENCE_CAP).select("l_suppkey", "position", "l_orderkey", "l_linenumber")
+    """Evidence of many candidates, where the cap on pages holds."""
+    top = _top(c, 100)
+    return retrieval.evidence(top, _terms(c), c.store, 100).select("query_id", "position", "document_id", "page_number", F.round("score", 6).alias("score"))
 
 
 @query
 def t5_candidate_order(c):
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy("concept_id", "document_id"))
-    return _found(c).withColumn("position", at.cast("long")).where("position <= 5").select("query_id", "concept_id", "document_id", "position")
+    return retrieval.candidate_order(_found(c)).select("query_id", "concept_id", "document_id", "position")
 
 
 @query
@@ -591,6 +616,24 @@ def e4_fallback_tokens(c):
     return c.table("conversations").select("conv_id", "turn", joined(T.query_words("text"), " ").alias("words"))
 
 
+@query
+def e8_whitespace(c):
+    text = F.concat(F.lit("\t "), F.replace("text", F.lit(" "), F.lit("  \t")), F.lit(" \n  x  y "))
+    return c.table("conversations").select("conv_id", "turn", F.md5(T.clean_whitespace(text)).alias("text_md5"))
+
+
+@query
+def e12_paragraphs(c):
+    """Lines of prose joined where they go on: sentences are put on lines of their own."""
+    return c.table("documents").where("text is not null").select("doc_id", F.md5(T.merge_paragraphs(F.regexp_replace("text", "([,.]) ", "$1\n"))).alias("text_md5"))
+
+
+@query
+def e26_answers(c):
+    text = F.concat("text", F.lit("\n\n <b>&\nnext\n\n\n"), F.col("role"))
+    return c.table("conversations").select("conv_id", "turn", F.md5(T.answer_paragraphs(text)).alias("html_md5"))
+
+
 @query
 def e7_ligatures(c):
     return c.table("part").select("p_partkey", T.fix_ligatures(F.concat(F.lit("ﬁne ﬂow oﬃce "), F.col("p_name"))).alias("text"))
@@ -617,6 +660,13 @@ def e13_cleanup(c):
     return c.table("conversations").select("conv_id", "turn", F.length(T.cleanup_page("text")).cast("long").alias("chars"))
 
 
+@query
+def e15_clean_documents(c):
+    """Documents of one source without their running heads and feet."""
+    left = build.remove_headers(c.framed)
+    return left.select("document_id", "page_number", F.md5("content").alias("content_md5"))
+
+
 @query
 def e14_headers(c):
     return build.header_lines(c.framed).select("document_id", "line", "n")
@@ -629,8 +679,16 @@ def e16_tokens(c):
 
 @query
 def e17_truncate(c):
-    cut = F.regexp_replace(F.substring("content", 1, 58), r"\s+$", "")
-    return c.pages.where(F.length("content") > 100).select("document_id", "page_number", F.concat(cut, F.lit("…")).alias("text"))
+    """Contexts of so few tokens that the first long block is cut."""
+    return retrieval.build_context(_top(c), _evidence(c), 60).select("query_id", "context")
+
+
+@query
+def e22_data_urls(c):
+    """MIME types by extension, and the content as a data URL."""
+    kind = F.element_at(F.array(*map(F.lit, (".png", ".JPG", ".jpeg", ".gif", ".bmp", ".webp", ""))), (F.col("page_id") % 7 + 1).cast("int"))
+    name = F.concat(F.lit("img/"), F.col("page_id").cast("string"), kind)
+    return c.table("pages").select("page_id", T.mime_type(name).alias("mime"), F.md5(T.data_url(name, F.encode("url", "UTF-8"))).alias("url_md5"))
 
 
 @query
@@ -679,7 +737,7 @@ def g2_bfs(c):
 @query
 def g3_expansion(c):
     reached = graph.bfs(retrieval.seeds(_terms(c), c.store, c.documents.select("document_id")), graph.adjacency(c.edges), DEPTH)
-    return reached.join(c.store.registry_concepts, "concept_id").join(_scope(c), "document_id", "left_semi").select("query_id", "concept_id", "document_id")
+    return retrieval.in_scope(reached.join(c.store.registry_concepts, "concept_id"), _scope(c)).select("query_id", "concept_id", "document_id")
 
 
 @query
@@ -692,6 +750,12 @@ def g5_components(c):
     return _components(c)
 
 
+@query
+def g6_forces(c):
+    rows = graph.forces(graph.degrees(c.links, c.nodes))
+    return rows.select("id", F.round("collide", 6).alias("collide"), F.round("charge", 6).alias("charge"))
+
+
 @query
 def g7_neighbourhood(c):
     return graph.neighbourhood(graph.adjacency(c.links), _centres(c))
@@ -699,7 +763,7 @@ def g7_neighbourhood(c):
 
 @query
 def u6_no_result(c):
-    return c.intents.select("query_id").join(_found(c).select("query_id"), "query_id", "left_anti")
+    return retrieval.unanswered(c.intents, _found(c))
 
 
 @query
