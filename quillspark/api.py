@@ -1,6 +1,8 @@
 """Build a knowledge store from parsed pages, ask it, browse it."""
 from __future__ import annotations
 
+import asyncio
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,7 @@ class Config:
     buckets: int = sinks.BUCKETS
     image_folder: str | None = None  # where image pages' files lie; their paths are relative to it
     append_metadata: dict[str, str] = field(default_factory=dict)
+    dump: str | None = None  # a shared folder to which the steps of a question write their tables
 
 
 TABLES = ("documents", "pages", "concepts", "edges", "postings", "local_aliases", "glossary", "procedures", "apis", "usage", "validation", "alias_log", "terms")
@@ -161,6 +164,8 @@ class Answer:
 
 def ask_all(intents: DataFrame, store: retrieval.Store, scope: DataFrame, config: Config | None = None) -> Answer:
     config, ws = config or Config(), Workspace(intents.sparkSession, "ask")
+    if config.dump:
+        ws.root, ws._noted = config.dump.rstrip("/"), True  # stays
     terms = ws.keep(retrieval.plan_terms(intents), "terms")
     found = ws.keep(retrieval.candidates(terms, store, scope, config.relationship_depth), "found")
     lists = [
@@ -198,6 +203,17 @@ def ask(spark: SparkSession, root: str, question: str, scope: list[str] | str =
     }
 
 
+def run_sync(call):
+    """The result of a coroutine, in a thread of its own where a loop runs already:
+    providers whose interface is asynchronous are called so from a task."""
+    try:
+        asyncio.get_running_loop()
+    except RuntimeError:
+        return asyncio.run(call)
+    with ThreadPoolExecutor(1) as pool:
+        return pool.submit(asyncio.run, call).result()
+
+
 # -- browsing ----------------------------------------------------------------------
 def list_bundles(spark: SparkSession, root: str) -> DataFrame:
     title = F.coalesce(F.expr("nullif(title, '')"), F.col("document_id"))
@@ -227,6 +243,14 @@ def indexes(spark: SparkSession, root: str, document_id: str) -> dict[str, DataF
     return {"keyword": build.keyword_index(here("postings")), "page": build.page_index(here("concepts")), "alias": here("local_aliases"), "glossary": here("glossary"), "procedure": here("procedures"), "api": here("apis")}
 
 
+def export_bundles(spark: SparkSession, root: str, path: str) -> None:
+    """Every table of the current state as JSON below ``path/<table>/document_id=...``,
+    keys sorted, for readers outside Spark; ``validation`` is the report."""
+    state = sinks.current_snapshot(spark, root)
+    for table in TABLES:
+        sinks.export_json(state.read(spark, table), f"{path}/{table}", "document_id")
+
+
 def merged_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     state = sinks.current_snapshot(spark, root)
     nodes = graph.with_idx(graph.nodes(state.read(spark, "concepts")))

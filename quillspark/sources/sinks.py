@@ -124,12 +124,13 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return current_snapshot(spark, root).read(spark, table)
 
 
-def export_json(df: DataFrame, path: str) -> None:
+def export_json(df: DataFrame, path: str, *folders: str) -> None:
     """One JSON object per line with its keys sorted, for readers outside Spark;
-    maps come as objects whose keys are sorted, too."""
+    maps come as objects whose keys are sorted, too.  The columns ``folders`` become
+    folders instead."""
     def ordered(name: str, kind: str):
         if kind.startswith("map<"):
             return F.map_from_entries(F.array_sort(F.map_entries(name))).alias(name)
         return F.col(name)
 
-    df.select(*[ordered(c, t) for c, t in sorted(df.dtypes)]).write.mode("overwrite").json(path)
+    df.select(*[ordered(c, t) for c, t in sorted(df.dtypes)]).write.mode("overwrite").partitionBy(*folders).json(path)

@@ -41,6 +41,7 @@ class Workspace:
         ship(spark)
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self._noted = False
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -48,6 +49,11 @@ class Workspace:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back with its own schema."""
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        if not self._noted:  # removed when the application ends
+            self._noted = True
+            jvm = self.spark.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(self.root)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -1,15 +1,20 @@
 import contextlib
+import http.server
 import io
 import json
 import sys
+import threading
 import types
+import urllib.error
+import urllib.request
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark import api
+from quillspark import api, providers
 from quillspark.operators import build, extract
+from quillspark.server import make_server
 from quillspark.sources import readers, sinks
 from quillspark.streaming.ingest import ingest
 
@@ -304,6 +309,86 @@ def test_image_pages(spark, tmp_path):
     assert [r["error"] for r in build.image_errors(batches, files).collect()] == ["Batch 1: image file for page 3 not readable: /b"]
 
 
+def test_server(spark, pages, tmp_path):
+    root = str(tmp_path / "kb")
+    api.build_kb(pages, root)
+    server = make_server(spark, root, 0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}/api/"
+
+    def get(path, body=None):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(base + path, json.dumps(body).encode() if body is not None else None)) as r:
+                return r.status, json.load(r)
+        except urllib.error.HTTPError as e:
+            return e.code, json.load(e)
+
+    assert [b["document_id"] for b in get("bundles")[1]["bundles"]] == ["doc-a", "doc-b"]
+    assert get("registry")[1]["documents"] == 2 and get("bundle/doc-a")[1]["document"]["title"] == "A"
+    assert get("bundle/doc-a/concept/sample-magic-arts")[1]["name"] == "sample magic arts"
+    assert get("bundle/doc-a/page/2")[1]["content"].startswith("sample energy")
+    assert {n["id"] for n in get("graph/all")[1]["nodes"]} >= {"sample-magic-arts"} and set(get("bundle/doc-b/indexes")[1]["indexes"]) >= {"keyword_index", "page_index"}
+    assert [get(p)[0] for p in ("bundle/doc-x", "bundle/doc-a/page/9", "nothing")] == [404] * 3
+    assert get("ask", {"query": "which magic is taught?"})[1]["documents_used"] == ["doc-a", "doc-b"]
+    assert [get("ask", b)[0] for b in ({}, {"query": "x", "scope": "doc-a"}, {"query": "x", "scope": ["doc-x"]})] == [400] * 3
+    server.shutdown()
+
+
+def test_chat_provider():
+    """The request, the answer and the kinds of errors, against a local service."""
+    seen, replies = [], []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, self.headers["Authorization"], json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            status, body = replies.pop(0)
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_):
+            pass
+
+    service = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=service.serve_forever, daemon=True).start()
+    chat = providers.ChatProvider(f"http://127.0.0.1:{service.server_address[1]}/v1/", "m", "Be brief.", "key", extra_body={"top_p": 1})
+    good = {"choices": [{"message": {"content": "{}"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}
+    replies += [(200, good), (200, {"choices": [{"message": {"content": [{"text": "a"}, {"text": "b"}]}}]})]
+    assert chat.complete("hello") == ("{}", 3, 2) and chat.complete("see", ["data:x"]) == ("ab", 0, 0)
+    assert seen[0] == ("/v1/chat/completions", "Bearer key", {"model": "m", "messages": [{"role": "system", "content": "Be brief."}, {"role": "user", "content": "hello"}], "temperature": 0.0, "top_p": 1})
+    assert seen[1][2]["messages"][1]["content"] == [{"type": "text", "text": "see"}, {"type": "image_url", "image_url": {"url": "data:x"}}]
+    for status, body, kind in ((401, {}, extract.AuthenticationError), (429, {}, providers.RateLimited), (400, {}, providers.BadRequest), (503, {}, extract.ProviderError), (200, {}, extract.ProviderError), (200, {"choices": [{"message": {"content": ""}}]}, extract.ProviderError)):
+        replies.append((status, body))
+        with pytest.raises(kind):
+            chat.complete("x")
+    replies += [(429, {}), (503, {}), (200, good)]
+    assert extract.call_provider(chat, "x", None, 3, 0)[0] == "{}"
+    replies += [(401, {}), (200, good)]
+    with pytest.raises(extract.AuthenticationError):  # not tried again
+        extract.call_provider(chat, "x", None, 3, 0)
+    service.shutdown()
+    assert providers.full_name("m", "p") == "p/m" and providers.full_name("a/m", "p") == "a/m"
+
+
+def test_run_sync():
+    async def one():
+        return 1
+
+    async def inside():
+        return api.run_sync(one())
+
+    assert api.run_sync(one()) == 1 and api.run_sync(inside()) == 1
+
+
+def test_export_and_dump(spark, pages, tmp_path):
+    root, out = str(tmp_path / "kb"), tmp_path / "out"
+    api.build_kb(pages, root)
+    api.export_bundles(spark, root, str(out))
+    assert {p.name for p in (out / "concepts").iterdir() if p.is_dir()} == {"document_id=doc-a", "document_id=doc-b"}
+    api.ask(spark, root, "which magic is taught?", config=api.Config(dump=str(tmp_path / "steps")))
+    assert {"terms", "found", "bm25", "top", "evidence"} <= {p.name for p in (tmp_path / "steps").iterdir()}
+
+
 def test_export_sorts_keys(spark, tmp_path):
     df = spark.createDataFrame([(2, {"z": 1, "a": 2})], "b int, a map<string,int>")
     sinks.export_json(df, str(tmp_path / "out"))
