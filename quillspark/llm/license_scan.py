@@ -170,7 +170,10 @@ OTHER = [
 # Words that alone say nothing about a licence.
 STOP = "a an and any are as at be by can de der die du el en for from has he http https in is it its la le not of on or that the their this to was were who with without you your work use file files copy may part person terms form forms all more".split()
 
-_SPACE = r"[^a-z0-9.]+"
+#: Characters between words: all of ASCII but letters, digits and dots; letters outside
+#: ASCII belong to words.
+_SPACE = r"[\x00-\x2d\x2f\x3a-\x60\x7b-\x7f]+"
+_SPACE_OR_DOT = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _DOT = r"\.(?![0-9])|(?<![0-9])\."
 OTHER_CLASS, UNKNOWN_CLASS = "none", "unknown"
 #: Steps in which the words' evidence is counted before paragraphs are scored.
@@ -186,7 +189,7 @@ def grams_of(text: str) -> list[str]:
 
 
 def words_column(text):
-    """Words of a paragraph: lower case, letters, digits and inner dots."""
+    """Words of a paragraph: lower case, letters, digits and dots before digits."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), _SPACE, " "), _DOT, " ")
     return F.filter(F.split(plain, " +"), lambda w: w != "")
 
@@ -308,7 +311,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model=
     classes, weights, intercepts, heat = model or train()
     lines = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(text_col, _BREAK)).alias("paragraph", "line"))
     steps = evidence((classes, weights, intercepts, heat))
-    tokens = F.split(F.lower("line"), "[^a-z0-9]+")
+    tokens = F.split(F.lower("line"), _SPACE_OR_DOT)
     some = [w for step in steps for w in step]
     lines = lines.where(F.exists(tokens, lambda w: w.isin(some)))
     told = F.array_distinct(F.filter(tokens, lambda w: w.isin(some)))
