@@ -33,9 +33,11 @@ SHORT = 12
 #: Times that loose sets are tested against one member before all of them are.
 ROUNDS = 2
 #: Rows of a long tile in one chunk of it; a task compares two chunks at a time.
-CHUNK = 1024
+CHUNK = 4096
 #: Documents that hold a shingle's slot beyond which its tile is salted.
 HOT = 8192
+#: Bits of a prefix row's size column that hold the size.
+SALT_BITS = 32
 #: Prefix rows of one partition.
 PREFIX_ROWS = 4_000_000
 #: Members of one band leader that one task checks.
@@ -144,13 +146,13 @@ def slot_salts(counts: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(width: int, percent: int, levels):
-    """Rows (token, salt, skey, n) of every distinct set's prefix; ``salt`` is -1 where
-    a tile is whole, else its part."""
+    """Rows (token, skey, size) of every distinct set's prefix.  ``size`` holds the set's
+    size and above SALT_BITS the part of the tile, from 1; 0 where the tile is whole."""
 
     def run(batches):
         (order, salts), done = levels.value, set()
         for batch in batches:
-            tok, key, num, part = [], [], [], []
+            tok, key, part = [], [], []
             for _, grams in shingle_sets(batch.column(1), width):
                 n = len(grams)
                 if not n or (k := _set_key(grams)) in done:
@@ -162,13 +164,12 @@ def _prefixes(width: int, percent: int, levels):
                 first = np.argpartition(ranked, p - 1)[:p] if p < n else np.arange(n)
                 tok.append(ranked[first])
                 parts = salts[slot[first]]
-                part.append(np.where(parts > 1, k % np.maximum(parts, 1), -1).astype(np.int32))
+                part.append(np.where(parts > 1, k % np.maximum(parts, 1) + 1, 0) << SALT_BITS | n)
                 key.append(np.full(len(tok[-1]), k, np.int64))
-                num.append(np.full(len(tok[-1]), n, np.int32))
             if tok:
                 yield pa.record_batch(
-                    [pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(part)), pa.array(np.concatenate(key)), pa.array(np.concatenate(num))],
-                    ["token", "salt", "skey", "n"],
+                    [pa.array(np.concatenate(tok).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(part))],
+                    ["token", "skey", "size"],
                 )
 
     return run
@@ -180,15 +181,16 @@ def least_share(n: int, percent: int) -> int:
 
 
 def _tiles(percent: int):
-    """Rows sorted by (token, salt, n, skey) -> candidate pairs (kind 0: a, b) and
+    """Rows sorted by (token, size, skey) -> candidate pairs (kind 0: a, b) and
     the rows of long tiles (kind 1: a = token, b = skey, n).  A part of a salted tile
     counts as long, so that its rows meet those of the other parts later."""
 
-    def pairs_of(tok, salt, key, n, opened):
+    def pairs_of(tok, key, both, opened):
         """Whole tiles, or parts of the tile of token ``opened``, which is long."""
+        salt, n = both >> SALT_BITS, (both & ((1 << SALT_BITS) - 1)).astype(np.int32)
         cut = np.flatnonzero(np.append(True, (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])))
         size = np.diff(np.append(cut, len(tok)))
-        long = (size > SHORT) | (salt[cut] >= 0)
+        long = (size > SHORT) | (salt[cut] > 0)
         if opened is not None:
             long |= tok[cut] == opened
         rows = np.flatnonzero(np.repeat((size > 1) & ~long, size))
@@ -234,7 +236,7 @@ def _tiles(percent: int):
         held = opened = None
         left, right, held_pairs = [], [], 0
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols = [batch.column(i).to_numpy() for i in range(3)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
             tok = cols[0]
@@ -443,11 +445,12 @@ def similar(
     reps = ws.keep(
         sets.where("n > 0").groupBy("skey").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "reps"
     )
-    prefixes = docs.mapInArrow(_prefixes(width, percent, levels), "token long, salt int, skey long, n int")
+    prefixes = docs.mapInArrow(_prefixes(width, percent, levels), "token long, skey long, size long")
     # every prefix row is a few bytes, so partitions sized by the text would be small
     total_rows = int(total.sum(dtype=np.int64)) * (100 - percent) // 100
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_rows // PREFIX_ROWS))
-    tiles = prefixes.repartition(parts, "token", "salt").sortWithinPartitions("token", "salt", "n", "skey")
+    salt = F.shiftright("size", SALT_BITS)
+    tiles = prefixes.repartition(parts, "token", salt).sortWithinPartitions("token", "size", "skey")
     found = ws.keep(tiles.mapInArrow(_tiles(percent), "kind int, a long, b long, n int"), "tiles")
     pairs = ws.keep(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = _check(ws, docs, reps, pairs, "lead", width, percent)

@@ -148,7 +148,7 @@ def test_long_tile_in_parts():
     """A tile that comes in many batches loses no member."""
     n = 260_000
     key = np.arange(n, dtype=np.int64)
-    batches = [pa.record_batch([pa.array(np.full(len(k), 7, np.int64)), pa.array(np.full(len(k), -1, np.int32)), pa.array(k), pa.array(np.full(len(k), 9, np.int32))], ["token", "salt", "skey", "n"]) for k in np.array_split(key, 30)]
+    batches = [pa.record_batch([pa.array(np.full(len(k), 7, np.int64)), pa.array(k), pa.array(np.full(len(k), 9, np.int64))], ["token", "skey", "size"]) for k in np.array_split(key, 30)]
     posts = sum(int((b.column(0).to_numpy() == 1).sum()) for b in ngram_join._tiles(75)(iter(batches)))
     assert posts == n
 
