@@ -28,8 +28,9 @@ def keyed(docs: DataFrame, ws: Workspace, id_col: str = "doc_id") -> DataFrame:
     rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(F.col(id_col).cast("long"))).first()
     if rows == ids:
         return docs.withColumn(ROW, F.col(id_col).cast("long"))
-    late = docs.withColumns({f"{ROW}_late": F.col(id_col).isNull(), f"{ROW}_id": F.col(id_col).cast("long")})
-    return numbered(ws, late, [f"{ROW}_late", f"{ROW}_id"], "keyed", ROW).drop(f"{ROW}_late", f"{ROW}_id")
+    # the place in the input breaks ties, so that many rows of one id are many ranges
+    order = {f"{ROW}_late": F.col(id_col).isNull(), f"{ROW}_id": F.col(id_col).cast("long"), f"{ROW}_at": F.monotonically_increasing_id()}
+    return numbered(ws, docs.withColumns(order), [*order], "keyed", ROW).drop(*order)
 
 
 def named(found: DataFrame, docs: DataFrame, ws: Workspace, row_col: str = ROW, *others: str, id_col: str = "doc_id") -> DataFrame:

@@ -256,8 +256,8 @@ def repeats(
 
 def _strip(batches):
     for batch in batches:
-        at = batch.schema.names.index("_text")
-        cuts = batch.schema.names.index("_cuts")
+        at = batch.schema.names.index("_quillspark_text")
+        cuts = batch.schema.names.index("_quillspark_cuts")
         texts, spans = [], []
         for text, cut in zip(batch.column(at).to_pylist(), batch.column(cuts).to_pylist()):
             if not cut or text is None:
@@ -278,8 +278,8 @@ def _strip(batches):
                 parts.append(text[last:])
             texts.append("".join(parts))
             spans.append(kept)
-        batch = batch.set_column(at, "_text", pa.array(texts, pa.string()))
-        yield batch.set_column(cuts, "_kept", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))
+        batch = batch.set_column(at, "_quillspark_text", pa.array(texts, pa.string()))
+        yield batch.set_column(cuts, "_quillspark_kept", pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))
 
 
 def remove(docs: DataFrame, removed: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", spans: str | None = None) -> DataFrame:
@@ -289,12 +289,12 @@ def remove(docs: DataFrame, removed: DataFrame, ws: Workspace, id_col: str = "do
     parts' offsets in the original text.  Texts of which nothing is left are
     empty; rows without an id stay as they are.  Only the affected rows' spans
     travel: they are broadcast when their counted number allows it."""
-    cuts = removed.groupBy(id_col).agg(F.collect_list(F.struct("start", "stop")).alias("_cuts"))
-    cuts = ws.keep(cuts.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "_cut_id"), "cuts")
-    rows = docs.select(*[F.col(f"`{c}`").alias("_text" if c == text_col else c) for c in docs.columns])
-    rows = join_counted(rows.withColumn("_cut_id", F.col(id_col).cast("long")), cuts, "_cut_id", "left", size="_cuts").drop("_cut_id")
+    cuts = removed.groupBy(id_col).agg(F.collect_list(F.struct("start", "stop")).alias("_quillspark_cuts"))
+    cuts = ws.keep(cuts.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "_quillspark_cut_id"), "cuts")
+    rows = docs.select(*[F.col(f"`{c}`").alias("_quillspark_text" if c == text_col else c) for c in docs.columns])
+    rows = join_counted(rows.withColumn("_quillspark_cut_id", F.col(id_col).cast("long")), cuts, "_quillspark_cut_id", "left", size="_quillspark_cuts").drop("_quillspark_cut_id")
     kinds = dict(rows.dtypes)
-    fields = ", ".join(f"`{'_kept' if c == '_cuts' else c}` {'array<struct<start:bigint,stop:bigint>>' if c == '_cuts' else kinds[c]}" for c in rows.columns)
+    fields = ", ".join(f"`{'_quillspark_kept' if c == '_quillspark_cuts' else c}` {'array<struct<start:bigint,stop:bigint>>' if c == '_quillspark_cuts' else kinds[c]}" for c in rows.columns)
     done = rows.mapInArrow(_strip, fields)
-    names = [F.col("_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return done.select(*names, *([F.col("_kept").alias(spans)] if spans else []))
+    names = [F.col("_quillspark_text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return done.select(*names, *([F.col("_quillspark_kept").alias(spans)] if spans else []))

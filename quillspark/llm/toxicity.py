@@ -38,6 +38,8 @@ RANGE_BYTES = 32 << 20
 #: Standard deviations beyond which a difference between classes counts.
 CHANCE = 3.0
 THRESHOLD = 0.7
+#: The column of the score beside all columns of a table.
+SCORE = "_quillspark_score"
 
 
 def _bigrams(buf, offs):
@@ -65,13 +67,17 @@ def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted distinct hashes as their differences, equal places of all together,
-    compressed: the many zero bytes of small differences go."""
+    """Sorted distinct hashes: a few as they are, many as their differences, equal
+    places of all together, compressed; the zero bytes of small differences go."""
+    if len(x) < 32:
+        return x.tobytes()
     gaps = np.diff(x, prepend=x.dtype.type(0))
     return pa.Codec("zstd").compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
+    if n < 32:
+        return np.frombuffer(data, np.uint64)
     raw = pa.Codec("zstd").decompress(data, 8 * n, asbytes=True)
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel())
 
@@ -83,23 +89,30 @@ def _distinct(needed, parts: int):
     width = (1 << 64) // parts + 1
     edges = np.array([p * width for p in range(1, parts)], np.uint64)
 
-    def rows(held):
-        for i, x in held:
-            x = np.unique(x)
-            cut = [0, *np.searchsorted(x, edges).tolist(), len(x)]
-            some = [(p, lo, hi) for p, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+    def rows(i: np.ndarray, x: np.ndarray):
+        if not len(x):
+            return
+        order = np.lexsort((x, i))
+        i, x = i[order], x[order]
+        new = np.append(True, (i[1:] != i[:-1]) | (x[1:] != x[:-1]))
+        i, x = i[new], x[new]
+        part = np.searchsorted(edges, x, "right")
+        cut = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (part[1:] != part[:-1])))
+        end = np.append(cut[1:], len(x))
+        for at in range(0, len(cut), 10_000):
+            lo, hi = cut[at : at + 10_000], end[at : at + 10_000]
             yield pa.record_batch(
-                [pa.array([p for p, _, _ in some], pa.int32()), pa.array([i] * len(some), pa.int32()), pa.array([hi - lo for _, lo, hi in some], pa.int64()), pa.array([_pack(x[lo:hi]) for _, lo, hi in some], pa.binary())],
+                [pa.array(part[lo].astype(np.int32)), pa.array(i[lo]), pa.array(hi - lo), pa.array([_pack(x[a:b]) for a, b in zip(lo, hi)], pa.binary())],
                 ["part", "i", "n", "hashes"],
             )
 
     def run(batches):
         table = needed.value
-        pairs, kinds, own, size = [], [], {}, 0
+        held, size = [], 0
 
         def flush():
-            if pairs:
-                yield from rows([(-1, np.concatenate(pairs)), (-2, np.concatenate(kinds)), *((i, np.concatenate(x)) for i, x in own.items())])
+            for x in zip(*held):  # bigrams, words, bigrams of needed words
+                yield from rows(*(np.concatenate(c) for c in zip(*x)))
 
         for batch in batches:
             for _, buf, offs in blocks(batch.column(0)):
@@ -107,15 +120,14 @@ def _distinct(needed, parts: int):
                 if not len(words):
                     continue
                 key, at = np.unique(key, return_index=True)
-                pairs.append(key)
-                kinds.append(np.unique(words))
+                kinds = np.unique(words)
                 i, hit = _place(table, words[at])
-                for word in np.unique(i[hit]):
-                    own.setdefault(int(word), []).append(key[hit & (i == word)])
-                size += len(key) + len(kinds[-1])
+                some = lambda x, v: (np.full(len(x), v, np.int32), x)
+                held.append((some(key, -1), some(kinds, -2), (i[hit].astype(np.int32), key[hit])))
+                size += len(key) + len(kinds)
                 if size > HELD:
                     yield from flush()
-                    pairs, kinds, own, size = [], [], {}, 0
+                    held, size = [], 0
         yield from flush()
 
     return run
@@ -358,7 +370,7 @@ def train(ws: Workspace, docs: DataFrame, labels: DataFrame, id_col: str = "doc_
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """``(doc_id, score)``, or with ``keep`` all columns of ``docs`` and the score
-    under ``_score``.  Null and empty texts get the score of a text without
+    under :data:`SCORE`.  Null and empty texts get the score of a text without
     evidence; repeated rows get one each; other columns play no part."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col) if keep else 1
@@ -367,10 +379,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             score = pa.array(sent.value.score(batch.column(at)))
             if keep:
-                yield batch.append_column("_score", score)
+                yield batch.append_column(SCORE, score)
             else:
                 yield pa.record_batch([batch.column(0), score], [id_col, "score"])
 
     if keep:
-        return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", _score double")
+        return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + f", {SCORE} double")
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, f"`{id_col}` long, score double")

@@ -40,5 +40,31 @@ def test_stages(spark, tmp_path):
         before = after
 
 
+def test_hostile_documents(spark):
+    """Repeated and null ids, empty and null texts, equal rows, further columns whose
+    names clash with the operators' own."""
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long, "a"), (1, long, "b"), (None, long + " end", "c"), (None, None, "d"), (2, "", "e"), (3, "x y", "f"), (3, "other text", "g"), (None, "x  y", "h")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _text string, _cuts int, kept string, component_id int, id string, _score int"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), n, 1, n, 2, n, 3) for i, t, n in rows], kind)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name == "packing":
+            assert docs.count() == len(left)
+            break
+        left = {r["_text"]: r["text"] for r in docs.collect()}
+        assert docs.columns == [c.split()[0] for c in kind.split(", ")]
+        if name == "exact_dedup":
+            assert set(left) == {"a", "c", "e", "g", "h"}  # the longest, then the first id, null ids last
+        if name == "ngram_jaccard":
+            assert set(left) == {"a", "e", "g", "h"}
+    empty = spark.createDataFrame([], kind)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0
+        empty = out if name != "packing" else empty
+
+
 def test_queries_cover_all_operators():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
