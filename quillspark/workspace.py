@@ -77,13 +77,13 @@ def numbered(ws: Workspace, df: DataFrame, order: list[str], name: str, column:
     """Adds the 0-based position of every row in ``order``, without a task that
     sees all rows: the rows are written by ranges, ranges are counted, and a row's
     position is its range's first one plus its rank there."""
-    kept = ws.keep(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
-    firsts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    out = kept.withColumn("_rank", rank).join(F.broadcast(firsts), "_range")
-    return out.withColumn(column, (F.col("_first") + F.col("_rank")).cast("long")).drop("_range", "_rank", "_first")
+    kept = ws.keep(df.repartitionByRange(*order).withColumn("_quillspark_range", F.spark_partition_id()), name)
+    before = Window.orderBy("_quillspark_range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = kept.groupBy("_quillspark_range").agg(F.count("*").alias("_quillspark_n"))
+    firsts = sizes.select("_quillspark_range", F.coalesce(F.sum("_quillspark_n").over(before), F.lit(0)).alias("_quillspark_first"))
+    rank = F.row_number().over(Window.partitionBy("_quillspark_range").orderBy(*order)) - 1
+    out = kept.withColumn("_quillspark_rank", rank).join(F.broadcast(firsts), "_quillspark_range")
+    return out.withColumn(column, (F.col("_quillspark_first") + F.col("_quillspark_rank")).cast("long")).drop("_quillspark_range", "_quillspark_rank", "_quillspark_first")
 
 
 def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
