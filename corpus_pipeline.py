@@ -17,10 +17,11 @@ from quillspark.llm.queries import tokenizer_file
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the toxicity models reject."""
+    """Drop the documents that the toxicity models reject; those without text or id
+    are scored like any other."""
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.train(Workspace(spark, "stage1"), docs.select("doc_id", "text"), labels)
-    return toxicity.score(docs, model, keep=True).where(F.col("_score") < toxicity.THRESHOLD).drop("_score")
+    return toxicity.score(docs, model, keep=True).where(F.col(toxicity.SCORE) < toxicity.THRESHOLD).drop(toxicity.SCORE)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
