@@ -136,27 +136,34 @@ def _distinct(needed, parts: int):
 def _united(batches):
     """Rows sorted by (part, i) -> the number of distinct hashes of each.  Hashes are
     sorted anew when as many are new as are held, so each is a few times at most."""
-    last, held, new = None, np.zeros(0, np.uint64), []
+    last, held, new, waiting, done = None, np.zeros(0, np.uint64), [], 0, []
 
     def unite():
-        nonlocal held, new
-        held, new = np.unique(np.concatenate([held, *new])), []
+        nonlocal held, new, waiting
+        held, new, waiting = np.unique(np.concatenate([held, *new])), [], 0
 
-    def count():
-        unite()
-        return pa.record_batch([pa.array([last[1]], pa.int32()), pa.array([len(held)], pa.int64())], ["i", "n"])
+    def counted():
+        nonlocal done
+        told, done = done, []
+        return pa.record_batch([pa.array([i for i, _ in told], pa.int32()), pa.array([n for _, n in told], pa.int64())], ["i", "n"])
+
+    def close():
+        if last is not None:
+            unite()
+            done.append((last[1], len(held)))
 
     for batch in batches:
         for part, i, n, data in zip(*(batch.column(c).to_pylist() for c in range(4))):
             if (part, i) != last:
-                if last is not None:
-                    yield count()
+                close()
                 last, held = (part, i), np.zeros(0, np.uint64)
             new.append(_unpack(data, n))
-            if sum(map(len, new)) > max(len(held), 1 << 20):
+            waiting += n
+            if waiting > max(len(held), 1 << 20):
                 unite()
-    if last is not None:
-        yield count()
+        yield counted()
+    close()
+    yield counted()
 
 
 def shared_counts(ws: Workspace, texts: DataFrame, needed: np.ndarray) -> tuple[np.ndarray, int, int]:
