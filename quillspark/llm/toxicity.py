@@ -83,36 +83,30 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _distinct(needed, parts: int):
-    """Per task: the distinct bigrams and words, and those bigrams that end in each
-    of the needed words, in ``parts`` ranges of hashes (``i`` is the index of the
-    needed word, -1 for all bigrams, -2 for words)."""
+    """Per task: the distinct bigrams (``i`` is -1) and words (-2), and the bigrams that
+    end in needed words (-3) with the indices of those, in ``parts`` ranges of hashes:
+    three rows a range at most."""
     width = (1 << 64) // parts + 1
     edges = np.array([p * width for p in range(1, parts)], np.uint64)
 
-    def rows(i: np.ndarray, x: np.ndarray):
-        if not len(x):
-            return
-        order = np.lexsort((x, i))
-        i, x = i[order], x[order]
-        new = np.append(True, (i[1:] != i[:-1]) | (x[1:] != x[:-1]))
-        i, x = i[new], x[new]
-        part = np.searchsorted(edges, x, "right")
-        cut = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (part[1:] != part[:-1])))
-        end = np.append(cut[1:], len(x))
-        for at in range(0, len(cut), 10_000):
-            lo, hi = cut[at : at + 10_000], end[at : at + 10_000]
-            yield pa.record_batch(
-                [pa.array(part[lo].astype(np.int32)), pa.array(i[lo]), pa.array(hi - lo), pa.array([_pack(x[a:b]) for a, b in zip(lo, hi)], pa.binary())],
-                ["part", "i", "n", "hashes"],
-            )
+    def rows(i: int, x: np.ndarray, word: np.ndarray):
+        x, at = np.unique(x, return_index=True)
+        cut = np.append(0, np.append(np.searchsorted(x, edges), len(x)))
+        some = np.flatnonzero(cut[1:] > cut[:-1])
+        lo, hi, word = cut[some], cut[some + 1], word[at] if len(word) else word
+        names = [word[a:b].tobytes() for a, b in zip(lo, hi)]
+        yield pa.record_batch(
+            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), i, np.int32)), pa.array(hi - lo), pa.array([_pack(x[a:b]) for a, b in zip(lo, hi)], pa.binary()), pa.array(names, pa.binary())],
+            ["part", "i", "n", "hashes", "words"],
+        )
 
     def run(batches):
         table = needed.value
         held, size = [], 0
 
         def flush():
-            for x in zip(*held):  # bigrams, words, bigrams of needed words
-                yield from rows(*(np.concatenate(c) for c in zip(*x)))
+            for i, kind in zip((-1, -2, -3), zip(*held)):
+                yield from rows(i, *(np.concatenate(c) for c in zip(*kind)))
 
         for batch in batches:
             for _, buf, offs in blocks(batch.column(0)):
@@ -122,8 +116,8 @@ def _distinct(needed, parts: int):
                 key, at = np.unique(key, return_index=True)
                 kinds = np.unique(words)
                 i, hit = _place(table, words[at])
-                some = lambda x, v: (np.full(len(x), v, np.int32), x)
-                held.append((some(key, -1), some(kinds, -2), (i[hit].astype(np.int32), key[hit])))
+                none = np.zeros(0, np.int32)
+                held.append(((key, none), (kinds, none), (key[hit], i[hit].astype(np.int32))))
                 size += len(key) + len(kinds)
                 if size > HELD:
                     yield from flush()
@@ -136,11 +130,15 @@ def _distinct(needed, parts: int):
 def _united(batches):
     """Rows sorted by (part, i) -> the number of distinct hashes of each.  Hashes are
     sorted anew when as many are new as are held, so each is a few times at most."""
-    last, held, new, waiting, done = None, np.zeros(0, np.uint64), [], 0, []
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    last, held, names, new, waiting, done = None, *none, [], 0, []
 
     def unite():
-        nonlocal held, new, waiting
-        held, new, waiting = np.unique(np.concatenate([held, *new])), [], 0
+        nonlocal held, names, new, waiting
+        held, at = np.unique(np.concatenate([held, *(x for x, _ in new)]), return_index=True)
+        if last[1] == -3:  # an entry's word is that of its bigram
+            names = np.concatenate([names, *(w for _, w in new)])[at]
+        new, waiting = [], 0
 
     def counted():
         nonlocal done
@@ -151,13 +149,15 @@ def _united(batches):
         if last is not None:
             unite()
             done.append((last[1], len(held)))
+            word, n = np.unique(names, return_counts=True)
+            done.extend(zip(word.tolist(), n.tolist()))
 
     for batch in batches:
-        for part, i, n, data in zip(*(batch.column(c).to_pylist() for c in range(4))):
+        for part, i, n, data, word in zip(*(batch.column(c).to_pylist() for c in range(5))):
             if (part, i) != last:
                 close()
-                last, held = (part, i), np.zeros(0, np.uint64)
-            new.append(_unpack(data, n))
+                last, (held, names) = (part, i), none
+            new.append((_unpack(data, n), np.frombuffer(word, np.int32)))
             waiting += n
             if waiting > max(len(held), 1 << 20):
                 unite()
@@ -175,7 +175,7 @@ def shared_counts(ws: Workspace, texts: DataFrame, needed: np.ndarray) -> tuple[
     sent = spark.sparkContext.broadcast(needed)
     size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
-    found = texts.mapInArrow(_distinct(sent, parts), "part int, i int, n long, hashes binary")
+    found = texts.mapInArrow(_distinct(sent, parts), "part int, i int, n long, hashes binary, words binary")
     found = found.repartition(parts, "part").sortWithinPartitions("part", "i").mapInArrow(_united, "i int, n long")
     found = found.groupBy("i").agg(F.sum("n").alias("n")).toArrow()
     i, n = (found.column(c).to_numpy() for c in ("i", "n"))
