@@ -68,3 +68,11 @@ def test_extract_json_none(spark):
 def test_nfkc(spark):
     ship(spark)
     assert one(spark, nfkc, "ﬁ①") == "fi1"
+
+
+def test_data_urls_have_no_line_breaks(spark):
+    import base64
+
+    url = "https://www.example.com/" + "ä" * 200
+    made = spark.createDataFrame([(url,)], "u string").select(T.data_url(F.lit("x.PNG"), F.encode("u", "UTF-8"))).first()[0]
+    assert made == "data:image/png;base64," + base64.b64encode(url.encode()).decode()
