@@ -224,3 +224,26 @@ def test_superset_replaces(spark):
     assert sorted(tuple(r) for r in build.replace_documents(old, new).collect()) == [("a", 1), ("b", 2), ("c", 2)]
     versions = spark.createDataFrame([("a", 3), ("b", 1)], "document_id string, version int")
     assert sorted(tuple(r) for r in build.bump_versions(versions, new).collect()) == [("a", 3), ("b", 2), ("c", 1)]
+
+
+def test_terms_of_concepts_are_those_of_their_postings(spark, store):
+    from quillspark.operators import build
+
+    rows = spark.createDataFrame([("d", "c", "A  B", ["a b", "x", "X"]), ("d", "e", "E", []), ("f", "c", None, ["y"])], "document_id string, concept_id string, name string, keywords array<string>")
+    whole = retrieval.index_terms(build.keyword_postings(rows))
+    slim = retrieval.concept_terms(rows).select("document_id", "concept_id", F.explode("terms").alias("term"), F.size("terms").alias("len"))
+    assert sorted(map(str, (tuple(r) for r in whole.collect()))) == sorted(map(str, (tuple(r) for r in slim.collect())))
+
+
+def test_a_corpus_builds_only_what_is_read(spark, tmp_path):
+    """The registry's documents take neither descriptions nor postings, and indexes
+    within documents one shuffle."""
+    from quillspark.plans import corpus, queries
+
+    rows = [(i, "alpha beta gamma\ndelta alpha beta", "en", "s2", 33) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    queries.QUERIES["a11_concept_docs"](spark, str(tmp_path)).collect()
+    assert {k[-1] for k in corpus._STORED if k[1] == str(tmp_path)} == {"registry_concepts"}
+    index = queries.QUERIES["a7_keyword_index"](spark, str(tmp_path))
+    assert index._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {k[-1] for k in corpus._STORED if k[1] == str(tmp_path)} == {"registry_concepts"}
