@@ -226,6 +226,16 @@ def test_superset_replaces(spark):
     assert sorted(tuple(r) for r in build.bump_versions(versions, new).collect()) == [("a", 3), ("b", 2), ("c", 1)]
 
 
+def test_answered_is_the_queries_of_the_candidates(spark, store, both):
+    asked = [([], ["sample magic"]), ([], ["zzzz"]), (["sample sorcery"], []), (["Sample Wand"], []), (["nothing here"], ["potion"]), (["!"], []), ([], [])]
+    intents = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "query_id long, concepts array<string>, keywords array<string>")
+    t = retrieval.plan_terms(intents)
+    gone = Store(**{**vars(store), "registry_concepts": store.registry_concepts.where("concept_id <> 'sample-wand'")})
+    for s, scope, depth in ((store, both, 1), (gone, both.where("document_id = 'doc-b'"), 2)):
+        want = {r[0] for r in retrieval.candidates(t, s, scope, depth).select("query_id").distinct().collect()}
+        assert {r[0] for r in retrieval.answered(t, s, scope, depth).collect()} == want
+
+
 def test_terms_of_concepts_are_those_of_their_postings(spark, store):
     from quillspark.operators import build
 
