@@ -257,3 +257,14 @@ def test_a_corpus_builds_only_what_is_read(spark, tmp_path):
     index = queries.QUERIES["a7_keyword_index"](spark, str(tmp_path))
     assert index._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
     assert {k[-1] for k in corpus._STORED if k[1] == str(tmp_path)} == {"registry_concepts"}
+
+
+def test_fusion_joins_no_candidates(spark, store, both):
+    """Rows that are no candidates get no rank, all others do, without a join."""
+    kind = "query_id long, concept_id string, document_id string"
+    found = spark.createDataFrame([(1, "a", "d"), (1, "b", "d")], kind)
+    scored = spark.createDataFrame([(1, "x", "d", 2.0), (1, "b", "d", 1.0)], kind + ", score double")
+    named, near = scored.limit(0).withColumnRenamed("score", "matches"), scored.limit(0).withColumnRenamed("score", "distance")
+    fused = retrieval.fuse(found, scored, named, near)
+    assert [tuple(r) for r in fused.orderBy("rank").select("concept_id", "score", "rank").collect()] == [("b", round(1 / 62, 9), 1), ("a", 0.0, 2)]
+    assert "Join" not in fused._jdf.queryExecution().optimizedPlan().toString()
