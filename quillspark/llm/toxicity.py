@@ -67,25 +67,26 @@ def _place(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Sorted distinct hashes: a few as they are, many as their differences, equal
-    places of all together, compressed; the zero bytes of small differences go."""
+    """Numbers: a few as they are, many with equal places of all together,
+    compressed; the zero bytes of small ones go."""
     if len(x) < 32:
         return x.tobytes()
-    gaps = np.diff(x, prepend=x.dtype.type(0))
-    return pa.Codec("zstd").compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+    return pa.Codec("zstd").compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), asbytes=True)
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
+def _unpack(data: bytes, n: int, kind: type) -> np.ndarray:
     if n < 32:
-        return np.frombuffer(data, np.uint64)
-    raw = pa.Codec("zstd").decompress(data, 8 * n, asbytes=True)
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel())
+        return np.frombuffer(data, kind)
+    width = np.dtype(kind).itemsize
+    raw = pa.Codec("zstd").decompress(data, width * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
 
 
 def _distinct(needed, parts: int):
-    """Per task: the distinct bigrams (``i`` is -1) and words (-2), and the bigrams that
-    end in needed words (-3) with the indices of those, in ``parts`` ranges of hashes:
-    three rows a range at most."""
+    """Per task: the distinct bigrams that end in needed words (``i`` is -3) with the
+    indices of those, all other ones (-1), so each is sent once, and the distinct words
+    (-2), in ``parts`` ranges of hashes: three rows a range at most.  Sorted hashes go
+    as their differences."""
     width = (1 << 64) // parts + 1
     edges = np.array([p * width for p in range(1, parts)], np.uint64)
 
@@ -94,9 +95,9 @@ def _distinct(needed, parts: int):
         cut = np.append(0, np.append(np.searchsorted(x, edges), len(x)))
         some = np.flatnonzero(cut[1:] > cut[:-1])
         lo, hi, word = cut[some], cut[some + 1], word[at] if len(word) else word
-        names = [word[a:b].tobytes() for a, b in zip(lo, hi)]
+        names = [_pack(word[a:b]) for a, b in zip(lo, hi)]
         yield pa.record_batch(
-            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), i, np.int32)), pa.array(hi - lo), pa.array([_pack(x[a:b]) for a, b in zip(lo, hi)], pa.binary()), pa.array(names, pa.binary())],
+            [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), i, np.int32)), pa.array(hi - lo), pa.array([_pack(np.diff(x[a:b], prepend=x.dtype.type(0))) for a, b in zip(lo, hi)], pa.binary()), pa.array(names, pa.binary())],
             ["part", "i", "n", "hashes", "words"],
         )
 
@@ -117,7 +118,7 @@ def _distinct(needed, parts: int):
                 kinds = np.unique(words)
                 i, hit = _place(table, words[at])
                 none = np.zeros(0, np.int32)
-                held.append(((key, none), (kinds, none), (key[hit], i[hit].astype(np.int32))))
+                held.append(((key[~hit], none), (kinds, none), (key[hit], i[hit].astype(np.int32))))
                 size += len(key) + len(kinds)
                 if size > HELD:
                     yield from flush()
@@ -148,7 +149,7 @@ def _united(batches):
     def close():
         if last is not None:
             unite()
-            done.append((last[1], len(held)))
+            done.append((-2 if last[1] == -2 else -1, len(held)))
             word, n = np.unique(names, return_counts=True)
             done.extend(zip(word.tolist(), n.tolist()))
 
@@ -157,7 +158,7 @@ def _united(batches):
             if (part, i) != last:
                 close()
                 last, (held, names) = (part, i), none
-            new.append((_unpack(data, n), np.frombuffer(word, np.int32)))
+            new.append((np.cumsum(_unpack(data, n, np.uint64)), _unpack(word, n if i == -3 else 0, np.int32)))
             waiting += n
             if waiting > max(len(held), 1 << 20):
                 unite()

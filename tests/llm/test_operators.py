@@ -387,6 +387,29 @@ def test_toxicity_shared_counts_are_of_distinct_predecessors(spark):
     assert (count.tolist(), total, kinds) == ([2], 5, 3)
 
 
+def test_toxicity_sends_a_bigram_once():
+    """Whether it ends in a needed word or not; and the needed words' indices are packed."""
+    rng = random.Random(5)
+    texts = pa.array([" ".join(f"w{rng.randrange(60)}" for _ in range(300)) for _ in range(40)])
+    seen = [toxicity._bigrams(buf, offs) for _, buf, offs in toxicity.blocks(texts)]
+    keys, words = (np.unique(np.concatenate([s[k] for s in seen])) for k in (2, 0))
+
+    class needed:
+        value = words[::2]
+
+    rows = [r for b in toxicity._distinct(needed, 3)(iter([pa.record_batch([texts], ["text"])])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in rows if r["i"] != -2) == len(keys) and sum(r["n"] for r in rows if r["i"] == -2) == len(words)
+    ends = [r for r in rows if r["i"] == -3]
+    assert ends and sum(len(r["words"]) for r in ends) < 2 * sum(r["n"] for r in ends)
+    totals = Counter()
+    for b in toxicity._united(iter([pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: (r["part"], r["i"])), pa.schema([("part", pa.int32()), ("i", pa.int32()), ("n", pa.int64()), ("hashes", pa.binary()), ("words", pa.binary())]))])):
+        for r in b.to_pylist():
+            totals[r["i"]] += r["n"]
+    assert totals.pop(-1) == len(keys) and totals.pop(-2) == len(words)
+    ends_in = np.unique(np.concatenate([s[2][np.isin(s[0], needed.value)] for s in seen]))
+    assert sum(totals.values()) == len(ends_in)
+
+
 # -- 7 ---------------------------------------------------------------------------
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "TILE", 64)
