@@ -76,6 +76,21 @@ def test_fusion(spark, store, both):
     assert [s for _, s in got] == [pytest.approx(x, abs=1e-8) for x in (3 / 61, 1 / 62, 1 / 63)]
 
 
+def test_search_by_query(spark):
+    """The rows of the search by joins; what is reached is not shuffled."""
+    rng = __import__("random").Random(3)
+    edges = spark.createDataFrame([("d", f"n{rng.randrange(80)}", f"n{rng.randrange(80)}") for _ in range(120)] + [("d", None, "n1")], "document_id string, source string, target string")
+    seeds = spark.createDataFrame([(q, f"n{rng.randrange(90)}") for q in range(30) for _ in range(3)] + [(99, "alone"), (1, None)], "query_id long, concept_id string")
+    near = graph.adjacency(edges)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    for depth in (-1, 0, 2):
+        want = rows(graph.bfs(seeds, near, depth))
+        assert rows(graph.bfs_by_query(seeds, near, depth)) == want == rows(graph.bfs_by_query(seeds, near, depth, limit=5))
+    plan = graph.bfs_by_query(seeds, near, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+    assert rows(graph.bfs_by_query(seeds, near.limit(0), 2)) == []
+
+
 def test_search_depth(spark, store):
     near = graph.adjacency(store.edges)
     seed = spark.createDataFrame([(1, "sample-magic"), (1, "nowhere")], "query_id long, concept_id string")
