@@ -1,8 +1,9 @@
 """The two-document store: retrieval, ranking, evidence, context, citations."""
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import build, graph, retrieval
+from quillspark.operators import build, graph, postings, retrieval
 from quillspark.operators.retrieval import Store
 
 
@@ -76,6 +77,61 @@ def test_fusion(spark, store, both):
     assert [s for _, s in got] == [pytest.approx(x, abs=1e-8) for x in (3 / 61, 1 / 62, 1 / 63)]
 
 
+@pytest.fixture(scope="module")
+def dealt(spark):
+    """Random concepts of 12 documents, their store, one row per document, and terms."""
+    rng = __import__("random").Random(8)
+    word = lambda: f"w{rng.randrange(12)}"
+    rows = []
+    for d in range(12):
+        for at in range(rng.randrange(1, 9)):
+            name = " ".join(word() for _ in range(rng.randrange(1, 4)))
+            rows.append((f"doc-{d}", name.replace(" ", "-"), name, name, [at], [" ".join(name.split()[:2])], [word() for _ in range(3)], at))
+    raw = spark.createDataFrame(rows, "document_id string, concept_id string, name string, description string, page_numbers array<int>, aliases array<string>, keywords array<string>, ord int").cache()
+    merged = build.merge_concepts(raw).cache()
+    local = build.alias_map(raw.select("document_id", F.col("aliases")[0].alias("alias"), "concept_id", "ord")).cache()
+    none = spark.createDataFrame([], "document_id string, source string, target string")
+    store = Store(None, merged, build.keyword_postings(merged), local, build.registry_aliases(local), build.registry_concepts(merged), none)
+    asked = [(q, [" ".join(word() for _ in range(rng.randrange(1, 3))) for _ in range(2)], [word() for _ in range(4)]) for q in range(9)] + [(50, ["nothing"], [" "])]
+    terms = retrieval.plan_terms(spark.createDataFrame(asked, "query_id long, concepts array<string>, keywords array<string>")).cache()
+    return store, postings.by_document(raw, merged).cache(), terms, merged.select("document_id").distinct()
+
+
+def ordered(df):
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("held,turn", [(1 << 21, 4_000_000), (3, 7)])
+def test_alias_counts_by_document(dealt, monkeypatch, held, turn):
+    """As of the candidates, which are not listed: nothing is shuffled afterwards."""
+    monkeypatch.setattr(postings, "HELD", held), monkeypatch.setattr(postings, "SENT_TERMS", turn)
+    store, docs, terms, scope = dealt
+    found = postings.alias_counts(terms, docs)
+    want = ordered(retrieval.alias_list(retrieval.candidates(terms, store, scope, 0), terms, store))
+    assert want and ordered(found) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+@pytest.mark.parametrize("held,turn", [(1 << 21, 4_000_000), (3, 7)])
+def test_top_bm25_by_document(dealt, monkeypatch, held, turn):
+    monkeypatch.setattr(postings, "HELD", held), monkeypatch.setattr(postings, "SENT_TERMS", turn)
+    store, docs, terms, scope = dealt
+    rows = retrieval.bm25(retrieval.candidates(terms, store, scope, 0), terms, store)
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "concept_id", "document_id"))
+    want = ordered(rows.withColumn("position", at).where("position <= 3"))
+    assert want and ordered(postings.top_bm25(terms, docs, retrieval.named(terms, store.registry_aliases), 3)) == want
+    assert not postings.asks_odd(terms, docs)
+
+
+def test_odd_terms_are_noticed(spark, dealt):
+    terms = dealt[2]
+    docs = lambda odd: spark.createDataFrame([("doc-1", [("c", ["w1", odd], [odd])], None)], "document_id string, concepts array<struct<concept_id string, terms array<string>, odd array<string>>>, aliases array<struct<alias string, concept_id string>>")
+    word = retrieval.ranking_terms(terms).first()["term"]
+    assert postings.asks_odd(terms, docs(word)) and not postings.asks_odd(terms, docs("never asked"))
+    assert postings.top_bm25(terms, docs("never asked").limit(0), retrieval.named(terms, dealt[0].registry_aliases), 3).count() == 0
+
+
 def test_search_by_query(spark):
     """The rows of the search by joins; what is reached is not shuffled."""
     rng = __import__("random").Random(3)
