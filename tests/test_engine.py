@@ -124,6 +124,26 @@ def test_top_bm25_by_document(dealt, monkeypatch, held, turn):
     assert not postings.asks_odd(terms, docs)
 
 
+@pytest.mark.parametrize("held,turn,depth", [(1 << 21, 4_000_000, 1), (3, 7, 2)])
+def test_top_bm25_of_what_is_reached(spark, dealt, monkeypatch, held, turn, depth):
+    """A document counts for a question, too, by a concept near the question's own."""
+    monkeypatch.setattr(postings, "HELD", held), monkeypatch.setattr(postings, "SENT_TERMS", turn)
+    store, docs, terms, scope = dealt
+    terms = terms.where("origin = 'concept' or ord = 0 and query_id > 6")
+    names = [r[0] for r in store.registry_concepts.select("concept_id").distinct().orderBy("concept_id").collect()]
+    store = retrieval.Store(**{**vars(store), "edges": spark.createDataFrame([("doc-1", a, b) for a, b in zip(names, names[1:])], "document_id string, source string, target string")})
+    found = retrieval.candidates(terms, store, scope, depth)
+    documents = lambda rows: rows.select("query_id", "document_id").distinct().count()
+    assert documents(found) > documents(retrieval.candidates(terms, store, scope, 0))
+    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "concept_id", "document_id"))
+    want = ordered(retrieval.bm25(found, terms, store).withColumn("position", at).where("position <= 3"))
+    near, seeds = graph.adjacency(store.edges), retrieval.seeds(terms, store, scope)
+    steps = postings.leads(seeds, near, depth)
+    assert want and ordered(postings.top_bm25(terms, docs, retrieval.named(terms, store.registry_aliases), 3, steps)) == want
+    monkeypatch.setattr(graph, "SENT_EDGES", 1)
+    assert postings.leads(seeds, near, depth) is None
+
+
 def test_odd_terms_are_noticed(spark, dealt):
     terms = dealt[2]
     docs = lambda odd: spark.createDataFrame([("doc-1", [("c", ["w1", odd], [odd])], None)], "document_id string, concepts array<struct<concept_id string, terms array<string>, odd array<string>>>, aliases array<struct<alias string, concept_id string>>")
