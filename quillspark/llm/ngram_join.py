@@ -131,12 +131,15 @@ def _slot_counts(ws: Workspace, parts: DataFrame) -> np.ndarray:
         turn, n = turn + 1, -(-n // 8)
         parts = ws.keep(parts.repartition(n).mapInArrow(_add_slots, "slots binary"), f"slots-{turn}")
         n = min(n, parts.count())
-    return sum((_unsqueeze(r[0]) for r in parts.collect()), np.zeros(SLOTS, np.uint32))
+    total = np.zeros(SLOTS, np.uint32)
+    for r in parts.toLocalIterator():
+        total += _unsqueeze(r[0])
+    return total
 
 
-def slot_levels(counts: np.ndarray) -> np.ndarray:
+def slot_levels(counts: np.ndarray, mean: float | None = None) -> np.ndarray:
     """Frequency level of each slot, four to a doubling of the count (0..255)."""
-    mean = max(1.0, float(counts.mean()))
+    mean = max(1.0, float(counts.mean())) if mean is None else mean
     return np.clip(np.floor(4 * np.log2(1.0 + counts / mean)), 0, 255).astype(np.uint8)
 
 
@@ -145,12 +148,23 @@ def slot_salts(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(counts / HOT), 1 << 20).astype(np.int64)
 
 
+def _slot_order(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the tasks need of the counts: levels, and the salts of the few slots that
+    have several, by slot; taken in parts, so that the driver holds little at once."""
+    mean = max(1.0, float(counts.mean()))
+    levels = np.concatenate([slot_levels(part, mean) for part in np.split(counts, 32)])
+    many = np.flatnonzero(counts > HOT)
+    return levels, many, slot_salts(counts[many])
+
+
 def _prefixes(width: int, percent: int, levels):
     """Rows (token, skey, size) of every distinct set's prefix.  ``size`` holds the set's
     size and above SALT_BITS the part of the tile, from 1; 0 where the tile is whole."""
 
     def run(batches):
-        (order, salts), done = levels.value, set()
+        (order, *several), done = levels.value, set()
+        salts = np.ones(SLOTS, np.uint32)
+        salts[several[0]] = several[1]
         for batch in batches:
             tok, key, part = [], [], []
             for _, grams in shingle_sets(batch.column(1), width):
@@ -163,7 +177,7 @@ def _prefixes(width: int, percent: int, levels):
                 p = n - least_share(n, percent) + 1
                 first = np.argpartition(ranked, p - 1)[:p] if p < n else np.arange(n)
                 tok.append(ranked[first])
-                parts = salts[slot[first]]
+                parts = salts[slot[first]].astype(np.int64)
                 part.append(np.where(parts > 1, k % np.maximum(parts, 1) + 1, 0) << SALT_BITS | n)
                 key.append(np.full(len(tok[-1]), k, np.int64))
             if tok:
@@ -439,7 +453,7 @@ def similar(
     spark = docs.sparkSession
     told = ws.keep(docs.mapInArrow(_describe(width), "id long, n long, skey long, sig binary, slots binary"), "sets")
     total = _slot_counts(ws, told.where("slots is not null").select("slots"))
-    levels = spark.sparkContext.broadcast((slot_levels(total.astype(np.float64)), slot_salts(total)))
+    levels = spark.sparkContext.broadcast(_slot_order(total))
 
     sets = told.where("slots is null").select("id", "n", "skey", "sig")
     reps = ws.keep(
@@ -448,10 +462,12 @@ def similar(
     prefixes = docs.mapInArrow(_prefixes(width, percent, levels), "token long, skey long, size long")
     # every prefix row is a few bytes, so partitions sized by the text would be small
     total_rows = int(total.sum(dtype=np.int64)) * (100 - percent) // 100
+    del total
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_rows // PREFIX_ROWS))
     salt = F.shiftright("size", SALT_BITS)
     tiles = prefixes.repartition(parts, "token", salt).sortWithinPartitions("token", "size", "skey")
     found = ws.keep(tiles.mapInArrow(_tiles(percent), "kind int, a long, b long, n int"), "tiles")
+    levels.destroy()  # nothing lazy reads the prefixes
     pairs = ws.keep(found.where("kind = 0").select("a", "b").distinct(), "pairs")
     links = _check(ws, docs, reps, pairs, "lead", width, percent)
     joined = ws.keep(components(ws, links, "cc1"), "joined")

@@ -53,6 +53,30 @@ def test_components(spark):
     assert components(Workspace(spark, "t"), spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_in_one_task(spark, monkeypatch):
+    """Few edges take no rounds, each of which is a dozen jobs; both ways find the same."""
+    from quillspark import workspace
+
+    rng, marked, mark = np.random.default_rng(5), [], workspace._mark
+    monkeypatch.setattr(workspace, "_mark", lambda edges: marked.append(1) or mark(edges))
+    links = [(i, i + 1) for i in range(100, 400)] + [tuple(x) for x in rng.integers(1000, 1600, (400, 2)).tolist()] + [(-7, 3), (9, 9)]
+    edges = spark.createDataFrame(links, "u long, v long")
+    rows = lambda: sorted(map(tuple, workspace.components(Workspace(spark, "t"), edges).collect()))
+    found = rows()
+    assert len(marked) == 1
+    monkeypatch.setattr(workspace, "TASK_EDGES", 10)
+    assert found == rows() and len(marked) > 3 and (3, -7) in found and (400, 100) in found
+
+
+def test_slots_of_one_part_send_no_salts(monkeypatch):
+    """The salts of the 2 M slots took 16 MB of every process; few slots have several."""
+    counts = np.zeros(ngram_join.SLOTS, np.uint32)
+    counts[[5, 70]] = ngram_join.HOT, 3 * ngram_join.HOT + 1
+    levels, many, salts = ngram_join._slot_order(counts)
+    assert (many.tolist(), salts.tolist()) == ([70], [4])
+    assert (levels == ngram_join.slot_levels(counts)).all() and levels.nbytes == ngram_join.SLOTS
+
+
 # -- 1 ---------------------------------------------------------------------------
 @pytest.mark.parametrize("bits,hot", [(64, 256), (2, 256), (64, 3), (2, 3)])
 def test_exact(spark, bits, hot):
