@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import build, graph, postings, retrieval
+from quillspark.operators import build, graph, postings, questions, retrieval
 from quillspark.operators.retrieval import Store
 
 
@@ -144,6 +144,43 @@ def test_top_bm25_of_what_is_reached(spark, dealt, monkeypatch, held, turn, dept
     assert postings.leads(seeds, near, depth) is None
 
 
+@pytest.fixture(scope="module")
+def linked(spark, dealt):
+    """The store of ``dealt`` with edges between its concepts."""
+    store, docs, terms, scope = dealt
+    names = [r[0] for r in store.registry_concepts.select("concept_id").distinct().orderBy("concept_id").collect()]
+    edges = spark.createDataFrame([("doc-1", a, b) for a, b in zip(names, names[1:])], "document_id string, source string, target string").cache()
+    return retrieval.Store(**{**vars(store), "edges": edges}), docs, terms, scope
+
+
+def unlisted(rows):
+    """Candidates come from the tasks' questions: nothing is shuffled afterwards."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
+@pytest.mark.parametrize("held,depth", [(1 << 16, 1), (3, 2)])
+def test_candidates_by_question(linked, monkeypatch, held, depth):
+    monkeypatch.setattr(questions, "HELD", held)
+    store, docs, terms, scope = linked
+    near = graph.adjacency(store.edges)
+    found = questions.index(terms, docs, build.registry_aliases, near, depth).listed()
+    want = ordered(retrieval.candidate_order(retrieval.candidates(terms, store, scope, depth)).select(*found.columns))
+    assert want and ordered(found) == want
+    assert unlisted(found)
+
+
+def test_questions_that_are_not_sent(spark, linked, monkeypatch):
+    """Too many numbers, or odd terms: the candidates are to be listed."""
+    store, docs, terms, _ = linked
+    ask = lambda docs: questions.index(terms, docs, build.registry_aliases, graph.adjacency(store.edges), 1)
+    word = retrieval.ranking_terms(terms).first()["term"]
+    odd = spark.createDataFrame([("doc-1", [("c", ["w1", word], [word])], None)], docs.schema)
+    assert ask(odd) is None and ask(docs.limit(0)).listed().count() == 0
+    monkeypatch.setattr(questions, "SENT_NUMBERS", 9)
+    assert ask(docs) is None
+
+
 def test_odd_terms_are_noticed(spark, dealt):
     terms = dealt[2]
     docs = lambda odd: spark.createDataFrame([("doc-1", [("c", ["w1", odd], [odd])], None)], "document_id string, concepts array<struct<concept_id string, terms array<string>, odd array<string>>>, aliases array<struct<alias string, concept_id string>>")
