@@ -170,6 +170,19 @@ def test_candidates_by_question(linked, monkeypatch, held, depth):
     assert unlisted(found)
 
 
+@pytest.mark.parametrize("held,depth", [(1 << 16, 1), (3, 2)])
+def test_ranks_by_question(linked, monkeypatch, held, depth):
+    """All ranks, and the first three of every question."""
+    monkeypatch.setattr(questions, "HELD", held)
+    store, docs, terms, scope = linked
+    index = questions.index(terms, docs, build.registry_aliases, graph.adjacency(store.edges), depth)
+    found = index.ranked()
+    candidates = retrieval.candidates(terms, store, scope, depth).cache()
+    want = ordered(retrieval.rank(candidates, terms, store, depth).select(*found.columns))
+    assert want and ordered(found) == want and unlisted(found)
+    assert ordered(index.ranked(3)) == [r for r in want if r[-1] <= 3]
+
+
 def test_questions_that_are_not_sent(spark, linked, monkeypatch):
     """Too many numbers, or odd terms: the candidates are to be listed."""
     store, docs, terms, _ = linked
