@@ -146,11 +146,23 @@ def test_top_bm25_of_what_is_reached(spark, dealt, monkeypatch, held, turn, dept
 
 @pytest.fixture(scope="module")
 def linked(spark, dealt):
-    """The store of ``dealt`` with edges between its concepts."""
-    store, docs, terms, scope = dealt
-    names = [r[0] for r in store.registry_concepts.select("concept_id").distinct().orderBy("concept_id").collect()]
+    """A store with edges, its documents by page, and terms: names and keywords repeat in a
+    document, one is odd, and an alias leads to the last of its concepts."""
+    rng = __import__("random").Random(5)
+    word = lambda: f"w{rng.randrange(9)}"
+    rows = []
+    for d in range(12):
+        for at in range(rng.randrange(1, 9)):
+            name = " ".join(word() for _ in range(rng.randrange(1, 4)))
+            keywords = [word() for _ in range(3)] + ["O  dd"] * (at == 2)
+            rows.append((f"doc-{d}", name.replace(" ", "-"), name.upper(), name, [at], [" ".join(name.split()[:2]).title()], keywords, at))
+    raw = spark.createDataFrame(rows, "document_id string, concept_id string, name string, description string, page_numbers array<int>, aliases array<string>, keywords array<string>, ord int").cache()
+    merged = build.merge_concepts(raw).cache()
+    local = build.alias_map(raw.select("document_id", F.col("aliases")[0].alias("alias"), "concept_id", "ord")).cache()
+    names = [r[0] for r in merged.select("concept_id").distinct().orderBy("concept_id").collect()]
     edges = spark.createDataFrame([("doc-1", a, b) for a, b in zip(names, names[1:])], "document_id string, source string, target string").cache()
-    return retrieval.Store(**{**vars(store), "edges": edges}), docs, terms, scope
+    store = Store(None, merged, build.keyword_postings(merged), local, build.registry_aliases(local), build.registry_concepts(merged), edges)
+    return store, questions.by_page(raw).cache(), dealt[2], merged.select("document_id").distinct()
 
 
 def unlisted(rows):
@@ -186,12 +198,11 @@ def test_ranks_by_question(linked, monkeypatch, held, depth):
 def test_questions_that_are_not_sent(spark, linked, monkeypatch):
     """Too many numbers, or odd terms: the candidates are to be listed."""
     store, docs, terms, _ = linked
-    ask = lambda docs: questions.index(terms, docs, build.registry_aliases, graph.adjacency(store.edges), 1)
-    word = retrieval.ranking_terms(terms).first()["term"]
-    odd = spark.createDataFrame([("doc-1", [("c", ["w1", word], [word])], None)], docs.schema)
-    assert ask(odd) is None and ask(docs.limit(0)).listed().count() == 0
+    ask = lambda terms, docs=docs: questions.index(terms, docs, build.registry_aliases, graph.adjacency(store.edges), 1)
+    odd = retrieval.plan_terms(spark.createDataFrame([(1, [], ["o dd"])], "query_id long, concepts array<string>, keywords array<string>"))
+    assert ask(odd) is None and ask(terms, docs.limit(0)).listed().count() == 0
     monkeypatch.setattr(questions, "SENT_NUMBERS", 9)
-    assert ask(docs) is None
+    assert ask(terms) is None
 
 
 def test_odd_terms_are_noticed(spark, dealt):
