@@ -195,6 +195,38 @@ def test_ranks_by_question(linked, monkeypatch, held, depth):
     assert ordered(index.ranked(3)) == [r for r in want if r[-1] <= 3]
 
 
+@pytest.fixture(scope="module", params=[1, 2])
+def by_question(request, linked):
+    """Questions that are answered one by one, and their listed candidates."""
+    store, docs, terms, scope = linked
+    depth = request.param
+    index = questions.index(terms, docs, build.registry_aliases, graph.adjacency(store.edges), depth)
+    return index, retrieval.candidates(terms, store, scope, depth).cache(), terms, store, depth
+
+
+def test_stats_by_question(by_question):
+    index, found, _, store, _ = by_question
+    got = index.stats()
+    want = ordered(retrieval.bm25_stats(found, store).select(*got.columns))
+    assert want and ordered(got) == want and unlisted(got)
+
+
+def test_neighbours_of_lines(spark, tmp_path):
+    """Neighbours of a corpus are told document by document as by its edges: blank lines
+    between pages, repeats, white space of all kinds, and no text at all."""
+    from quillspark.plans.corpus import Corpus
+
+    texts = ["A b c d\n a\tB  c x\nq\n\nq r\nq", "\n \nx\n\u00e4 \u00f6 y\nx", "one", "", None, "q\nq r\n a b\x0bc\n\x0c\nz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    corpus = Corpus(spark, str(tmp_path))
+    near = corpus.neighbours
+    want = ordered(graph.adjacency(corpus.raw_edges.where("source <> target")))
+    assert ordered(near) == want and ("q", "q-r") in want and ("x", "unknown") not in want
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert ordered(graph.adjacency(corpus.edges)) == want
+
+
 def test_questions_that_are_not_sent(spark, linked, monkeypatch):
     """Too many numbers, or odd terms: the candidates are to be listed."""
     store, docs, terms, _ = linked
