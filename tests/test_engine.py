@@ -227,6 +227,29 @@ def test_neighbours_of_lines(spark, tmp_path):
     assert ordered(graph.adjacency(corpus.edges)) == want
 
 
+def test_hydrated_by_question(by_question, monkeypatch):
+    """Pages and length of a description come with the rows; where these are too many, not."""
+    index, found, _, store, _ = by_question
+    monkeypatch.setattr(questions, "HELD", 3)
+    columns = {"pages": F.array_join(F.col("page_numbers").cast("array<string>"), ","), "chars": F.col("chars").cast("long")}
+    got = index.hydrated(**columns)
+    rows = retrieval.hydrate(found, store).select("query_id", "concept_id", "document_id", F.array_join(F.col("evidence_pages").cast("array<string>"), ",").alias("pages"), F.length("description").cast("long").alias("chars"))
+    want = ordered(rows)
+    assert want and ordered(got) == want and unlisted(got) and any("," in r[3] for r in want)
+    monkeypatch.setattr(questions, "SENT_NUMBERS", 9)
+    assert index.hydrated(**columns) is None
+
+
+def test_pages_of_merged_concepts(spark):
+    """Pages repeat, are out of order or missing, and so may descriptions be."""
+    rows = [("d", "c", "N", None, [3, 1], ["a"], ["w"], 0), ("d", "c", "N", "long one", [1, -2, None], ["a"], ["w"], 1), ("d", "c", "N", "b", [], ["a"], ["w"], 2), ("d", "e", "M", None, [], ["b"], ["w"], 3)]
+    raw = spark.createDataFrame(rows, "document_id string, concept_id string, name string, description string, page_numbers array<int>, aliases array<string>, keywords array<string>, ord int")
+    terms = retrieval.plan_terms(spark.createDataFrame([(1, [], ["w"])], "query_id long, concepts array<string>, keywords array<string>"))
+    near = spark.createDataFrame([], "a string, b string")
+    got = questions.index(terms, questions.by_page(raw), build.registry_aliases, near, 1).hydrated(p=F.col("page_numbers").cast("string"), chars=F.col("chars"))
+    assert ordered(got.select("concept_id", "p", "chars")) == [("c", "[-2, 1, 3]", 8), ("e", "[]", None)]
+
+
 def test_questions_that_are_not_sent(spark, linked, monkeypatch):
     """Too many numbers, or odd terms: the candidates are to be listed."""
     store, docs, terms, _ = linked
