@@ -250,6 +250,13 @@ def test_pages_of_merged_concepts(spark):
     assert ordered(got.select("concept_id", "p", "chars")) == [("c", "[-2, 1, 3]", 8), ("e", "[]", None)]
 
 
+def test_bm25_by_question(by_question):
+    index, found, terms, store, _ = by_question
+    got = index.bm25()
+    want = ordered(retrieval.bm25(found, terms, store).select(*got.columns))
+    assert want and ordered(got) == want and unlisted(got)
+
+
 def test_questions_that_are_not_sent(spark, linked, monkeypatch):
     """Too many numbers, or odd terms: the candidates are to be listed."""
     store, docs, terms, _ = linked
