@@ -257,6 +257,13 @@ def test_bm25_by_question(by_question):
     assert want and ordered(got) == want and unlisted(got)
 
 
+def test_found_by_question(by_question):
+    index, found, _, _, _ = by_question
+    got = index.found()
+    want = ordered(found.select(*got.columns))
+    assert want and ordered(got) == want and unlisted(got)
+
+
 def test_questions_that_are_not_sent(spark, linked, monkeypatch):
     """Too many numbers, or odd terms: the candidates are to be listed."""
     store, docs, terms, _ = linked
