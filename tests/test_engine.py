@@ -264,6 +264,13 @@ def test_found_by_question(by_question):
     assert want and ordered(got) == want and unlisted(got)
 
 
+def test_distances_by_question(by_question):
+    index, found, terms, store, depth = by_question
+    got = index.distances()
+    want = ordered(retrieval.graph_list(found, terms, store, depth).select(*got.columns))
+    assert want and ordered(got) == want and unlisted(got)
+
+
 def test_questions_that_are_not_sent(spark, linked, monkeypatch):
     """Too many numbers, or odd terms: the candidates are to be listed."""
     store, docs, terms, _ = linked
