@@ -1,4 +1,5 @@
 """The two-document store: retrieval, ranking, evidence, context, citations."""
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -211,6 +212,23 @@ def test_stats_by_question(by_question):
     assert want and ordered(got) == want and unlisted(got)
 
 
+def test_order_of_held_rows(monkeypatch):
+    """What is held is handed on in blocks by row, then question, and once."""
+    rng = __import__("random").Random(4)
+    for block, most, queries in ((1 << 16, 1 << 23, 5), (20, 100, 9), (20, 1 << 23, 50), (1, 50, 7)):
+        monkeypatch.setattr(graph, "BLOCK", block)
+        held, want, got = graph.Held(most), [], []
+        for q in range(queries):
+            rows = np.array(sorted(rng.sample(range(200), rng.choice([0, 2, 90]))), np.int64)
+            want += [(r, q, r * q) for r in rows.tolist()]
+            if held.add(q, rows, {"x": rows * q}) or q == queries - 1:
+                part = [list(zip(r.tolist(), x.tolist(), v["x"].tolist())) for x, r, v in held.blocks()]
+                assert all(part) and sum(part, []) == sorted(sum(part, [])) and held.n == 0
+                assert block > 20 or len(sum(part, [])) < 99 or len(part) > 1
+                got += sum(part, [])
+        assert want and sorted(got) == sorted(want)
+
+
 def test_neighbours_of_lines(spark, tmp_path):
     """Neighbours of a corpus are told document by document as by its edges: blank lines
     between pages, repeats, white space of all kinds, and no text at all."""
