@@ -229,6 +229,28 @@ def test_order_of_held_rows(monkeypatch):
         assert want and sorted(got) == sorted(want)
 
 
+def test_concepts_that_terms_name(spark, tmp_path, monkeypatch):
+    """Of registered aliases and concepts what the terms name, whether terms are few or many;
+    the join's rows are not shuffled to be compared again."""
+    from quillspark.plans import corpus, queries
+
+    texts = ["A b one\nA B two\nc d", "a  B three\nc d\nc d", None, "a b one\n\nc d\nx", "x\ny z\nA b two"]
+    rows = [(20 - i, text, f"s{i}") for i, text in enumerate(texts)] + [(40, "c d\nq", "s2")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = corpus.Corpus(spark, str(tmp_path))
+    terms = retrieval.plan_terms(spark.createDataFrame([(1, ["A B", "zz"], ["x"]), (2, ["c d"], ["x"])], "query_id long, concepts array<string>, keywords array<string>"))
+    want = ordered(c.registry_aliases.where("alias in ('a b', 'c d', 'x')").select("alias", "concept_id"))
+    for most in (1, 9):
+        monkeypatch.setattr(corpus, "BROADCAST_ROWS", most)
+        aliases, concepts = c.named_concepts(terms)
+        assert want and ordered(aliases.select("alias", "concept_id")) == want
+        assert ordered(concepts) == ordered(c.registry_concepts.join(aliases, "concept_id", "left_semi").select("concept_id", "document_id"))
+    found = queries.QUERIES["j1_alias_join"](spark, str(tmp_path))
+    assert ordered(found) == ordered(retrieval.by_registry_alias(queries._terms(c), c.store, queries._scope(c)).distinct()) and found.count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id#" not in plan or "document_id#" not in plan.split("hashpartitioning(query_id#")[1].split(")")[0]
+
+
 def test_neighbours_of_lines(spark, tmp_path):
     """Neighbours of a corpus are told document by document as by its edges: blank lines
     between pages, repeats, white space of all kinds, and no text at all."""
